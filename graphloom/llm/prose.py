@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(?s:.*?)(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.M)
 _HTML = re.compile(r"<!--(?s:.*?)-->|<(script|style|pre|code)\b(?s:.*?)</\1\s*>|</?[A-Za-z][^<>\n]*>")
@@ -21,8 +22,8 @@ _CODE_LINE = re.compile(
 )
 _EMPHASIS = re.compile(r"\*\*|__|~~|(?<!\w)[*_](?=\w)|(?<=\w)[*_](?!\w)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-#: Abbreviations whose full stop ends no sentence.
-_ABBREVIATION = re.compile(r"(?i)\b(?:e\.\s?g|i\.\s?e|cf|viz|etc|vs|fig|sec|def|thm|eq|no|vol|pp?|ch|approx|resp|dr|mr|mrs|ms|st|al)\.|\b[A-Za-z]\.(?=[A-Za-z]\.)|(?<=\d)\.(?=\d)|\bv?\d+(?:\.\d+)+")
+#: Abbreviations whose full stop ends no sentence, at the end of what stands before it.
+_ABBREVIATED = re.compile(r"(?i)(?:^|[\s(\[])(?:e\.\s?g|i\.\s?e|cf|viz|etc|vs|fig|sec|def|thm|eq|no|vol|pp?|ch|approx|resp|dr|mr|mrs|ms|st|al|[a-z])$")
 _ASIDE = re.compile(r"\((?:e\.\s?g\.|i\.\s?e\.|cf\.|viz\.|see\b)[^()\n]*\)")
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s|$)")
 #: The commonest function words of English and of languages that are told from it.
@@ -42,23 +43,33 @@ def strip_markup(text: str) -> str:
     text = _TABLE.sub("", text)
     text = _HEADING.sub("\n", text)
     text = _REFERENCE.sub("", text)
-    text = _IMAGE_OR_LINK.sub(r"\1", text)
-    text = _URL.sub(" ", text)
-    text = _CODE_SPAN.sub(" ", text)
+    if "[" in text:
+        text = _IMAGE_OR_LINK.sub(r"\1", text)
+    if "://" in text or "www." in text or "@" in text:
+        text = _URL.sub(" ", text)
+    if "`" in text:
+        text = _CODE_SPAN.sub(" ", text)
     text = _BULLET.sub("\n\n", text)
     text = _CODE_LINE.sub("", text)
-    return _EMPHASIS.sub("", text)
+    return _EMPHASIS.sub("", text) if "*" in text or "_" in text or "~~" in text else text
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence of running text; an unfinished list item or paragraph is a sentence too."""
     out = []
     for block in re.split(r"\n[ \t]*\n", strip_markup(text)):
-        block = _ABBREVIATION.sub(lambda m: m[0].replace(".", ""), _ASIDE.sub(" ", " ".join(block.split())))
-        for part in _END.split(block):
-            words = _WORD.findall(part)
-            if words:
+        block = " ".join(block.split())
+        if "(" in block:
+            block = _ASIDE.sub(" ", block)
+        start = 0
+        for m in _END.finditer(block):
+            if m[0] == "." and _ABBREVIATED.search(block, max(start, m.start() - 8), m.start()):
+                continue
+            if words := _WORD.findall(block, start, m.start()):
                 out.append(words)
+            start = m.end()
+        if words := _WORD.findall(block, start):
+            out.append(words)
     return out
 
 
@@ -70,11 +81,19 @@ def is_english(words: list[str]) -> bool:
     """Whether marks of English (function words, and half as much endings) are as many as in prose and outnumber foreign ones."""
     if not words:
         return False
-    low = [w.lower() for w in words]
-    ours, others = sum(w in _ENGLISH for w in low), sum(w in _FOREIGN for w in low)
-    ours += 0.5 * sum(w not in _ENGLISH and w not in _FOREIGN and _ENDINGS.search(w) is not None for w in low)
-    foreign_letters = sum(not w.isascii() for w in low)
-    return ours >= 0.15 * len(low) and ours > 2 * others and foreign_letters <= 0.15 * len(low)
+    ours = others = letters = 0.0
+    for w in words:
+        a, b, c = _marks(w)
+        ours, others, letters = ours + a, others + b, letters + c
+    return ours >= 0.15 * len(words) and ours > 2 * others and letters <= 0.15 * len(words)
+
+
+@lru_cache(1 << 16)
+def _marks(word: str) -> tuple[float, int, int]:
+    """How much a word marks English, whether it marks another language, whether it has letters beyond ASCII."""
+    low = word.lower()
+    ours, others = low in _ENGLISH, low in _FOREIGN
+    return (1.0 if ours else 0.5 if not others and _ENDINGS.search(low) else 0.0), int(others), int(not low.isascii())
 
 
 def is_source(text: str) -> bool:
