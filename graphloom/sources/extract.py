@@ -28,7 +28,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + re.escape(root.rstrip("/")) + "/", "")
     excluded = F.exists(F.split(F.col("rel_path"), "/"), lambda s: s.isin(*EXCLUDED_DIRS))
-    return files.withColumn("rel_path", rel).filter((F.col("length") <= MAX_BYTES) & ~excluded).select("rel_path", language_of(F.col("rel_path")).alias("language"), F.decode("content", F.lit("UTF-8")).alias("source_text")).filter("language IS NOT NULL OR rel_path LIKE '%.md'")
+    return files.withColumn("rel_path", rel).filter((F.col("length") <= MAX_BYTES) & ~excluded).select("rel_path", language_of(F.col("rel_path")).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("source_text")).filter("language IS NOT NULL OR rel_path LIKE '%.md'")
 
 
 def content_hashes(spark: SparkSession, root: str) -> DataFrame:
@@ -122,7 +122,7 @@ class _Python(ast.NodeVisitor):
         dotted = _dotted(node)
         if dotted:
             first = dotted.split(".")[0]
-            shadowed = any(first in s for s in self.locals)
+            shadowed = first not in ("self", "cls") and any(first in s for s in self.locals)
             enclosing = ".".join([self.module, *(n for n, _ in self.scope)])
             self.names.append((relation, dotted, node.lineno, shadowed, self._source(), enclosing))
         else:
