@@ -52,7 +52,7 @@ _WORDS: dict[str, dict[str, str]] = {
         "!": "sizeof new delete co_await", "X": "throw", "a": "public private protected", "P": "template", "b": "", "z": "",
     },
     "javascript": {
-        "m": "export default async static get set", "K": "class", "f": "function", "v": "let var const", "I": "import", "x": "extends", "!": "new typeof void delete await yield", "b": "instanceof in of", "X": "throw", "J": "", "z": "",
+        "m": "export default async static get set", "K": "class", "f": "function", "v": "let var const", "I": "import", "x": "extends", "!": "new typeof void delete await yield", "b": "instanceof in of as", "X": "throw", "J": "", "z": "",
     },
     "typescript": {
         "m": "export default async static get set public private protected readonly declare abstract override", "K": "class interface enum namespace", "f": "function", "v": "let var const", "I": "import", "x": "extends implements", "y": "type",
@@ -64,7 +64,7 @@ _WORDS: dict[str, dict[str, str]] = {
     },
     "kotlin": {
         "m": "public private protected internal open abstract final override sealed data inline suspend const lateinit operator infix companion tailrec external annotation inner vararg noinline crossinline reified expect actual out enum", "K": "class interface object",
-        "f": "fun", "v": "val var", "I": "import", "N": "package", "y": "typealias", "b": "in is as", "X": "throw", "M": "when", "J": "", "z": "function func",
+        "f": "fun", "v": "val var", "I": "import", "N": "package", "y": "typealias", "b": "as", "h": "in is", "X": "throw", "M": "when", "J": "", "z": "function func",
     },
     "swift": {
         "m": "public private fileprivate internal open static final override mutating nonmutating lazy weak unowned required convenience indirect prefix postfix infix dynamic async inout some any", "K": "class struct enum protocol extension actor",
@@ -72,7 +72,7 @@ _WORDS: dict[str, dict[str, str]] = {
     },
 }
 _COMMON = {"F": "if", "S": "else", "O": "for", "W": "while", "D": "do", "M": "switch", "C": "case", "Q": "default", "E": "return", "Z": "break continue fallthrough", "T": "try", "H": "catch", "Y": "finally"}
-_ABSENT = {"go": "try catch finally while do throw", "rust": "switch case default try catch finally do", "c": "try catch finally", "cpp": "finally", "kotlin": "switch case default", "swift": "finally try"}
+_ABSENT = {"go": "try catch finally while do throw", "rust": "switch case default try catch finally do", "c": "try catch finally", "cpp": "finally", "kotlin": "switch case default", "swift": "finally"}
 _NOT_TYPES = "function func fun fn def elif import package export using"
 _NO_NAMES = {"java": "goto const", "python": ""}
 
@@ -209,7 +209,7 @@ class Grammar:
             elif kind == "ws" or kind == "line":
                 continue
             elif kind == "nl":
-                if lines and (not stack or stack[-1][0] == "{") and out and out[-1] != "t":
+                if lines and (not stack or stack[-1][0] == "{" or self.name == "go") and out and out[-1] != "t":
                     out.append("t")
             elif kind == "text":
                 out.append("s")
@@ -372,7 +372,11 @@ class Grammar:
 
     # ------------------------------------------------------------ contents
 
+    _PERIOD = re.compile(r"(.{1,48}?)\1{5,}", re.S)
+
     def _tidy(self, content: str) -> str:
+        if len(content) > 200:  # long runs of one pattern are as valid as four of it, and much faster to refuse
+            content = self._PERIOD.sub(r"\1\1\1\1", content)
         if self.soft:  # a modifier's word where no modifier can stand is a name
             content = self.soft.sub("i", content)
         if "t" not in content:
@@ -416,7 +420,7 @@ def _forms(name: str) -> dict[str, re.Pattern]:
     elif name == "rust":
         atom = rf"(?:[&*]l?|b|m|!|l)*(?:[.]?{names}{generic}(?:[.]i)*{generic}|{SQ}|{ANY_P}|!|f{ANY_P}|i{ANY_P})(?:R[&*m]*(?:{names}{generic}|{SQ}|{ANY_P}))?(?:u(?:l|[.?]*{names}{generic}))*"
     elif name in ("typescript", "javascript"):
-        one = rf"[bm!u]*(?:{names}{generic}|[sn{SQ}]|{ANY_P}|{ANY_B}){SQ}*"
+        one = rf"[bm!u]*(?:{names}{generic}|[sn!{SQ}]|{ANY_P}|{ANY_B}){SQ}*"
         atom = rf"{one}(?:(?:L|{T}[b&x?:]{T}){one})*"
     elif name == "swift":
         one = rf"(?:m|@i{ANY_P}?)*(?:{names}{generic}(?:[.]i{generic})*|{SQ}|{ANY_P})(?:[?!]|[.]i)*"
@@ -450,7 +454,7 @@ def _forms(name: str) -> dict[str, re.Pattern]:
     if name == "go":
         function = rf"f{params}(?:{ANY_P}|{ty})?{B_}|(?:{SQ}|d{SQ}|[*])+{ty}?{L_}?|"
     if name == "rust":
-        function = rf"m*b(?:(?:{ty}|i)(?::{ty})?,?)*b(?:R{ty})?|"
+        pre = rf"(?:{pre}|m*b(?:[&*m]*(?:i|{ANY_P}|{SQ})(?::{ty})?,?)+b(?:R{ty})?|(?:(?<=[=,])|(?<![\s\S]))m*b(?:R{ty})?)"
     if name == "kotlin":
         function = rf"f{params}(?::{ty})?{B_}|K(?::{ty}{args}?)?{B_}|"
     if name == "cpp":
@@ -467,13 +471,13 @@ def _forms(name: str) -> dict[str, re.Pattern]:
         "javascript": r"|s",
         "java": rf"|{B_}|[.]!|[.]m|\.i",
         "csharp": rf"|{ANY_B}|!|[?]{SQ}",
-        "cpp": rf"|{L_}",
-        "c": rf"|{L_}",
+        "cpp": rf"|{L_}|R(?:i|z)",
+        "c": rf"|{L_}|R(?:i|z)",
     }[name]
     post += ")"
     bin_ = r"(?:[bu*&<]|>{1,3}|r|!b)" if name in ("kotlin", "rust") else r"(?:[bu*&<]|>{1,3}|r)"
     if name == "kotlin":
-        bin_ = r"(?:[bu*&<]|>{1,3}|r|[?]:|!b|(?<![=,:;t])i(?=[ins]))"
+        bin_ = r"(?:[bhu*&<]|>{1,3}|r|[?]:|![bh]|(?<![=,:;t])i(?=[ins]))"
     unit = rf"(?:{pre}*+{prim}{post}*)"
     if name == "rust":
         unit = rf"(?:{pre}*{prim}{post}*|F[^;]*?{B_}(?:SF[^;{{]*?{B_})*(?:S{B_})?{post}*|M[^;]*?{ANY_B}{post}*|(?:l:)?O[^;]*?{B_}|(?:l:)?W[^;]*?{B_}|E|Z l?|{pre}*{prim}{post}*r)".replace(" ", "")
@@ -508,12 +512,15 @@ def _forms(name: str) -> dict[str, re.Pattern]:
     label = {"swift": r"(?:i:)?", "rust": "(?:l:)?"}.get(name, r"(?:i:(?![:]))?")
     end = ";" if name in ("java", "csharp", "c", "cpp") else "(?:;|$)" if name in ("go",) else ";" if name == "rust" else r"(?:[;t]+|$)"
     flags: dict[str, str] = {}
+    decl = "(?!)"
 
     # ---- statements
     if name in ("java", "csharp", "c", "cpp", "javascript", "typescript"):
-        prefix = rf"(?:F(?:m|!)?{args}{T}|S{T}|O(?:!)?{H_}{T}|W{args}{T}|D{T}|T(?:{ANY_P})?{T}|H{ANY_P}?{T}|Y{T}|J{ANY_P}?{T}|M{args}{T}|C[^;]*?(?:[:]|{'R' if name == 'java' else 'L' if name == 'csharp' else ':'}){T}|Q(?:[:]|R){T}|i:(?!:){T})"
+        prefix = rf"(?:F(?:m|!)?{args}{T}|S{T}|O(?:!)?{H_}{T}|W{args}{T}|D{T}|T(?:{ANY_P})?{T}|H{ANY_P}?{T}|Y{T}|J{ANY_P}?{T}|{'I' + ANY_P + '|' if name == 'csharp' else ''}M{args}{T}|C[^;]*?(?:[:]|{'R' if name == 'java' else 'L' if name == 'csharp' else ':'}){T}|Q(?:[:]|R){T}|i:(?!:){T})"
+        if name == "java":
+            prefix = rf"(?:{prefix}|m[:R])"
         if name in ("javascript", "typescript"):
-            prefix = prefix.replace("|i:(?!:)", "|i:") + ""
+            prefix = prefix.replace("|i:(?!:)", "|i:")
             prefix = rf"(?:{prefix}|m[:]{T})"
         decl = {
             "java": rf"(?:m|@{names}{args}?)*{ty}i{SQ}*(?:={ex})?(?:,i{SQ}*(?:={ex})?)*",
@@ -548,7 +555,7 @@ def _forms(name: str) -> dict[str, re.Pattern]:
             init = rf"(?::{names}{generic}(?:{args}|{L_})(?:,{names}{generic}(?:{args}|{L_}))*)?"
             parts += [
                 rf"{head}(?:m)*{ty}[*&b]*(?:[.]?{names}{generic}(?:[.]i)?)(?:{params})(?:m{args}?|&|b)*(?:R{ty})?(?:{init}{B_}|;|=(?:n|Q|!);)", rf"{head}m*!?{names}{generic}{params}(?:m{args}?)*(?:{init}{B_}|;|=(?:n|Q|!);)",
-                rf"{head}m*K+(?:{SQ})*(?:[.]?{names}{generic})?m*(?::(?:a|m|,|{ty})*)?{ANY_B}(?:[*&]?i)?;", r"a:", rf"m*N(?:{names})?{B_}", rf"N i={names};".replace(" ", ""), rf"IN?(?:m)*[.]?{names}{generic}(?:={ty})?;", rf"m?s{B_}", rf"{head}m*{ty}b[^;]{{0,12}}?{params}m*(?:{B_}|;|=Q;)",
+                rf"{head}m*K+(?:{SQ})*(?:[.]?{names}{generic})?m*(?::(?:a|m|,|{ty})*)?{ANY_B}(?:[*&]?i)?;", r"a:", rf"m*N(?:{names})?{B_}", rf"N i={names};".replace(" ", ""), rf"IN?(?:m)*[.]?{names}{generic}(?:={ty})?;", rf"m?s{B_}", rf"{head}m*(?:{ty}[*&]*)?i(?:[b*&<>=!u]|>=|{SQ}|{ANY_P}|p|!m){params}m*(?:{B_}|;|=(?:Q|!);)", rf"{head}m*i{ty}{params}m*(?:{B_}|;)",
             ]
         if name in ("javascript", "typescript"):
             ret = rf"(?::{ty})?" if name == "typescript" else ""
@@ -561,10 +568,15 @@ def _forms(name: str) -> dict[str, re.Pattern]:
             ]
             if name == "javascript":
                 parts[-2] = rf"(?:m{T})*{key}={T}{ex}{end}|m+{key}{end}"
+                members = parts[-3:]
             else:
                 parts[-2] = rf"(?:m{T})*{key}[?!]?:{ty}(?:={T}{ex})?[,;t]*|(?:m{T})*{key}={T}{ex}{end}|m+{key}[?!]?{end}"
+                members = parts[-3:]
                 parts += [rf"m*yi{generic}={T}(?:[b&]{T})?{ty}{end}", rf"m*Ki(?:[.]i)*{ANY_B}{T}", rf"m*(?:{SQ}|{params}):{ty}{end}", rf"Ii={e}{end}"]
-        code = rf"(?:{'|'.join(parts)})*"
+                members.append(parts[-2])
+            # fields and methods stand in classes only
+            flags["top"] = rf"(?:{'|'.join(x for x in parts if x not in members)})*+"
+        code = rf"(?:{'|'.join(parts)})*+"
     elif name == "go":
         var = rf"i(?:,i)*(?:{ty})?(?:={exs})?"
         simple = rf"(?:v{var}|v{ANY_P}|yi{SQ}?=?{ty}|y{ANY_P}|E(?:{exs})?|Zi?|Gi|g{ex}|{exs}|{e}(?:,{e})*[=w]b{e}|{e}u{e})"
@@ -587,10 +599,10 @@ def _forms(name: str) -> dict[str, re.Pattern]:
         pat = rf"(?:[^=;:]|[.])*?"
         tail = rf"(?:{ex})"
         stmt = [*item, rf"{ann}v{pat}(?::{ty})?(?:={ex}(?:S{B_})?)?;", rf"(?:{label}(?:F[^;]*?{B_}(?:SF[^;]*?{B_})*(?:S{B_})?|(?:W|O)[^;]*?{B_}|i?{B_}|M[^;]*?{ANY_B}))", rf"(?:E|Z)(?:l)?(?:{ex})?(?:;|$)", rf"{tail}(?:;|$)", ";"]
-        code = rf"(?:{'|'.join(stmt)})*"
+        code = rf"(?:{'|'.join(stmt)})*+"
         # match arms and struct fields
         flags["list_extra"] = rf"(?:{ann}(?:[^;L]*?)L(?:{ex}|E(?:{ex})?|Z){',?'})*|(?:{ann}{vis}i(?::{ty})?,?)*|(?:{ann}i(?:{ANY_P}|{ANY_B})?(?:={ex})?(?:,|$))*|(?:(?:[.]?(?:i|m)(?:[.](?:i|m|[*]|{ANY_B}))*(?:bi)?|[*]),?)*"
-        flags["top"] = rf"(?:{'|'.join(item)}|;)*"
+        flags["top"] = rf"(?:{'|'.join(item)}|;)*+"
     elif name == "kotlin":
         gen = generic
         base = rf"(?:{T}:{T}{ty}(?:{args})?(?:bi)?(?:,{T}{ty}{args}?)*)?"
@@ -600,7 +612,7 @@ def _forms(name: str) -> dict[str, re.Pattern]:
             rf"{mods}yi{gen}={ty}", rf"{mods}iA?{params}(?::i{args})?{B_}?".replace("A?", ""), rf"{mods}i{B_}",
         ]
         stmt = [*item, rf"{label}(?:F{args}{T}|S{T}|O{H_}{T}|W{args}{T}|D{T}|T{T}|H{ANY_P}{T}|Y{T})+(?:{B_}|{ex}|E(?:@i)?(?:{ex})?|Z|X{ex})(?:{T}S{T}(?:F{args}{T})?(?:{B_}|{ex}|E{ex}?|Z))*(?:W{args})?", rf"M{ANY_P}?{ANY_B}", rf"E(?:@i)?(?:{ex})?", rf"X{ex}", r"Z(?:@i)?", ex, B_]
-        arm = rf"(?:(?:{exs}|b{e}(?:,b{e})*|S)R{T}(?:{ex}|X{ex}|E(?:{ex})?|Z|{B_}))"
+        arm = rf"(?:(?:{exs}|!?h{e}(?:,!?h{e})*|S)R{T}(?:{ex}|X{ex}|E(?:{ex})?|Z|{B_}))"
         enum = rf"(?:{mods}i{args}?{B_}?(?:,{T}{mods}i{args}?{B_}?)*,?{T}(?:;|$))?"
         lam = rf"(?:(?:i|{ANY_P})(?::{ty})?(?:,(?:i|{ANY_P})(?::{ty})?)*R{T})?"
         sep = r"(?:[;t]+|$)"
@@ -654,8 +666,8 @@ def _forms(name: str) -> dict[str, re.Pattern]:
         paramlist = rf"(?:{paramlist}|{spec})"
     inits = rf"(?:{decl}|{exs})?" if name in ("java", "csharp", "c", "cpp", "javascript", "typescript") else ""
     head = {
-        "java": rf"(?:{inits};(?:{ex})?;(?:{exs})?|(?:m|@i)*{ty}i:{ex})", "csharp": rf"(?:{inits};(?:{ex})?;(?:{exs})?|(?:{ty}i|i{ANY_P}|{ty})m{ex}|{inits})", "c": rf"{inits};(?:{exs})?;(?:{exs})?", "cpp": rf"(?:{inits};(?:{exs})?;(?:{exs})?|(?:m)*{ty}(?:i|{SQ})?:{ex})",
-        "javascript": rf"(?:{inits};(?:{exs})?;(?:{exs})?|v?(?:i|{ANY_B}|{SQ})b{ex})", "typescript": rf"(?:{inits};(?:{exs})?;(?:{exs})?|v?(?:i|{ANY_B}|{SQ})b{ex})", "kotlin": rf"(?:i|{ANY_P})(?::{ty})?b{ex}",
+        "java": rf"(?:{inits};(?:{ex})?;(?:{exs})?|(?:m|@i)*{ty}i:{ex}|{decl}(?:;{decl})*;?|m*{ty}(?:b{ty})+i|{ex})", "csharp": rf"(?:{inits};(?:{ex})?;(?:{exs})?|(?:{ty}i|i{ANY_P}|{ty})m{ex}|{inits})", "c": rf"{inits};(?:{exs})?;(?:{exs})?", "cpp": rf"(?:{inits};(?:{exs})?;(?:{exs})?|(?:m)*{ty}(?:i|{SQ})?:{ex})",
+        "javascript": rf"(?:{inits};(?:{exs})?;(?:{exs})?|v?(?:i|{ANY_B}|{SQ})b{ex})", "typescript": rf"(?:{inits};(?:{exs})?;(?:{exs})?|v?(?:i|{ANY_B}|{SQ})b{ex})", "kotlin": rf"(?:i|{ANY_P})(?::{ty})?h{ex}",
     }.get(name, r"(?!)")
     pair = {
         "javascript": rf"(?:(?:m|[*])*[a-zA-Z](?::{T}{ex}|={ex}|{params}{B_})?|(?:m|[*])*(?:{SQ}|s|n)(?::{T}{ex}|{params}{B_})|r{ex}|[a-z]bi)", "csharp": rf"(?:{ex}|{SQ}={ex})", "go": rf"(?:(?:{ex}:)?{ex}r?)", "c": rf"(?:[.]i=)?(?:{SQ}=)?{ex}", "cpp": rf"(?:[.]i=)?{ex}r?|i={ex}",
@@ -678,15 +690,14 @@ def _forms(name: str) -> dict[str, re.Pattern]:
             typedecl = rf"{mods}@?Ki{generic}{ANY_P}?(?:x{ty}(?:,{ty})*)*{B_}"
             types = rf"(?:{mods}N{names};)?(?:I(?:m)?{names}(?:[.][*])?;|;)*(?:{typedecl}|;)*"
         if name == "csharp":
-            types = rf"(?:mI|I)?(?:(?:m*I(?:m)?(?:i=)?{ty};))*(?:{SQ})*(?:N{names};(?:I(?:m)?(?:i=)?{ty};)*)?(?:N{names}(?:{B_});?|{code[:-1]})*"
-            types = rf"(?:m?I(?:m)?(?:i=)?{ty};)*(?:{SQ})*(?:N{names};(?:I(?:m)?(?:i=)?{ty};)*)?(?:N{names}{B_};?|{'|'.join(parts)})*"
-            code = rf"(?:N{names}{B_};?|I(?:m)?(?:i=)?{ty};|{'|'.join(parts)})*"
+            types = rf"(?:m?I(?:m)?(?:i=)?{ty};)*(?:{SQ})*(?:N{names};(?:I(?:m)?(?:i=)?{ty};)*)?(?:N{names}{B_};?|{'|'.join(parts)})*+"
+            code = rf"(?:N{names}{B_};?|I(?:m)?(?:i=)?{ty};|{'|'.join(parts)})*+"
         if name == "c":
             top_parts = [rf"{decl};", *parts[-3:], ";", rf"m?s{B_}"]
-            types = rf"(?:{'|'.join(top_parts)})*"
+            types = rf"(?:{'|'.join(top_parts)})*+"
         if name == "cpp":
-            top_parts = [rf"{decl};", *parts[-9:], ";"]
-            types = rf"(?:{'|'.join(x for x in top_parts if x != 'a:')})*"
+            top_parts = [rf"{decl};", *parts[-10:], ";"]
+            types = rf"(?:{'|'.join(x for x in top_parts if x != 'a:')})*+"
         flags["top"] = types
     forms = {"top": flags["top"], "code": code, "list": listing, "args": arglist, "params": paramlist, "head": head, "square": square}
     return {k: re.compile(v) for k, v in forms.items()}
