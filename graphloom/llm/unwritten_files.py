@@ -27,7 +27,7 @@ THRESHOLDS = {
     "go": (240, 0.08, 0.50, 0.85, 48, 0.40),
 }
 _NUMBER = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[fFlLuU]?(?![\w.])")
-_WORD = re.compile(r"[^\W\d]\w*")
+_WORD = re.compile(r"(?<!\w)[^\W\d]\w*")
 _SIGN = re.compile(r"[\W_]+")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){12,}|(?:\\u[0-9a-fA-F]{4}){8,}")
 _NUMBERED = re.compile(r"\b([^\W\d]\w*?)_?(\d+)\s*\(\s*\)")
