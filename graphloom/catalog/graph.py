@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.catalog.sql import VISIBLE, reach
-from graphloom.functions.paths import family_of, is_test_unit, language_of, module_qname, posix
+from graphloom.functions.paths import SUFFIXES, family_of, is_test_unit, language_of, module_qname, posix
 from graphloom.operators import queries as q
 from graphloom.operators import store as s
 from graphloom.operators import traverse as t
@@ -115,6 +115,10 @@ _FAMILY = f"""CASE WHEN unit = '<externals>' THEN 'external'
  WHEN list_has_any({_PARTS}[2:-2], ['scripts','script','tools','tool','bin']) THEN 'scripts' ELSE 'core' END"""
 _SUB = "CASE WHEN contains(unit, '/') THEN regexp_replace(unit, '/[^/]*$', '') ELSE unit END"
 
+_CLOSURE = _FILE.replace("\nWITH", "\nWITH RECURSIVE", 1) + """, rc AS (SELECT src AS a, dst AS b FROM ue UNION SELECT r.a, u.dst FROM rc r JOIN ue u ON u.src = r.b),
+core AS (SELECT ue.src, ue.dst FROM ue JOIN rc ON rc.a = ue.dst AND rc.b = ue.src)"""
+_LANGUAGE = " ".join(f"WHEN regexp_matches(lower(rel_path), '(?:{'|'.join(x.replace('.', chr(92) + '.') for x in suffixes)})$') THEN '{language}'" for language, suffixes in reversed(SUFFIXES.items()))
+
 SQL = {
     "g_blast_radius": VISIBLE + ",\n" + reach("r", "SELECT * FROM gate", _ROOTS, 3, False) + " SELECT * FROM r",
     "g_callees": VISIBLE + ",\n" + reach("r", "SELECT * FROM gate", _ROOTS, 2, True) + " SELECT * FROM r",
@@ -174,4 +178,19 @@ SELECT DISTINCT a.module_id AS src, b.module_id AS dst FROM gate JOIN own a ON a
     "j_sites_in_spans": VISIBLE
     + """, site AS (SELECT DISTINCT a.repo_id, source_location.path AS path, source_location.line AS line FROM e JOIN v a ON a.id = e.src WHERE source_location IS NOT NULL)
 SELECT site.repo_id, site.path, site.line, arg_min(v.id, (greatest(location.end_line, location.start_line) - location.start_line, v.id)) AS id FROM site JOIN v ON v.kind = 'symbol' AND v.repo_id = site.repo_id AND v.location.path = site.path AND site.line BETWEEN location.start_line AND location.end_line GROUP BY 1, 2, 3""",
+    "g_cycles": _CLOSURE
+    + """, paths AS (SELECT src AS f, dst AS l, [src, dst] AS path FROM core WHERE dst > src UNION ALL SELECT f, c.dst, list_append(path, c.dst) FROM paths p JOIN core c ON c.src = p.l WHERE c.dst > f AND NOT list_contains(path, c.dst) AND len(path) < 16)
+SELECT DISTINCT array_to_string(path, '>') AS cycle FROM paths JOIN core ON core.src = l AND core.dst = f ORDER BY 1 LIMIT 1000""",
+    "g_layers": _CLOSURE
+    + """, n AS (SELECT DISTINCT repo_id || '/' || unit AS node FROM v WHERE unit <> '<externals>'),
+comp AS (SELECT node, least(node, coalesce((SELECT min(r.b) FROM rc r JOIN rc q ON q.a = r.b AND q.b = r.a WHERE r.a = n.node), node)) AS c FROM n),
+dag AS (SELECT DISTINCT a.c AS a, b.c AS b FROM ue JOIN comp a ON a.node = ue.src JOIN comp b ON b.node = ue.dst WHERE a.c <> b.c),
+up AS (SELECT DISTINCT c, 0 AS k FROM comp UNION SELECT dag.b, k + 1 FROM up JOIN dag ON dag.a = up.c)
+SELECT node, CAST((SELECT max(k) FROM up WHERE up.c = comp.c) AS INTEGER) AS layer FROM comp""",
+    "f_paths": f"""
+WITH f AS (SELECT DISTINCT rel_path, regexp_replace(replace(rel_path, '\\', '/'), '^(?:\\./)+', '') AS unit FROM file_facts),
+l AS (SELECT *, CASE {_LANGUAGE} END AS language, string_split(regexp_replace(unit, '\\.[^./]+$', ''), '/') AS p FROM f)
+SELECT rel_path, unit, language, array_to_string(list_filter(list_concat(CASE WHEN language = 'rust' THEN ['crate'] ELSE [] END,
+  CASE WHEN (language = 'python' AND p[-1] = '__init__') OR (language IN ('typescript','javascript') AND p[-1] = 'index') OR (language = 'rust' AND p[-1] IN ('mod','lib','main')) OR language IN ('java','go') THEN p[:-2] ELSE p END), lambda x: x <> ''), '.') AS module,
+  {_FAMILY} AS family FROM l""",
 }

@@ -121,3 +121,27 @@ def refusal_budget(stops: DataFrame, budget: int = 3) -> DataFrame:
     w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.sum((~F.col("satisfied")).cast("int")).over(w)
     return stops.withColumn("outcome", F.when(F.col("satisfied"), "allowed").when(n <= budget, "refused").otherwise("unsatisfied_stop"))
+
+
+def parse_contract(text: str) -> dict:
+    """A contract of JSON text: known keys only, sane timeouts, at least one check or attestation; else ValueError."""
+    import json
+
+    raw = json.loads(text)
+    if not isinstance(raw, dict) or (unknown := set(raw) - {"title", "checks", "attestations", "scope", "timeout_s"}):
+        raise ValueError(f"unknown keys: {sorted(unknown) if isinstance(raw, dict) else 'not an object'}")
+    timeout = raw.get("timeout_s", 600)
+    if isinstance(timeout, bool) or not isinstance(timeout, int | float) or not 0 < timeout < 1e6:
+        raise ValueError("timeout_s must be a positive number of seconds")
+    for key in ("checks", "attestations", "scope"):
+        if not isinstance(raw.get(key, []), list) or not all(isinstance(x, str) and x.strip() for x in raw.get(key, [])):
+            raise ValueError(f"{key} must be a list of texts")
+    if not raw.get("checks") and not raw.get("attestations"):
+        raise ValueError("a contract needs a check or an attestation")
+    return {"title": raw.get("title", ""), "checks": raw.get("checks", []), "attestations": raw.get("attestations", []), "scope": raw.get("scope", []), "timeout_s": float(timeout)}
+
+
+def missing_attestations(required: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Attestations (contract_hash, tree, name) that no ledger line gives for the same contract and tree."""
+    given = ledger.filter("type = 'attestation'").select("contract_hash", "tree", "name").distinct()
+    return required.join(given, ["contract_hash", "tree", "name"], "left_anti")

@@ -83,3 +83,15 @@ def removed_routes(old: DataFrame, new: DataFrame, states: DataFrame) -> DataFra
     """States whose URL is a route that the change removes."""
     gone = old.select("map_id", "pattern").subtract(new.select("map_id", "pattern"))
     return states.join(gone.withColumnRenamed("pattern", "url"), ["map_id", "url"], "left_semi").select("map_id", "id", "url")
+
+
+def read_maps(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """States, transitions and unreadable maps of JSON texts (map_id, json): a text that is no JSON object is unreadable."""
+    state = "array<struct<id:string,url:string,landmarks:array<struct<role:string,name:string,checked:boolean>>,affordances:array<struct<ref:string,role:string,name:string,css:string>>,fragment:map<string,string>,draft:boolean>>"
+    schema = f"version int, states {state}, transitions array<struct<from:string,do:string,to:string>>, _broken string"
+    parsed = texts.withColumn("m", F.from_json("json", schema, {"columnNameOfCorruptRecord": "_broken"}))
+    bad = parsed.filter("m IS NULL OR m._broken IS NOT NULL").select("map_id")
+    good = parsed.filter("m IS NOT NULL AND m._broken IS NULL")
+    states = good.select("map_id", F.explode("m.states").alias("s")).select("map_id", "s.*")
+    moves = good.select("map_id", F.posexplode("m.transitions").alias("seq", "t")).select("map_id", "seq", F.col("t.from").alias("src"), F.col("t.do").alias("do"), F.col("t.to").alias("dst"))
+    return states, moves, bad

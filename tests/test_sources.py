@@ -216,3 +216,35 @@ def test_deltas(spark, rows):
     own = spark.createDataFrame([("m", "a"), ("n", "b")], "module string, unit string")
     assert not units.may_refresh_incrementally(delta, own) and units.may_refresh_incrementally(delta.filter("change != 'deleted'"), own)
     assert rows(units.change_signature(a)) == rows(units.change_signature(a.orderBy("unit", ascending=False))) != rows(units.change_signature(b))
+
+
+def test_listings_and_warnings(spark, rows, tmp_path):
+    import subprocess
+
+    assert extract.tracked_files(spark, str(tmp_path)) is None
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / "a.py").write_text("x")
+    (tmp_path / ".gitignore").write_text("b.py\n")
+    (tmp_path / "b.py").write_text("x")
+    assert rows(extract.tracked_files(spark, str(tmp_path))) == [(".gitignore", None), ("a.py", "python")]
+    assert extract.scale_warning(1, 1) is None and "nodes" in extract.scale_warning(300_000, 1) and "40.0 s" in extract.scale_warning(1, 40)
+
+
+def test_read_maps(spark, rows):
+    good = json.dumps({"version": 1, "states": [{"id": "home", "url": "/", "landmarks": [{"role": "h", "name": "n"}], "affordances": [{"ref": "go", "css": "a"}]}], "transitions": [{"from": "home", "do": {"click": "go"}, "to": "home"}]})
+    states, moves, bad = navmap.read_maps(spark.createDataFrame([("m", good), ("x", "{"), ("n", None)], "map_id string, json string"))
+    assert rows(bad) == [("n",), ("x",)] and states.count() == 1
+    assert rows(moves) == [("m", 0, "home", '{"click":"go"}', "home")]
+    assert navmap.violations(states, moves).count() == 0
+
+
+def test_contracts_and_attestations(spark, rows):
+    import pytest
+
+    assert audit.parse_contract('{"checks": ["pytest"]}')["timeout_s"] == 600
+    for text in ("[]", "{", '{"checks": []}', '{"checks": ["x"], "other": 1}', '{"checks": ["x"], "timeout_s": NaN}', '{"checks": [1]}'):
+        with pytest.raises(ValueError):
+            audit.parse_contract(text)
+    need = spark.createDataFrame([("h", "t", "a"), ("h", "t", "b")], "contract_hash string, tree string, name string")
+    lines = spark.createDataFrame([("attestation", "h", "t", "a"), ("attestation", "h", "other", "b"), ("note", "h", "t", "b")], "type string, contract_hash string, tree string, name string")
+    assert rows(audit.missing_attestations(need, lines)) == [("h", "t", "b")]
