@@ -411,7 +411,7 @@ def _forms(name: str) -> dict[str, re.Pattern]:
     """Regular expressions over token characters: top, code, list, args, params, head, square."""
     T = "t?" if name in ("javascript", "typescript", "kotlin", "swift") else ""
     ptr = {"c": r"\*", "go": r"\*", "cpp": r"\*&", "rust": r"\*&", "csharp": r"\*"}.get(name, "")
-    generic = "" if name == "c" else "(?:<[^;tEFSOW]*>)?" if name != "java" else "(?:<[^;tEFSOW]*>)?"
+    generic = "" if name == "c" else "(?:<[^;tEFSOW]*>)?"
     names = "i(?:[.]i)*"
     args, params = A_, P_
     # types
