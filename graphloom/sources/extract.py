@@ -47,14 +47,12 @@ def content_hashes(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- Python facts
 
 
-def _signature(text: list[str], node: ast.AST) -> str:
-    first = node.body[0] if getattr(node, "body", None) else None
+def _signature(node: ast.AST) -> str:
     if isinstance(node, ast.ClassDef):
         bases = ", ".join(ast.unparse(b) for b in node.bases)
         return f"class {node.name}({bases}):" if bases else f"class {node.name}:"
     args = ast.unparse(node.args)
     returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-    del first
     return f"{'async ' if isinstance(node, ast.AsyncFunctionDef) else ''}def {node.name}({args}){returns}:"
 
 
@@ -79,7 +77,7 @@ class _Python(ast.NodeVisitor):
     def _define(self, node, kind: str) -> None:
         container = ".".join([self.module, *(n for n, _ in self.scope)])
         body = "\n".join(self.lines[node.body[0].lineno - 1 : node.end_lineno])
-        self.symbols.append((node.name, self._qname(node.name), container, _signature(self.lines, node), node.lineno, node.end_lineno, "internal" if node.name.startswith("_") else "exported", isinstance(node, ast.ClassDef), body_digest(body), not self.scope))
+        self.symbols.append((node.name, self._qname(node.name), container, _signature(node), node.lineno, node.end_lineno, "internal" if node.name.startswith("_") else "exported", isinstance(node, ast.ClassDef), body_digest(body), not self.scope))
         for d in node.decorator_list:
             self.visit(d)
         if isinstance(node, ast.ClassDef):
