@@ -13,11 +13,13 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.plans.skew import join_groups
+from graphloom.runtime import cut
 
 #: Literals, arrows and comparison signs pass as one piece, so that their signs neither split nor nest.
 _PIECE = re.compile(r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[-=]>|[<>]=|[()\[\]{},<>]|[^()\[\]{},<>"'=-]+|.""", re.S)
@@ -116,14 +118,12 @@ def batch_counts(batch: DataFrame, buckets: int) -> DataFrame:
 
 
 def update_ledger(ledger: DataFrame | None, batch: DataFrame, buckets: int = 256) -> DataFrame:
-    """Add a batch of keyed rows to the ledger: counts are added, the earliest representative is kept.
-
-    The ledger is bucketed by key: a stored one is partitioned by bucket, and only buckets named by the batch take part
-    in the full outer join; the others pass through unread by it.
-    """
+    """Add a batch of keyed rows to the ledger: counts are added, the earliest representative is kept."""
     new = batch_counts(batch, buckets)
-    if ledger is None:
-        return new
+    return new if ledger is None else _merged(ledger, new)
+
+
+def _merged(ledger: DataFrame, new: DataFrame) -> DataFrame:
     a, b = ledger.alias("a"), new.alias("b")
     return a.join(b, "copy_key", "full_outer").select(
         F.coalesce("a.bucket", "b.bucket").alias("bucket"),
@@ -133,6 +133,23 @@ def update_ledger(ledger: DataFrame | None, batch: DataFrame, buckets: int = 256
     )
 
 
+def update_stored_ledger(path: str, batch: DataFrame, buckets: int = 256) -> None:
+    """The same for a ledger kept in files by bucket: only the buckets that the batch names are read and replaced.
+
+    Their list has at most `buckets` entries. The merged buckets are checkpointed before they replace what was read.
+    """
+    spark = batch.sparkSession
+    new = batch_counts(batch, buckets).persist(StorageLevel.MEMORY_AND_DISK)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    try:
+        old = spark.read.schema("copy_key binary, n_copies bigint, keep_seq bigint, bucket int").parquet(path).filter(F.col("bucket").isin(touched))
+        merged = cut(_merged(old, new))
+    except AnalysisException:  # no ledger yet
+        merged = new
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    new.unpersist()
+
+
 def late_split(rows: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame]:
     """The standing load and the late one: rows stamped after the middle of the stamps' span are the new batch."""
     lo, hi = rows.agg(F.min(stamp), F.max(stamp)).first()

@@ -75,6 +75,22 @@ def test_incremental_equals_whole(spark, rows):
     assert rows(ledger) == rows(whole) and whole.count() == 7
 
 
+def test_stored_ledger_touches_only_its_buckets(spark, rows, tmp_path):
+    import os
+
+    data = [(k, "r", "go", f"f{k % 7}(a)", None, "x") for k in range(50)]
+    path = str(tmp_path / "ledger")
+    for part in (data[30:], data[:10], data[10:30]):
+        hd.update_stored_ledger(path, hd.keyed(frame(spark, part)))
+    whole = hd.update_ledger(None, hd.keyed(frame(spark, data)))
+    stored = spark.read.parquet(path).select("bucket", "copy_key", "n_copies", "keep_seq")
+    assert rows(stored) == rows(whole)
+    before = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("bucket=")}
+    hd.update_stored_ledger(path, hd.keyed(frame(spark, data[:1])))
+    changed = [d for d in before if sorted(os.listdir(f"{path}/{d}")) != before[d]]
+    assert len(changed) == 1
+
+
 def test_empty(spark, rows):
     assert rows(hd.hidden_duplicates(frame(spark, []))) == []
     assert rows(hd.deduplicated(frame(spark, [(1, "r", "go", None, None, "")]))) == []
