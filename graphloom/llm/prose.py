@@ -20,6 +20,13 @@ _CODE_LINE = re.compile(
     r"^[ \t]*(?:[{}()\[\];]+[,;]?|(?:import|from|package|using|use|include|#include|export|public|private|protected|static|const|let|var|def|async def|class|func|fn|fun|return|pub|namespace|@\w+|elif|else:)\b[^\n]*|[^\n]*[;{}][ \t]*|[^\n]*(?:[-=]>|:=|==|\+=|&&|\|\|)[^\n]*|[\w.\[\]]+ = [^\n]*|(?:if|for|while|else|elif)\b[^\n]*[:{][ \t]*|//[^\n]*|/?\*+/?[^\n]*;|\$ [^\n]*|\"{3}[^\n]*)$",
     re.M,
 )
+#: Lines that are code wherever they stand, and the marks that show it on the others.
+_SURE_CODE = re.compile(r"[ \t]*(?:[{}()\[\];]+[,;]?[ \t]*$|//|\$ |\"{3}|/?\*+/?[^\n]*;|#include\b)")
+_CODE_MARK = re.compile(r"[^\W\d]\w*[(\[]|[=<>{}]|::|[^\W\d]\w+\.[^\W\d]\w+|&&|\|\||^[ \t]*@\w|^[ \t]*(?:import|from|include|use|export)\s+[\"'][^\"'\n]+[\"'];?[ \t]*$|^[ \t]*from\s+[\w.]+\s+import\b|^[ \t]*import\s+\w+\s+as\s+\w+[ \t]*$")
+_BARE_IMPORT = re.compile(r"[ \t]*(?:import|package|using|use|include|namespace)[ \t]+\w+[ \t]*$")
+_OPERATOR = re.compile(r"[-=]>|:=|[={}]|&&|\|\||\w\(")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)|[ \t](?:#|//)[ \t].*$")
+_PLAIN = re.compile(r"[\"'“‘(\[]*[^\W\d_](?:[^\W_]|['’-])*[\"'”’)\].,;:!?…]*")
 _EMPHASIS = re.compile(r"\*\*|__|~~|(?<!\w)[*_](?=\w)|(?<=\w)[*_](?!\w)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Abbreviations whose full stop ends no sentence, at the end of what stands before it.
@@ -31,6 +38,48 @@ _ENGLISH = frozenset("the a an of and to in is it that this be are was for with
 _FOREIGN = frozenset(
     "der die das und ist ein eine nicht mit den dem des im auf für sich wird werden wenn bitte sie wir zu von bei oder auch nach le la les des une est et dans pour que qui sur avec pas ne vous nous il elle ce cette sont par au aux du el los las un una es y en por para con no que se del su como pero más il lo gli che di e è per non con una sono de het een van niet zijn met voor op o os um uma não com são não".split()
 ) - _ENGLISH
+#: Function words that are no words of code.
+_TELLING = _ENGLISH - frozenset("a and or not is in as for from if then while with use do this".split())
+
+
+def _reads(line: str) -> bool:
+    """Whether a line that looks like code is a line of English: mostly plain words, with function words or many of them."""
+    said = _QUOTED.sub(" ", line)
+    tokens = said.split()
+    plain = [x for x in tokens if _PLAIN.fullmatch(x)]
+    if len(plain) < 3 or len(plain) < 0.7 * len(tokens):
+        return False
+    telling = sum(_WORD.search(x)[0].lower() in _TELLING for x in plain)
+    return telling >= 2 or (telling == 1 or len(plain) >= 6) and not _OPERATOR.search(said)
+
+
+def code_lines(lines: list[str]) -> set[int]:
+    """Which lines are code: those with code punctuation that do not read as English, and such as lead with a mere keyword
+    beside them or in a paragraph of their own kind; never a line of a paragraph whose neighbours are prose."""
+    code, runs = set(), []
+    for k, line in enumerate(lines):
+        if _CODE_LINE.match(line) is None:
+            continue
+        if _SURE_CODE.match(line):
+            code.add(k)
+        elif not _reads(line):
+            if _CODE_MARK.search(_QUOTED.sub(lambda m: m[0] if m[0][0] in "\"'" else "", line)):
+                code.add(k)
+            elif runs and runs[-1][-1] == k - 1:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+    if runs:
+        filled = [k for k, line in enumerate(lines) if line.strip()]
+        place = {k: i for i, k in enumerate(filled)}
+    for run in runs + runs[::-1]:
+        before = filled[place[run[0]] - 1] if place[run[0]] else None
+        after = filled[place[run[-1]] + 1] if place[run[-1]] + 1 < len(filled) else None
+        alone = before != run[0] - 1 and after != run[-1] + 1
+        near = before in code or after in code
+        if run[0] - 1 in code or run[-1] + 1 in code or alone and (len(run) > 1 or near and _BARE_IMPORT.match(lines[run[0]])):
+            code.update(run)
+    return code
 
 
 def strip_markup(text: str) -> str:
@@ -50,7 +99,9 @@ def strip_markup(text: str) -> str:
     if "`" in text:
         text = _CODE_SPAN.sub(" ", text)
     text = _BULLET.sub("\n\n", text)
-    text = _CODE_LINE.sub("", text)
+    lines = text.split("\n")
+    if code := code_lines(lines):
+        text = "\n".join("" if k in code else line for k, line in enumerate(lines))
     return _EMPHASIS.sub("", text) if "*" in text or "_" in text or "~~" in text else text
 
 
@@ -99,9 +150,10 @@ def _marks(word: str) -> tuple[float, int, int]:
 def is_source(text: str) -> bool:
     """Whether a text is a source file or a log rather than a document with some: a fifth of the lines outside fences."""
     body = _FENCE.sub("\n", text.replace("\r\n", "\n").replace("\r", "\n"))
-    lines = [x for x in body.split("\n") if x.strip()]
-    marked = sum(_CODE_LINE.match(x) is not None or _LOG.match(x) is not None for x in lines if len(x) < 2000)
-    return marked >= 3 and marked >= 0.2 * len(lines)
+    lines = [x if len(x) < 2000 else "x" for x in body.split("\n")]
+    code = code_lines(lines)
+    marked = sum(k in code or _LOG.match(x) is not None for k, x in enumerate(lines))
+    return marked >= 3 and marked >= 0.2 * sum(1 for x in lines if x.strip())
 
 
 def prose_words(text: str | None, least: int) -> list[list[str]] | None:

@@ -138,3 +138,13 @@ def test_held_out_passages_of_the_project(spark):
     order = np.random.default_rng(0).permutation(len(y))
     right = sum((rl.Model(x[np.setdiff1d(order, fold)], y[np.setdiff1d(order, fold)]).predict(x[fold]) == y[fold]).sum() for fold in np.array_split(order, 5))
     assert right / len(y) >= 0.95
+
+
+def test_wrapped_prose_is_no_code():
+    wrapped = "You may open it\nfrom the menu, or with a short command. Choose the\npackage that you want to change. The\nnamespace can be computed lazily, and the unit -> module map is kept;\nif the following hold:\nuse it yet. Save the\npackage.\n"
+    assert words(wrapped) == prose._WORD.findall(wrapped)
+    code = "package main\n\nimport os\nimport sys\nfrom a.b import c\nimport \"fmt\"\n\nreturn x\nx = a + 1\nif not done:\n    return the_value;\n"
+    assert words(code) == []
+    assert words("Run it\nfrom the shell:\n$ make all\n") == "Run it from the shell".split()
+    assert words("- import files\n- export files\n") == "import files export files".split()
+    assert prose.prose_words(wrapped * 3, 40) is not None and prose.is_source(code * 3)
