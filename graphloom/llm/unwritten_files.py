@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.grammars import language_of
 
-#: By language: characters of a dense line, its greatest white-space share, least share of the text in such lines,
+#: By language: characters of a dense line, its greatest white-space share, least share of the text in such lines (encoded
+#: runs and rules of dashes are left out of all three),
 #: least share of numbers among the tokens, least number of numbers, least share of the text in encoded runs.
 THRESHOLDS = {
     None: (200, 0.10, 0.50, 0.80, 40, 0.40),
@@ -85,7 +86,9 @@ def layout(path: str | None, text: str | None) -> dict:
     filled = [x for x in lines if x.strip()]
     n = max(1, len(text))
     dense_length, dense_space, dense_share, number_share, numbers, encoded_share = THRESHOLDS.get(language_of(path), THRESHOLDS[None])
-    dense = sum(len(x) for x in filled if len(x) >= dense_length and sum(map(str.isspace, x)) < dense_space * len(x) and not _RUN.search(x))
+    plain = [_RUN.sub("", x) for x in filled] if _RUN.search(text) else filled
+    dense = sum(len(x) for x in plain if len(x) >= dense_length and sum(map(str.isspace, x)) < dense_space * len(x))
+    outside = max(1, n - sum(map(len, filled)) + sum(map(len, plain)))
     found = len(_NUMBER.findall(text))
     tokens = found + len(_WORD.findall(text))
     runs = sum(len(m[0]) for m in _RUN.finditer(text) if re.search(r"\d", m[0]) and re.search(r"[A-Za-z]", m[0]) and len(set(m[0])) > 8)
@@ -103,8 +106,8 @@ def layout(path: str | None, text: str | None) -> dict:
         "alnum_share": len(_SIGN.sub("", text)) / n,
         "number_density": found / max(1, tokens),
         "encoded_share": runs / n,
-        "dense_share": dense / n,
-        "minified": dense >= dense_share * n,
+        "dense_share": dense / outside,
+        "minified": dense >= dense_share * outside,
         "blob": found >= numbers and found >= number_share * tokens or runs >= encoded_share * n and runs >= 200,
         "series": series,
         "generated_note": any(map(_TOOL.search, notes)),

@@ -26,6 +26,12 @@ def test_reason(spark, path, text, want):
     assert uf.classified_files(f).first().reason == want
 
 
+@pytest.mark.parametrize("run", ["data:image/png;base64," + "aB3+/xYz9QwErTy7" * 8, "-" * 60, "0123456789abcdef" * 4, "assets/" + "long_folder/" * 6 + "a.png", "aB3+/xYz9QwErTy7" * 20])
+def test_a_run_on_a_long_line_hides_nothing(run):
+    assert uf.layout("a/b.js", MIN + f'var u="{run}";' + MIN)["minified"]
+    assert not uf.layout("a/b.js", f'const u = "{run * 9}";\n' + "function f(a) {\n    return a + left + right;\n}\n" * 60)["minified"]
+
+
 def test_files_operator(spark, rows):
     t = [dt.datetime(2031, 1, k) for k in (1, 2)]
     f = spark.createDataFrame([(1, "r", "a.py", HAND, t[0]), (2, "r", "b.js", MIN, t[0]), (2, "r", "b.js", MIN, t[1]), (3, "r", "c.py", NUMBERS, t[0]), (3, "r", "c.py", HAND, t[1]), (None, "r", "d.min.js", "x", None), (4, None, None, None, None)], "file_id bigint, repo_id string, rel_path string, source_text string, loaded_at timestamp")
