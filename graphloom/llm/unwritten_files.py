@@ -27,6 +27,24 @@ THRESHOLDS = {
     "cpp": (240, 0.08, 0.50, 0.85, 48, 0.40),
     "go": (240, 0.08, 0.50, 0.85, 48, 0.40),
 }
+#: By language, of a whole file: least mean and maximum line length, greatest white-space share, least and greatest
+#: alphanumeric share. All must hold: they show minified text wrapped into lines too short to be dense.
+FILE_THRESHOLDS = {
+    None: (55, 70, 0.08, 0.40, 0.80),
+    "python": (55, 70, 0.08, 0.40, 0.80),
+    "javascript": (50, 60, 0.09, 0.40, 0.80),
+    "typescript": (50, 60, 0.09, 0.40, 0.80),
+    "c": (55, 70, 0.10, 0.40, 0.80),
+    "cpp": (55, 70, 0.10, 0.40, 0.80),
+    "go": (55, 70, 0.10, 0.40, 0.80),
+    "java": (55, 70, 0.10, 0.40, 0.80),
+    "rust": (55, 70, 0.10, 0.40, 0.80),
+    "csharp": (55, 70, 0.10, 0.40, 0.80),
+    "kotlin": (55, 70, 0.10, 0.40, 0.80),
+    "swift": (55, 70, 0.10, 0.40, 0.80),
+}
+#: Characters from which the whole-file thresholds count; of a shorter text the shares mean little.
+LEAST_TEXT = 400
 _NUMBER = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[fFlLuU]?(?![\w.])")
 _WORD = re.compile(r"(?<!\w)[^\W\d]\w*")
 _SIGN = re.compile(r"[\W_]+")
@@ -35,8 +53,6 @@ _NUMBERED = re.compile(r"\b([^\W\d]\w*?)_?(\d+)\s*\(\s*\)")
 _DEFINED = re.compile(r"\b[^\W\d]\w*\s*\([^()\n]*\)[^;\n]*[{:]\s*$", re.M)
 #: Least number of numbered accessors, and their least share of all definitions.
 SERIES, SERIES_SHARE = 3, 0.8
-#: Comment lines looked at before the first line of code and after the last.
-BORDER_LINES = 40
 
 _COMMENT = re.compile(r"\s*(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|pragma)\b)|/\*|\*|--|;;|<!--)")
 _TOOL = re.compile(
@@ -53,7 +69,7 @@ _MINIFIED_PATH = r"\.min\.[cm]?[jt]sx?$|\.bundle(?:\.[0-9a-f]+)?\.[cm]?[jt]sx?$"
 
 
 def _border(lines: list[str]) -> tuple[list[str], list[str]]:
-    """The comment lines before the first code and after the last."""
+    """The comment lines before the first code and after the last, however many."""
 
     def edge(ordered):
         out, inside = [], False
@@ -64,8 +80,6 @@ def _border(lines: list[str]) -> tuple[list[str], list[str]]:
             inside = (inside or "/*" in s) and "*/" not in s
             if s:
                 out.append(s)
-            if len(out) >= BORDER_LINES:
-                break
         return out
 
     tail = []
@@ -74,8 +88,6 @@ def _border(lines: list[str]) -> tuple[list[str], list[str]]:
             break
         if line.strip():
             tail.append(line.strip())
-        if len(tail) >= BORDER_LINES:
-            break
     return edge(lines), tail
 
 
@@ -99,16 +111,21 @@ def layout(path: str | None, text: str | None) -> dict:
     series = series if series >= SERIES and series >= SERIES_SHARE * len(_DEFINED.findall(text)) else 0
     head, tail = _border(lines)
     notes = [x for x in head + tail if not _STUB.search(x)]
+    max_line, mean_line = max(map(len, lines)), sum(map(len, filled)) / max(1, len(filled))
+    space_share, alnum_share = (len(text) - sum(map(len, text.split()))) / n, len(_SIGN.sub("", text)) / n
+    blob = found >= numbers and found >= number_share * tokens or runs >= encoded_share * n and runs >= 200
+    least_mean, least_max, most_space, least_alnum, most_alnum = FILE_THRESHOLDS.get(language_of(path), FILE_THRESHOLDS[None])
+    packed = n >= LEAST_TEXT and mean_line >= least_mean and max_line >= least_max and space_share <= most_space and least_alnum <= alnum_share <= most_alnum
     return {
-        "max_line": max(map(len, lines)),
-        "mean_line": sum(map(len, filled)) / max(1, len(filled)),
-        "space_share": (len(text) - sum(map(len, text.split()))) / n,
-        "alnum_share": len(_SIGN.sub("", text)) / n,
+        "max_line": max_line,
+        "mean_line": mean_line,
+        "space_share": space_share,
+        "alnum_share": alnum_share,
         "number_density": found / max(1, tokens),
         "encoded_share": runs / n,
         "dense_share": dense / outside,
-        "minified": dense >= dense_share * outside,
-        "blob": found >= numbers and found >= number_share * tokens or runs >= encoded_share * n and runs >= 200,
+        "minified": dense >= dense_share * outside or packed and not blob,
+        "blob": blob,
         "series": series,
         "generated_note": any(map(_TOOL.search, notes)),
         "vendored_note": any(map(_ORIGIN.search, notes)),

@@ -32,6 +32,24 @@ def test_a_run_on_a_long_line_hides_nothing(run):
     assert not uf.layout("a/b.js", f'const u = "{run * 9}";\n' + "function f(a) {\n    return a + left + right;\n}\n" * 60)["minified"]
 
 
+def wrapped(text, width):
+    return "\n".join(text[k : k + width] for k in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("suffix", ["js", "ts", "java", "rs", "cs", "kt", "swift", "go", "c", "cpp", "py"])
+def test_wrapped_minified_text(suffix):
+    assert uf.layout(f"a/b.{suffix}", wrapped(MIN * 2, 78))["minified"]
+    assert not uf.layout(f"a/b.{suffix}", "    if (left > right) { total = total + compute_something(left, right); }\n" * 30)["minified"]
+    assert not uf.layout(f"a/b.{suffix}", 'X = "' + wrapped("aB3+/xYz9QwErTy7" * 90, 76) + '"\n')["minified"]
+
+
+def test_border_comments_have_no_cap():
+    licence = "".join(f"# clause {k} of the terms\n" for k in range(60))
+    assert uf.layout("a.py", licence + "# Code generated by x-gen v1. DO NOT EDIT.\n" + HAND)["generated_note"]
+    assert uf.layout("a.py", HAND + "# Vendored from x 1.2.3\n" + licence)["vendored_note"]
+    assert not uf.layout("a.py", HAND + licence + "x = 1\n# Vendored from x 1.2.3\ny = 2\n")["vendored_note"]
+
+
 def test_files_operator(spark, rows):
     t = [dt.datetime(2031, 1, k) for k in (1, 2)]
     f = spark.createDataFrame([(1, "r", "a.py", HAND, t[0]), (2, "r", "b.js", MIN, t[0]), (2, "r", "b.js", MIN, t[1]), (3, "r", "c.py", NUMBERS, t[0]), (3, "r", "c.py", HAND, t[1]), (None, "r", "d.min.js", "x", None), (4, None, None, None, None)], "file_id bigint, repo_id string, rel_path string, source_text string, loaded_at timestamp")
