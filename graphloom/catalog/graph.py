@@ -80,6 +80,7 @@ QUERIES = {
     "g_owning_modules": _with(lambda st: q.owning_modules(st.nodes)),
     "g_module_graph": _with(q.module_graph),
     "g_cycles": _with(lambda st: t.simple_cycles(views.unit_edges(st)).select(F.array_join("cycle", ">").alias("cycle"))),
+    "g_import_cycles": _with(lambda st: t.truncated_cycles(q.module_graph(st)).select(F.array_join("cycle", ">").alias("cycle"), "truncated")),
     "g_layers": _with(lambda st: t.layers(views.unit_edges(st), views.unit_nodes(st))),
     "g_duplicate_bodies": _with(lambda st: q.duplicate_bodies(st.nodes)),
     "g_duplicate_signatures": _with(lambda st: q.duplicate_signatures(st.nodes)),
@@ -117,6 +118,10 @@ _SUB = "CASE WHEN contains(unit, '/') THEN regexp_replace(unit, '/[^/]*$', '') E
 
 _CLOSURE = _FILE.replace("\nWITH", "\nWITH RECURSIVE", 1) + """, rc AS (SELECT src AS a, dst AS b FROM ue UNION SELECT r.a, u.dst FROM rc r JOIN ue u ON u.src = r.b),
 core AS (SELECT ue.src, ue.dst FROM ue JOIN rc ON rc.a = ue.dst AND rc.b = ue.src)"""
+_IMPORT_CLOSURE = VISIBLE.replace("\nWITH", "\nWITH RECURSIVE", 1) + """, own AS (SELECT n.id, arg_max(m.id, (length(m.qualified_name), m.id)) AS module_id FROM v n JOIN v m ON m.kind = 'module' AND m.repo_id = n.repo_id AND (n.qualified_name = m.qualified_name OR starts_with(n.qualified_name, m.qualified_name || '.')) WHERE n.kind IN ('module','symbol') GROUP BY 1),
+ue AS (SELECT DISTINCT a.module_id AS src, b.module_id AS dst FROM gate JOIN own a ON a.id = gate.src JOIN own b ON b.id = gate.dst WHERE type = 'imports' AND a.module_id <> b.module_id),
+rc AS (SELECT src AS a, dst AS b FROM ue UNION SELECT r.a, u.dst FROM rc r JOIN ue u ON u.src = r.b),
+core AS (SELECT ue.src, ue.dst FROM ue JOIN rc ON rc.a = ue.dst AND rc.b = ue.src)"""
 _LANGUAGE = " ".join(f"WHEN regexp_matches(lower(rel_path), '(?:{'|'.join(x.replace('.', chr(92) + '.') for x in suffixes)})$') THEN '{language}'" for language, suffixes in reversed(SUFFIXES.items()))
 
 SQL = {
@@ -181,6 +186,12 @@ SELECT site.repo_id, site.path, site.line, arg_min(v.id, (greatest(location.end_
     "g_cycles": _CLOSURE
     + """, paths AS (SELECT src AS f, dst AS l, [src, dst] AS path FROM core WHERE dst > src UNION ALL SELECT f, c.dst, list_append(path, c.dst) FROM paths p JOIN core c ON c.src = p.l WHERE c.dst > f AND NOT list_contains(path, c.dst) AND len(path) < 16)
 SELECT DISTINCT array_to_string(path, '>') AS cycle FROM paths JOIN core ON core.src = l AND core.dst = f ORDER BY 1 LIMIT 1000""",
+    "g_import_cycles": _IMPORT_CLOSURE
+    + """, paths AS (SELECT src AS f, dst AS l, [src, dst] AS path FROM core WHERE dst > src UNION ALL SELECT f, c.dst, list_append(path, c.dst) FROM paths p JOIN core c ON c.src = p.l WHERE c.dst > f AND NOT list_contains(path, c.dst) AND len(path) < 16)
+, cycles AS (SELECT DISTINCT path FROM paths JOIN core ON core.src = l AND core.dst = f),
+members AS (SELECT DISTINCT r.a AS node, (SELECT min(o.b) FROM rc o JOIN rc i ON i.a = o.b AND i.b = o.a WHERE o.a = r.a) AS c FROM rc r WHERE r.a = r.b),
+whole AS (SELECT list(node ORDER BY node) AS path FROM members GROUP BY c HAVING NOT bool_or(node IN (SELECT unnest(path) FROM cycles)))
+SELECT array_to_string(path, '>') AS cycle, count(*) OVER () > 1000 AS truncated FROM (SELECT path FROM cycles UNION ALL SELECT path FROM whole) ORDER BY path LIMIT 1000""",
     "g_layers": _CLOSURE
     + """, n AS (SELECT DISTINCT repo_id || '/' || unit AS node FROM v WHERE unit <> '<externals>'),
 comp AS (SELECT node, least(node, coalesce((SELECT min(r.b) FROM rc r JOIN rc q ON q.a = r.b AND q.b = r.a WHERE r.a = n.node), node)) AS c FROM n),

@@ -91,11 +91,24 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def simple_cycles(edges: DataFrame, max_length: int = MAX_CYCLE, limit: int = CYCLE_LIMIT) -> DataFrame:
-    """cycle (array of nodes from the smallest on): every simple cycle up to max_length within a component.
+    """cycle (array of nodes from the smallest on): the `limit` smallest cycles in order.
+
+    This limit is the report's feature; whether it cut anything off, truncated_cycles tells.
+    """
+    return all_cycles(edges, max_length).orderBy("cycle").limit(limit)
+
+
+def truncated_cycles(edges: DataFrame, max_length: int = MAX_CYCLE, limit: int = CYCLE_LIMIT) -> DataFrame:
+    """cycle, truncated: the rows of simple_cycles, each telling whether the limit cut off others."""
+    found = cut(all_cycles(edges, max_length).orderBy("cycle").limit(limit + 1))
+    return found.orderBy("cycle").limit(limit).withColumn("truncated", F.lit(found.count() > limit))
+
+
+def all_cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
+    """cycle: every simple cycle up to max_length within a component.
 
     A path starts at its smallest node and only visits greater ones, so each cycle appears once and already rotated. A
-    component with longer cycles only is reported as its sorted members. The result is the `limit` smallest cycles in
-    order: this limit is the report's feature; whether it cut anything off, truncated_cycles tells.
+    component with longer cycles only is reported as its sorted members.
     """
     scc = components(edges)
     a, b = scc.select(F.col("node").alias("src"), "component"), scc.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
@@ -110,7 +123,7 @@ def simple_cycles(edges: DataFrame, max_length: int = MAX_CYCLE, limit: int = CY
         if paths.isEmpty():
             break
     whole = scc.join(found.select("component").distinct(), "component", "left_anti").groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("cycle"))
-    return found.select("cycle").unionByName(whole.select("cycle")).orderBy("cycle").limit(limit)
+    return found.select("cycle").unionByName(whole.select("cycle"))
 
 
 def layers(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -69,6 +69,14 @@ def test_components_cycles_layers(spark, rows):
     assert dict(rows(t.layers(e, n))) == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 1, "f": 2, "x": 0}
 
 
+def test_import_cycles(graph, rows, spark):
+    g = graph([node(x, kind="module", qualified_name=x) for x in "abcd"], [edge("a", "b", "imports"), edge("b", "a", "imports"), edge("c", "d", "calls"), edge("d", "c", "calls"), edge("b", "c", "imports", confidence="INFERRED"), edge("c", "b", "imports")])
+    assert rows(t.truncated_cycles(q.module_graph(g))) == [(["a", "b"], False)]
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")], "src string, dst string")
+    assert rows(t.truncated_cycles(e, limit=1)) == [(["a", "b"], True)]
+    assert rows(t.truncated_cycles(e, limit=2)) == [(["a", "b"], False), (["c", "d"], False)]
+
+
 def test_empty_graph(graph, rows, spark):
     g = graph([])
     assert t.components(g.edges).count() == 0
