@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +50,16 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = Tr
     return seen.filter("distance > 0")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, component (its smallest node) of every strongly connected component with more than one node.
 
     Nodes without an in- or out-edge are trimmed first. Then colours: each node takes the greatest node that reaches
-    it; within a colour, whatever reaches its root backwards is one component, which is taken out; and so on.
+    it; within a colour, whatever reaches its root backwards is one component, which is taken out; and so on until no edge
+    is left. A round takes out at least one component; if edges are left after so many `rounds`, that is an error.
     """
     left = cut(edges.select("src", "dst").filter("src != dst").distinct())
     done = None
-    for _ in range(rounds):
+    for k in count():
         while True:  # trim
             n = left.count()
             left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
@@ -65,6 +67,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
                 break
         if not n:
             break
+        if rounds is not None and k >= rounds:
+            raise RuntimeError(f"components: edges are left after {rounds} rounds")
         colour = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node"))
         while True:  # the greatest node that reaches each
             pushed = left.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
@@ -126,10 +130,11 @@ def all_cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
     return found.select("cycle").unionByName(whole.select("cycle"))
 
 
-def layers(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
+def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, layer: nothing depends on layer 0, every edge goes to a higher layer; a component's nodes share one.
 
-    Longest paths over the condensation: a node's layer is one above the highest that points to it.
+    Longest paths over the condensation: a node's layer is one above the highest that points to it. Layers beyond so many
+    `rounds` are an error.
     """
     scc = components(edges)
     ids = nodes.select(F.col("id").alias("node")).distinct().join(scc, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -138,9 +143,11 @@ def layers(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
     dag = cut(edges.select("src", "dst").distinct().join(s, "src").join(d, "dst").filter("a != b").select("a", "b").distinct())
     level = ids.select(F.col("component").alias("a")).distinct().withColumn("layer", F.lit(0))
     active = level
-    for k in range(1, rounds + 1):
+    for k in count(1):
         active = cut(active.select("a").join(dag, "a").select(F.col("b").alias("a")).distinct())
         if active.isEmpty():
             break
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"layers: nodes are left after {rounds} rounds")
         level = cut(level.join(active.withColumn("k", F.lit(k)), "a", "left").select("a", F.coalesce("k", "layer").alias("layer")))
     return ids.join(level.withColumnRenamed("a", "component"), "component").select("node", "layer")

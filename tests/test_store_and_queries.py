@@ -77,6 +77,19 @@ def test_import_cycles(graph, rows, spark):
     assert rows(t.truncated_cycles(e, limit=2)) == [(["a", "b"], False), (["c", "d"], False)]
 
 
+def test_no_round_is_dropped(spark, rows):
+    e = spark.createDataFrame([x for k in range(3) for x in ((f"{9 - k}a", f"{9 - k}b"), (f"{9 - k}b", f"{9 - k}a"), (f"{9 - k}a", f"{8 - k}a"))], "src string, dst string")
+    assert rows(t.components(e).select("component").distinct()) == [("7a",), ("8a",), ("9a",)]
+    with pytest.raises(RuntimeError):
+        t.components(e, rounds=2)
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    n = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    assert dict(rows(t.layers(chain, n, rounds=3)))["d"] == 3
+    with pytest.raises(RuntimeError):
+        t.layers(chain, n, rounds=2)
+    assert t.components.__defaults__ == t.layers.__defaults__ == (None,)
+
+
 def test_empty_graph(graph, rows, spark):
     g = graph([])
     assert t.components(g.edges).count() == 0
