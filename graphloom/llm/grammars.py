@@ -1,18 +1,27 @@
-"""Recognisers for eleven programming languages.
+"""Validity of source texts in eleven programming languages.
 
-Python is compiled by the interpreter itself. Every other language is recognised bottom-up: a lexer turns the text into
-one character per token, and whenever a bracket closes, its content, in which all inner brackets are single characters
-already, is matched against regular expressions of that language. Apart from brackets the statements of these languages
-are regular, so a text of n tokens costs O(n). The recognisers accept somewhat more than the languages (types and names
-are never looked up, some operators are shared), but each needs the declarations, statements and separators of its own.
+Python is compiled by the interpreter itself; the other ten languages have recursive-descent parsers (see parsers/) that
+read every token of a text: all branches of conditional compilation, and the expressions within templates,
+interpolations and markup elements too. Types and names are never looked up.
 """
 
 from __future__ import annotations
 
-import re
 import warnings
 from functools import lru_cache
 
+from graphloom.llm.parsers.base import Parser, refused, valid
+from graphloom.llm.parsers.cfamily import C, Cpp
+from graphloom.llm.parsers.conditionals import variants
+from graphloom.llm.parsers.csharp import CSharp
+from graphloom.llm.parsers.ecma import JavaScript, TypeScript
+from graphloom.llm.parsers.golang import Go
+from graphloom.llm.parsers.java import Java
+from graphloom.llm.parsers.kotlin import Kotlin
+from graphloom.llm.parsers.lexing import Bad, Lexer
+from graphloom.llm.parsers.rust import Rust
+from graphloom.llm.parsers.swift import Swift
+
 LANGUAGES = ("python", "typescript", "javascript", "java", "go", "rust", "csharp", "c", "cpp", "kotlin", "swift")
 #: The language of each file suffix.
 SUFFIXES = {
@@ -29,696 +38,50 @@ def language_of(path: str | None) -> str | None:
     return SUFFIXES.get("." + name.rpartition(".")[2].lower()) if "." in name else None
 
 
-# ---------------------------------------------------------------- tokens
-
-# One character per token. i name, n number, s text, and for words and signs:
-#   m modifier  K type keyword  f function keyword  v variable keyword  I import  N package, namespace
-#   x extends, implements, where, throws  F if  S else  O for  W while  D do  M switch, match, when  C case  Q default
-#   E return  X throw  Z break, continue  T try  H catch  Y finally  J lock, using, defer ...  g go, guard
-#   ! prefix word or sign  b binary word or sign  z a word that is a keyword elsewhere
-#   * & u(+ -)  < >  = assignment  w :=  p ++ --  . member  R ->  L =>  r range  q ?.  ? : , ; @ # $ t(newline)
-_WORDS: dict[str, dict[str, str]] = {
-    "java": {
-        "m": "public private protected static final abstract synchronized native strictfp transient volatile sealed default", "K": "class interface enum record", "N": "package", "I": "import",
-        "x": "extends implements throws permits", "!": "new", "b": "instanceof", "J": "", "X": "throw", "z": "",
-    },
-    "csharp": {
-        "m": "public private protected internal static readonly abstract sealed virtual override async const extern unsafe partial ref out in params volatile new", "K": "class interface enum struct record delegate event", "N": "namespace", "I": "using",
-        "x": "where", "!": "await stackalloc", "b": "is as", "J": "lock fixed unsafe checked unchecked", "X": "throw", "O": "for foreach", "z": "",
-    },
-    "c": {"m": "static extern const volatile inline register unsigned signed restrict _Noreturn auto", "K": "struct union enum", "y": "typedef", "!": "sizeof", "z": "class template namespace using constexpr nullptr"},
-    "cpp": {
-        "m": "static extern const volatile inline register unsigned signed constexpr virtual explicit friend mutable consteval constinit thread_local typename noexcept override final", "K": "class struct union enum", "N": "namespace", "I": "using", "y": "typedef",
-        "!": "sizeof new delete co_await", "X": "throw", "a": "public private protected", "P": "template", "b": "", "z": "",
-    },
-    "javascript": {
-        "m": "export default async static get set", "K": "class", "f": "function", "v": "let var const", "I": "import", "x": "extends", "!": "new typeof void delete await yield", "b": "instanceof in of as", "X": "throw", "J": "", "z": "",
-    },
-    "typescript": {
-        "m": "export default async static get set public private protected readonly declare abstract override", "K": "class interface enum namespace", "f": "function", "v": "let var const", "I": "import", "x": "extends implements", "y": "type",
-        "!": "new typeof void delete await yield keyof infer", "b": "instanceof in of as satisfies is", "X": "throw", "J": "", "z": "",
-    },
-    "go": {"K": "struct interface", "f": "func", "v": "var const", "I": "import", "N": "package", "y": "type", "!": "chan", "b": "range", "J": "", "g": "go defer", "G": "goto", "d": "map", "M": "switch select", "z": "class function"},
-    "rust": {
-        "m": "pub async unsafe extern default const static mut ref move dyn crate", "K": "struct enum union trait", "k": "impl mod", "f": "fn", "v": "let", "I": "use", "y": "type", "x": "where", "b": "as in", "M": "match", "J": "", "z": "class function func",
-    },
-    "kotlin": {
-        "m": "public private protected internal open abstract final override sealed data inline suspend const lateinit operator infix companion tailrec external annotation inner vararg noinline crossinline reified expect actual out enum", "K": "class interface object",
-        "f": "fun", "v": "val var", "I": "import", "N": "package", "y": "typealias", "b": "as", "h": "in is", "X": "throw", "M": "when", "J": "", "z": "function func",
-    },
-    "swift": {
-        "m": "public private fileprivate internal open static final override mutating nonmutating lazy weak unowned required convenience indirect prefix postfix infix dynamic async inout some any", "K": "class struct enum protocol extension actor",
-        "f": "func", "v": "let var", "I": "import", "y": "typealias associatedtype", "x": "where throws rethrows", "!": "await", "b": "in is as", "X": "throw", "J": "defer", "g": "guard", "A": "repeat", "z": "function fun",
-    },
-}
-_COMMON = {"F": "if", "S": "else", "O": "for", "W": "while", "D": "do", "M": "switch", "C": "case", "Q": "default", "E": "return", "Z": "break continue fallthrough", "T": "try", "H": "catch", "Y": "finally"}
-_ABSENT = {"go": "try catch finally while do throw", "rust": "switch case default try catch finally do", "c": "try catch finally", "cpp": "finally", "kotlin": "switch case default", "swift": "finally"}
-_NOT_TYPES = "function func fun fn def elif import package export using"
-_NO_NAMES = {"java": "goto const", "python": ""}
-
-_NUMBER = r"(?:0[xX][\da-fA-F_']+|0[bB][01_']+|0[oO][0-7_]+|(?:\d[\d_']*)(?:\.(?![.\w])|\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?[A-Za-z]?[A-Za-z\d]*"
-_NAME = r"[^\W\d]\w*"
-_SIGNS = r"\?\.|\.\.\.|\.\.<|\.\.=|\.\.|::|->|=>|:=|<<=|>>>?=|\+\+|--|&&=?|\|\|=?|\?\?=?|===|!==|[=!<>]=|<-|<<|\*\*=?|&\^=?|[-+*/%&|^]=|[-+*/%&|^~!=<>?:;,.@#$\\]"
-_POWER = r"\*\*=?|"
-_STRINGS = {
-    "java": r'"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n])[^\'\n]{0,7}\'',
-    "csharp": r'\$?"""(?s:.*?)"""|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n])[^\'\n]{0,7}\'',
-    "c": r'(?:u8|[uUL])?"(?:[^"\\\n]|\\(?s:.))*"|[uUL]?\'(?:[^\'\\\n]|\\.)+\'',
-    "cpp": r'(?:u8|[uUL])?R"(?P<raw>[^()\\\s]*)\((?s:.*?)\)(?P=raw)"|(?:u8|[uUL])?"(?:[^"\\\n]|\\(?s:.))*"|[uUL]?\'(?:[^\'\\\n]|\\.)+\'',
-    "go": r'`[^`]*`|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.[^\'\n]*)\'',
-    "rust": r'(?:b|c)?r(?P<raw>#*)"(?s:.*?)"(?P=raw)|[bc]?"(?:[^"\\]|\\(?s:.))*"|b?\'(?:[^\'\\\n]|\\(?:u\{[\da-fA-F]+\}|x[\da-fA-F]{2}|.))\'',
-    "javascript": r'"(?:[^"\\\n]|\\(?s:.))*"|\'(?:[^\'\\\n]|\\(?s:.))*\'',
-    "kotlin": r'"""(?s:.*?)"""+|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n])[^\'\n]{0,5}\'',
-    "swift": r'(?P<raw>#+)"(?s:.*?)"(?P=raw)|"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*"',
-}
-_STRINGS["typescript"] = _STRINGS["javascript"]
-_NESTED = ("rust", "kotlin", "swift")
-_SIGN_CLASS = {
-    "?.": "q", "...": "r", "..<": "r", "..=": "r", "..": "r", "::": ".", "->": "R", "=>": "L", ":=": "w", "++": "p", "--": "p", "!": "!", "~": "!", "=": "=", "<-": "u", "+": "u", "-": "u", "\\": "\\",
-    **{c: c for c in "*&<>?:;,.@#$"}, **{c: "=" for c in "<<= >>= >>>= += -= *= /= %= &= |= ^= &&= ||= ??= **= &^=".split()},
-}
-
-_ARGS, _PARAMS, _HEAD = 1, 2, 4
-_CODE, _LIST = 1, 2
-
-
-def _mask_char(kind: str, mask: int) -> str:
-    return chr({"(": 0xE100, "{": 0xE200}[kind] + mask)
-
-
-def _class(kind: str, bit: int) -> str:
-    return "[" + "".join(_mask_char(kind, m) for m in range(1, 8) if m & bit) + "]"
-
-
-A_, P_, H_, B_, L_ = _class("(", _ARGS), _class("(", _PARAMS), _class("(", _HEAD), _class("{", _CODE), _class("{", _LIST)
-ANY_P = "[" + "".join(_mask_char("(", m) for m in range(1, 8)) + "]"
-ANY_B = "[" + "".join(_mask_char("{", m) for m in range(1, 4)) + "]"
-SQ = ""  # a bracketed list
-
-
-class Failed(Exception):
-    pass
-
-
-class Grammar:
-    """One language: its lexer and the expressions that contents must match."""
-
-    def __init__(self, name: str):
-        self.name = name
-        self.lines = name in ("javascript", "typescript", "kotlin", "swift", "go")
-        words: dict[str, str] = dict.fromkeys(_NOT_TYPES.split(), "z")
-        for group in (_COMMON, _WORDS[name]):
-            for c, ws in group.items():
-                words.update(dict.fromkeys(ws.split(), c))
-        for w in _ABSENT.get(name, "").split():
-            words.pop(w, None)
-        if name in ("java", "csharp", "cpp", "c"):
-            words.update(dict.fromkeys("extends implements".split() if name != "java" else [], "i"))
-        self.words = words
-        line = r"//[^\n]*"
-        if name in ("c", "cpp"):
-            line = r"//(?:[^\n\\]|\\(?s:.))*"
-        extra = ""
-        if name == "rust":
-            extra = r"|(?P<life>'[^\W\d]\w*(?!'))"
-        if name in ("c", "cpp"):
-            extra = r"|(?P<pre>^[ \t]*#(?:[^\n\\/\"]|\\(?s:.)|/(?![/*])|\"(?:[^\"\\\n]|\\.)*\")*)"
-        if name == "csharp":
-            extra = r"|(?P<pre>^[ \t]*#[ \t]*(?:if|elif|else|endif|region|endregion|pragma|nullable|define|undef|error|warning|line)\b[^\n]*)"
-        name_rx = _NAME
-        if name in ("javascript", "typescript"):
-            extra = r"|(?P<tick>`)|(?P<bang>\A#![^\n]*)"
-            name_rx = r"#?(?:[^\W\d]|\$)[\w$]*"
-        elif name == "java":
-            name_rx = r"(?:[^\W\d]|\$)[\w$]*"
-        elif name == "kotlin":
-            name_rx = _NAME + r"(?:@\w*)?|`[^`\n]+`"
-        elif name == "swift":
-            name_rx = r"[#$]?" + _NAME + r"|\$\d+|`\w+`"
-        elif name == "csharp":
-            name_rx = r"@?" + _NAME
-        elif name == "rust":
-            name_rx = r"(?:r#)?" + _NAME
-        elif name == "cpp":
-            name_rx = r"~?" + _NAME
-        self.lexer = re.compile(
-            rf"(?P<ws>[ \t\r\f\v ]+)|(?P<nl>\n)|(?P<line>{line})|(?P<block>/\*){extra}|(?P<text>{_STRINGS[name]})|(?P<number>{_NUMBER})|(?P<name>{name_rx})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<sign>{_SIGNS if self.lines and name in ('javascript', 'typescript') else _SIGNS.replace(_POWER, '')})",
-            re.M,
-        )
-        self.before_names = ".qNI" if name == "kotlin" else ".q"
-        self.regex_ok = name in ("javascript", "typescript")
-        after = {"kotlin": "[=.,;bu*<>?:q]|$", "swift": "[=.,;bu*<>?:q]|$", "csharp": "[=.,;bu*<>q]|$", "typescript": "[=.,;]|$", "javascript": "[=.,;]|$"}.get(name)
-        self.soft = re.compile(rf"m(?={after})" + ("|(?<=v)m(?=t)" if name in ("kotlin", "swift") else "")) if after else None
-        self.forms = _forms(name)
-
-    # ------------------------------------------------------------ lexing
-
-    def parse(self, text: str) -> bool:
-        try:
-            return self._parse(text)
-        except (Failed, RecursionError):
-            return False
-
-    def _parse(self, text: str) -> bool:
-        match, words, lines = self.lexer.match, self.words, self.lines
-        stack: list[tuple[str, list[str]]] = []
-        out: list[str] = []
-        at, n, depth = 0, len(text), 0
-        while at < n:
-            m = match(text, at)
-            if m is None:
-                return False
-            kind = m.lastgroup
-            start, at = at, m.end()
-            if kind == "raw":  # the quote's own sub-group closed last
-                kind = "text"
-            if kind == "name":
-                w = m[0]
-                out.append("i" if out and out[-1] in self.before_names else words.get(w, "i"))
-            elif kind == "sign":
-                w = m[0]
-                if w == "/" and self.regex_ok and not (out and out[-1] in "ins)]}" + SQ or out and out[-1] >= ""):
-                    at = self._regex(text, start)
-                    out.append("s")
-                    continue
-                if w == "<" and self.regex_ok and not (out and (out[-1] in "insK." + SQ or out[-1] >= "")) and (end := self._element(text, start)):
-                    out.append("s")
-                    at = end
-                    continue
-                out.append(_SIGN_CLASS.get(w, "b"))
-            elif kind == "ws" or kind == "line":
-                continue
-            elif kind == "nl":
-                if lines and (not stack or stack[-1][0] == "{" or self.name == "go") and out and out[-1] != "t":
-                    out.append("t")
-            elif kind == "text":
-                out.append("s")
-            elif kind == "number":
-                if m[0].endswith(".") and self.name not in ("c", "cpp", "java", "javascript", "typescript", "go", "csharp", "rust"):
-                    return False
-                out.append("n")
-            elif kind == "open":
-                stack.append((m[0], out))
-                out = []
-            elif kind == "close":
-                if not stack or "([{".index(stack[-1][0]) != ")]}".index(m[0]):
-                    return False
-                opened, outer = stack.pop()
-                outer.append(self._reduce(opened, "".join(out)))
-                out = outer
-            elif kind == "block":
-                at, broken = self._comment(text, at)
-                if broken and lines and (not stack or stack[-1][0] == "{") and out and out[-1] != "t":
-                    out.append("t")
-            elif kind == "tick":
-                at = self._template(text, at)
-                out.append("s")
-            elif kind == "life":
-                out.append("l")
-            elif kind == "pre":
-                at, depth = self._conditional(text, at, m[0], depth)
-            # the first line's interpreter is white space
-        if stack or depth:
-            return False
-        return self.forms["top"].fullmatch(self._tidy("".join(out))) is not None
-
-    _DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b[^\n]*", re.M)
-
-    def _conditional(self, text: str, at: int, line: str, depth: int) -> tuple[int, int]:
-        """Of the branches of a conditional the first counts, of `#if 0` the second; the rest is skipped."""
-        d = self._DIRECTIVE.match(line)
-        word = d[1] if d else ""
-        if word.startswith("if"):
-            depth += 1
-            if not re.fullmatch(r"[ \t]*#[ \t]*if[ \t]+(?:0|false)\s*", line):
-                return at, depth
-        elif word == "endif":
-            if not depth:
-                raise Failed
-            return at, depth - 1
-        elif word not in ("elif", "else"):
-            return at, depth
-        elif not depth:
-            raise Failed
-        nest = 0
-        for d in self._DIRECTIVE.finditer(text, at):
-            if d[1].startswith("if"):
-                nest += 1
-            elif nest:
-                nest -= d[1] == "endif"
-            elif d[1] == "endif":
-                return d.end(), depth - 1
-            elif word.startswith("if"):
-                return d.end(), depth
-        raise Failed
-
-    def _comment(self, text: str, at: int) -> tuple[int, bool]:
-        start = at
-        if self.name in _NESTED:
-            depth = 1
-            for m in re.compile(r"/\*|\*/").finditer(text, at):
-                depth += 1 if m[0] == "/*" else -1
-                if not depth:
-                    return m.end(), "\n" in text[start : m.end()]
-            raise Failed
-        end = text.find("*/", at)
-        if end < 0:
-            raise Failed
-        return end + 2, "\n" in text[start:end]
-
-    def _template(self, text: str, at: int) -> int:
-        n = len(text)
-        while at < n:
-            c = text[at]
-            if c == "\\":
-                at += 2
-            elif c == "`":
-                return at + 1
-            elif c == "$" and text.startswith("${", at):
-                at = self._hole(text, at + 2)
-            else:
-                at += 1
-        raise Failed
-
-    def _hole(self, text: str, at: int) -> int:
-        """The end of an expression in braces: its tokens are skipped, brackets counted."""
-        depth, n = 0, len(text)
-        while at < n:
-            m = self.lexer.match(text, at)
-            if m is None:
-                raise Failed
-            at, kind = m.end(), m.lastgroup
-            if kind == "open":
-                depth += 1
-            elif kind == "close":
-                if not depth:
-                    if m[0] != "}":
-                        raise Failed
-                    return at
-                depth -= 1
-            elif kind == "block":
-                at, _ = self._comment(text, at)
-            elif kind == "tick":
-                at = self._template(text, at)
-        raise Failed
-
-    _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-
-    def _regex(self, text: str, at: int) -> int:
-        m = self._REGEX.match(text, at)
-        if m is None:
-            raise Failed
-        return m.end()
-
-    _TAG = re.compile(r"<(?:(?P<close>/)\s*)?(?P<tag>[A-Za-z][\w.:-]*)?\s*")
-    _ATTRIBUTE = re.compile(r"\s*(?:[A-Za-z_][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?P<hole>\{)))?|(?P<spread>\{))")
-
-    def _element(self, text: str, at: int) -> int | None:
-        """The end of a markup element, or None if none begins here."""
-        names: list[str] = []
-        while True:
-            m = self._TAG.match(text, at)
-            if m is None or not names and m["close"]:
-                return None
-            at, tag = m.end(), m["tag"] or ""
-            if m["close"]:
-                if names.pop() != tag or not text.startswith(">", at):
-                    raise Failed
-                at += 1
-            else:
-                while not re.compile(r"\s*/?>").match(text, at):
-                    a = self._ATTRIBUTE.match(text, at)
-                    if a is None or a.end() == at:
-                        if names:
-                            raise Failed
-                        return None
-                    at = a.end()
-                    if a["hole"] or a["spread"]:
-                        at = self._hole(text, at)
-                end = re.compile(r"\s*(/?)>").match(text, at)
-                at = end.end()
-                if not end[1]:
-                    names.append(tag)
-            if not names:
-                return at
-            while True:  # the text between tags
-                k = re.compile(r"[<{]").search(text, at)
-                if k is None:
-                    raise Failed
-                at = k.start()
-                if k[0] == "<":
-                    break
-                at = self._hole(text, at + 1)
-
-    # ------------------------------------------------------------ contents
-
-    _PERIOD = re.compile(r"(.{1,48}?)\1{5,}", re.S)
-
-    def _tidy(self, content: str) -> str:
-        if len(content) > 200:  # long runs of one pattern are as valid as four of it, and much faster to refuse
-            content = self._PERIOD.sub(r"\1\1\1\1", content)
-        if self.soft:  # a modifier's word where no modifier can stand is a name
-            content = self.soft.sub("i", content)
-        if "t" not in content:
-            return content
-        if self.name == "go":  # a newline ends a statement after a name, a literal, a closing bracket and a few words
-            content = re.sub(r"(?<![insZEp-\]])t", "", content)
-            return content.replace("t", ";")
-        content = re.sub(r"t+", "t", content)
-        content = re.sub(r"(?<=[=b?:,.LwRxuq*&<!])t(?!$)", "", content) if self.name != "swift" else re.sub(r"(?<=[=b,.Rxuq*&<])t(?!$)", "", content)
-        return re.sub(r"t(?=[.qb=?,LR>x])", "", content) if self.name not in ("kotlin", "swift") else re.sub(r"t(?=[.qb=?,x])", "", content)
-
-    def _reduce(self, opened: str, content: str) -> str:
-        f = self.forms
-        content = self._tidy(content)
-        if opened == "[":
-            if f["square"].fullmatch(content):
-                return SQ
-            raise Failed
-        mask = 0
-        for bit, form in ((1, "args"), (2, "params"), (4, "head")) if opened == "(" else ((1, "code"), (2, "list")):
-            if f[form].fullmatch(content):
-                mask |= bit
-        if not mask:
-            raise Failed
-        return _mask_char(opened, mask)
-
-
-# ---------------------------------------------------------------- forms
-
+@lru_cache(len(LANGUAGES))
+def _parser(name: str) -> tuple[type[Parser], Lexer]:
+    return _PARSERS[name], Lexer(name)
 
-def _forms(name: str) -> dict[str, re.Pattern]:
-    """Regular expressions over token characters: top, code, list, args, params, head, square."""
-    T = "t?" if name in ("javascript", "typescript", "kotlin", "swift") else ""
-    ptr = {"c": r"\*", "go": r"\*", "cpp": r"\*&", "rust": r"\*&", "csharp": r"\*"}.get(name, "")
-    generic = "" if name == "c" else "(?:<[^;tEFSOW]*>)?"
-    names = "i(?:[.]i)*"
-    args, params = A_, P_
-    # types
-    if name == "go":
-        atom = rf"(?:[*]|{SQ}|d{SQ}|!u?|u!)*(?:{names}{SQ}?|K{ANY_B}|f{ANY_P}(?:{ANY_P}|[*]?{names})?|{ANY_P})"
-    elif name == "rust":
-        atom = rf"(?:[&*]l?|b|m|!|l)*(?:[.]?{names}{generic}(?:[.]i)*{generic}|{SQ}|{ANY_P}|!|f{ANY_P}|i{ANY_P})(?:R[&*m]*(?:{names}{generic}|{SQ}|{ANY_P}))?(?:u(?:l|[.?]*{names}{generic}))*"
-    elif name in ("typescript", "javascript"):
-        one = rf"[bm!u]*(?:{names}{generic}|[sn!{SQ}]|{ANY_P}|{ANY_B}){SQ}*"
-        atom = rf"{one}(?:(?:L|{T}[b&x?:]{T}){one})*"
-    elif name == "swift":
-        one = rf"(?:m|@i{ANY_P}?)*(?:{names}{generic}(?:[.]i{generic})*|{SQ}|{ANY_P})(?:[?!]|[.]i)*"
-        atom = rf"{one}(?:(?:[&]|i|x)*R?{one}|x*R{one}|&{one})*?"
-    elif name == "kotlin":
-        one = rf"(?:m|@i{ANY_P}?)*(?:{names}{generic}|{ANY_P})(?:[?]|[.]{ANY_P})*"
-        atom = rf"{one}(?:R{one})*"
-    elif name == "c":
-        atom = r"(?:m|K)*(?:i|m)m*(?:[*]m*)*"
-    elif name == "cpp":
-        atom = rf"(?:m|K)*(?:[.]?{names}{generic}(?:[.]i{generic})*|m)m*(?:[*&]m*|b)*(?:r)?"
-    else:
-        atom = rf"(?:m|@{names}{args}?)*(?:{names}{generic}(?:[.]i{generic})*|{ANY_P})(?:[?]|{SQ}|[{ptr}])*" if ptr else rf"(?:m|@{names}{args}?)*{names}{generic}(?:[.]i{generic})*(?:@{names})*(?:{SQ})*r?(?:&{names})*"
-    ty = f"(?:{atom})"
 
-    # expressions
-    pre = r"(?:[!u*&pr]|gi?|b)" if name in ("go",) else r"(?:[!u*&pr.]|m)" if name in ("rust", "swift", "csharp") else r"(?:[!u*&pr])"
-    if name == "cpp":
-        pre = r"(?:[!u*&pr.])"
-    if name == "typescript":
-        pre = r"(?:[!u*&pr]|m)"
-    arrow = {"java": "R", "csharp": "L", "javascript": "L", "typescript": "L"}.get(name)
-    function = ""
-    if arrow:
-        ret = rf"(?::{ty})?" if name == "typescript" else ""
-        pre = rf"(?:{pre}|m*(?:i|{ANY_P}){ret}{arrow})"
-        function = rf"(?<={arrow}){B_}|"
-    if name in ("javascript", "typescript"):
-        ret = rf"(?::{ty})?" if name == "typescript" else ""
-        function += rf"m*f[*]?i?{generic}{params}{ret}{B_}|Ki?(?:x{ty})*{B_}|"
-    if name == "go":
-        function = rf"f{params}(?:{ANY_P}|{ty})?{B_}|(?:{SQ}|d{SQ}|[*])+{ty}?{L_}?|"
-    if name == "rust":
-        pre = rf"(?:{pre}|m*b(?:[&*m]*(?:i|{ANY_P}|{SQ})(?::{ty})?,?)+b(?:R{ty})?|(?:(?<=[=,])|(?<![\s\S]))m*b(?:R{ty})?)"
-    if name == "kotlin":
-        function = rf"f{params}(?::{ty})?{B_}|K(?::{ty}{args}?)?{B_}|"
-    if name == "cpp":
-        function = rf"{SQ}{params}?(?:m)*(?:R{ty})?{B_}|"
-    block_value = {"rust": rf"|(?:m)?{B_}", "kotlin": rf"|{B_}", "swift": rf"|{B_}|{SQ}", "javascript": rf"|{L_}", "typescript": rf"|{L_}", "go": rf"|{L_}", "c": rf"|{L_}", "cpp": rf"|{L_}", "java": rf"|{L_}", "csharp": rf"|{L_}"}[name]
-    prim = rf"(?:{function}[ins]|z|l:?|Q|{args}|{SQ}{block_value}|{_class('(', _PARAMS)}(?={SQ}))"
-    post = rf"(?:{args}|{SQ}|[.q]{T}(?:i|n|{args}|{SQ}|!|K|m|F|v)|p|<>|<[isz,.?<>{SQ}&*:m]*>(?={ANY_P}|[.]|{ANY_B})|[.]<[^;tE]*?>"
-    post += {
-        "rust": rf"|[?]|!(?:{ANY_P}|{SQ}|{ANY_B})|{ANY_B}|b{ty}(?=[;,bu*&<>=t]|$)",
-        "kotlin": rf"|!!|{B_}|[?][.]i|\.\.i|@i",
-        "swift": rf"|[!?]|{B_}|i:{B_}",
-        "go": rf"|{L_}|[.]{ANY_P}",
-        "typescript": r"|!|s",
-        "javascript": r"|s",
-        "java": rf"|{B_}|[.]!|[.]m|\.i",
-        "csharp": rf"|{ANY_B}|!|[?]{SQ}",
-        "cpp": rf"|{L_}|R(?:i|z)",
-        "c": rf"|{L_}|R(?:i|z)",
-    }[name]
-    post += ")"
-    bin_ = r"(?:[bu*&<]|>{1,3}|r|!b)" if name in ("kotlin", "rust") else r"(?:[bu*&<]|>{1,3}|r)"
-    if name == "kotlin":
-        bin_ = r"(?:[bhu*&<]|>{1,3}|r|[?]:|![bh]|(?<![=,:;t])i(?=[ins]))"
-    unit = rf"(?:{pre}*+{prim}{post}*)"
-    if name == "rust":
-        unit = rf"(?:{pre}*{prim}{post}*|F[^;]*?{B_}(?:SF[^;{{]*?{B_})*(?:S{B_})?{post}*|M[^;]*?{ANY_B}{post}*|(?:l:)?O[^;]*?{B_}|(?:l:)?W[^;]*?{B_}|E|Z l?|{pre}*{prim}{post}*r)".replace(" ", "")
-    if name == "kotlin":
-        unit = rf"(?:{pre}*{prim}{post}*|F{args}{T}(?:[ins]{post}*|{B_}){T}S{T}(?:[ins]{post}*|{B_})|M{args}?{ANY_B}|T{B_}(?:{T}H{ANY_P}{B_})*(?:{T}Y{B_})?|E(?:@i)?|X[ins]{post}*)"
-    if name == "swift":
-        unit = rf"(?:(?:T[!?]?)?{pre}*{prim}{post}*|F[^;t]*?{B_}(?:SF[^;t]*?{B_})*S{B_}|M[^;t]*?{ANY_B}|[.]i{post}*)"
-    if name == "csharp":
-        unit = rf"(?:{pre}*{prim}{post}*(?:M{ANY_B})?|X{prim}{post}*)"
-    if name == "java":
-        unit = rf"(?:{pre}*{prim}{post}*|M{args}{B_}|{ANY_P}{pre}*{prim}{post}*|!{ty}(?:{args}|{L_}|{SQ}){ANY_B}?{post}*)"
-    if name in ("c", "cpp", "csharp"):
-        unit = rf"(?:{ANY_P}?{unit}|{ANY_P}{unit}" + (rf"|!{ty}(?:{args}|{L_}|{ANY_B}|{SQ})*{post}*" if name != "c" else "") + ")"
-    if name == "csharp":
-        unit = rf"(?:{unit})"
-    signs = bin_[3:-1]
+_PARSERS = {x.LANGUAGE: x for x in (TypeScript, JavaScript, Java, Go, Rust, CSharp, C, Cpp, Kotlin, Swift)}
+_DIRECTIVES = ("c", "cpp", "csharp", "swift")
 
-    def expression(more: str) -> str:
-        """Units joined by binary signs, assignments and what more names; after a question mark also by colons."""
-        joint = rf"{T}(?:{signs}|{more}){T}"
-        return rf"(?:{unit}(?:{joint}{unit})*" + ("" if name in ("rust", "go", "kotlin") else rf"(?:{T}[?]{T}{unit}(?:(?:{joint}|{T}[?:]{T}){unit})*)?") + ")"
 
-    e0 = e = ex = expression("[=w]|>=")
-    exs = expression("[=w,]|>=")
-    ann = rf"(?:@{names}(?::i)?(?:[.]i)*{generic}{args}?{T})*" if name in ("java", "kotlin", "swift", "typescript", "javascript") else rf"(?:#!?{SQ})*" if name == "rust" else rf"(?:{SQ})*" if name in ("csharp", "cpp") else ""
-    mods = rf"(?:m{T}|@{names}(?::i)?{generic}{args}?{T})*" if ann.startswith("(?:@") else rf"{ann}(?:m)*"
-    if name == "rust":
-        mods = rf"{ann}(?:m{ANY_P}?s?)*"
-    if name == "swift":
-        mods = rf"(?:m{ANY_P}?{T}|@i{args}?{T})*"
+def normal_text(text: str) -> str:
+    """Without a byte-order mark, and with one kind of line ends."""
+    return text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
 
-    label = {"swift": r"(?:i:)?", "rust": "(?:l:)?"}.get(name, r"(?:i:(?![:]))?")
-    end = ";" if name in ("java", "csharp", "c", "cpp") else "(?:;|$)" if name in ("go",) else ";" if name == "rust" else r"(?:[;t]+|$)"
-    flags: dict[str, str] = {}
-    decl = "(?!)"
 
-    # ---- statements
-    if name in ("java", "csharp", "c", "cpp", "javascript", "typescript"):
-        prefix = rf"(?:F(?:m|!)?{args}{T}|S{T}|O(?:!)?{H_}{T}|W{args}{T}|D{T}|T(?:{ANY_P})?{T}|H{ANY_P}?{T}|Y{T}|J{ANY_P}?{T}|{'I' + ANY_P + '|' if name == 'csharp' else ''}M{args}{T}|C[^;]*?(?:[:]|{'R' if name == 'java' else 'L' if name == 'csharp' else ':'}){T}|Q(?:[:]|R){T}|i:(?!:){T})"
-        if name == "java":
-            prefix = rf"(?:{prefix}|m[:R])"
-        if name in ("javascript", "typescript"):
-            prefix = prefix.replace("|i:(?!:)", "|i:")
-            prefix = rf"(?:{prefix}|m[:]{T})"
-        decl = {
-            "java": rf"(?:m|@{names}{args}?)*{ty}i{SQ}*(?:={ex})?(?:,i{SQ}*(?:={ex})?)*",
-            "csharp": rf"(?:{SQ})*(?:J{ty}|I)?(?:m)*{ty}i(?:={ex})?(?:,i(?:={ex})?)*",
-            "c": rf"(?:y)?(?:m)*(?:K(?:i)?{ANY_B}?|{ty})m*[*]*(?:m)*(?:i|{ANY_P})?(?:{SQ}|{ANY_P})*(?::n)?(?:={ex})?(?:,[*]*i{SQ}*(?:={ex})?)*",
-            "cpp": rf"(?:P<[^;]*?>)?(?:{SQ})*(?:y)?(?:m)*(?:K(?:[.]?{names}{generic})?(?::(?:a|m|,|{ty})*)?{ANY_B}|{ty})m*[*&]*(?:i|{ANY_P}|{SQ})?(?:{SQ}|{ANY_P}|{L_})*(?::n)?(?:={ex})?(?:,[*&]*i{SQ}*(?:={ex}|{args}|{L_})?)*",
-            "javascript": rf"m*v(?:i|{L_}|{ANY_B}|{SQ})(?:={T}{ex})?(?:,{T}(?:i|{L_}|{ANY_B}|{SQ})(?:={T}{ex})?)*",
-            "typescript": rf"m*v(?:i|{L_}|{ANY_B}|{SQ})!?(?::{ty})?(?:={T}{ex})?(?:,{T}(?:i|{L_}|{ANY_B}|{SQ})(?::{ty})?(?:={T}{ex})?)*",
-        }[name]
-        simple = rf"(?:{decl}|E(?:{exs})?|X{ex}|X|Z(?:i)?|Q|{exs}|C|iZ)" if name not in ("c",) else rf"(?:{decl}|E(?:{exs})?|Zi?|{exs})"
-        simple = simple.replace("|Q|", "|").replace("|C|", "|")
-        if name == "csharp":
-            simple = rf"(?:{simple}|iE{ex}|iZ)"
-        if name in ("c", "cpp"):
-            simple = rf"(?:{simple}|ii)"
-        parts = [rf"{prefix}+(?:{B_}{T}|{simple}{end}|;)", rf"{simple}{end}", rf"{B_}{T}", ";", "t"]
-        if name == "java":
-            throws = rf"(?:x{ty}(?:,{ty})*)*"
-            parts += [rf"{mods}@?K{'i'}{generic}{ANY_P}?{throws}{B_};?", rf"{mods}{generic}{ty}i{params}{SQ}*{throws}(?:{B_}|Q?[^;{ANY_B[1:-1]}]*;|;)", rf"{mods}{generic}i{params}{throws}{B_}", rf"m{B_}", rf"{mods}i{args}?{B_}?(?:,{mods}i{args}?{B_}?)*,?(?:;|$)"]
-            parts[-4] = rf"{mods}{generic}{ty}i{params}{SQ}*{throws}(?:{B_}|(?:m{ex})?;)"
-        if name == "csharp":
-            where = rf"(?:x{names}:(?:{ty}|K|!{ANY_P}|m{ANY_P}|,)+)*"
-            base = rf"(?::{ty}{args}?(?:,{ty})*)?"
-            parts += [
-                rf"(?:{SQ})*m*K+K?i{generic}{ANY_P}?{base}{where}(?:{ANY_B}|;);?", rf"(?:{SQ})*m*K?{ty}(?:i|{names}{generic}|i[.]{names}){generic}{params}{where}(?:{B_}|L{ex};|;)", rf"(?:{SQ})*m*!?i{params}(?::i{args})?(?:{B_}|L{ex};)",
-                rf"(?:{SQ})*m*K?{ty}(?:i|i{SQ})(?:{ANY_B}(?:=?{ex};)?|L{ex};)", rf"(?:{SQ})*m*(?:i)(?:{B_}|L{ex};|;)", rf"(?:{SQ})*i(?:={ex})?(?:,(?:{SQ})*i(?:={ex})?)*,?$",
-            ]
-        if name == "c":
-            parts += [rf"m*{ty}[*]*i{params}(?:{B_}|;)", rf"m*Ki?{ANY_B};", rf"ym*Ki?{ANY_B}[*]*i{SQ}*;"]
-        if name == "cpp":
-            head = rf"(?:P<[^;]*?>)*(?:{SQ})*"
-            init = rf"(?::{names}{generic}(?:{args}|{L_})(?:,{names}{generic}(?:{args}|{L_}))*)?"
-            parts += [
-                rf"{head}(?:m)*{ty}[*&b]*(?:[.]?{names}{generic}(?:[.]i)?)(?:{params})(?:m{args}?|&|b)*(?:R{ty})?(?:{init}{B_}|;|=(?:n|Q|!);)", rf"{head}m*!?{names}{generic}{params}(?:m{args}?)*(?:{init}{B_}|;|=(?:n|Q|!);)",
-                rf"{head}m*K+(?:{SQ})*(?:[.]?{names}{generic})?m*(?::(?:a|m|,|{ty})*)?{ANY_B}(?:[*&]?i)?;", r"a:", rf"m*N(?:{names})?{B_}", rf"N i={names};".replace(" ", ""), rf"IN?(?:m)*[.]?{names}{generic}(?:={ty})?;", rf"m?s{B_}", rf"{head}m*(?:{ty}[*&]*)?i(?:[b*&<>=!u]|>=|{SQ}|{ANY_P}|p|!m){params}m*(?:{B_}|;|=(?:Q|!);)", rf"{head}m*i{ty}{params}m*(?:{B_}|;)",
-            ]
-        if name in ("javascript", "typescript"):
-            ret = rf"(?::{ty})?" if name == "typescript" else ""
-            key = rf"(?:i|s|n|z|{SQ}|m|[A-Zf-y])"
-            gen = generic if name == "typescript" else ""
-            ext = rf"(?:x{ty}(?:{args})?(?:,{ty})*)*" if name == "typescript" else rf"(?:x{e0})?"
-            parts += [
-                rf"{mods}f[*]?i?{gen}{params}{ret}(?:{B_}{T}|{end})" if name == "typescript" else rf"{mods}f[*]?i?{params}{B_}{T}", rf"{mods}Ki?{gen}{ext}{ANY_B}{T}", rf"I(?:s|{args}(?:[.]i{args})*|(?:y)?(?:(?:i|[*]ii|{ANY_B}),?)+is){end}", rf"m+(?:{ANY_B}|[*](?:ii)?)(?:is)?{end}", rf"mm?{ex}{end}",
-                rf"{mods}[*]?{key}[?!]?{gen}{params}{ret}(?:{B_}{T}" + (rf"|{end})" if name == "typescript" else ")"), rf"{mods}{key}[?!]?" + (rf"(?::{ty})?" if name == "typescript" else "") + rf"(?:={T}{ex})?{end}", rf"mm*{B_}{T}",
-            ]
-            if name == "javascript":
-                parts[-2] = rf"(?:m{T})*{key}={T}{ex}{end}|m+{key}{end}"
-                members = parts[-3:]
-            else:
-                parts[-2] = rf"(?:m{T})*{key}[?!]?:{ty}(?:={T}{ex})?[,;t]*|(?:m{T})*{key}={T}{ex}{end}|m+{key}[?!]?{end}"
-                members = parts[-3:]
-                parts += [rf"m*yi{generic}={T}(?:[b&]{T})?{ty}{end}", rf"m*Ki(?:[.]i)*{ANY_B}{T}", rf"m*(?:{SQ}|{params}):{ty}{end}", rf"Ii={e}{end}"]
-                members.append(parts[-2])
-            # fields and methods stand in classes only
-            flags["top"] = rf"(?:{'|'.join(x for x in parts if x not in members)})*+"
-        code = rf"(?:{'|'.join(parts)})*+"
-    elif name == "go":
-        var = rf"i(?:,i)*(?:{ty})?(?:={exs})?"
-        simple = rf"(?:v{var}|v{ANY_P}|yi{SQ}?=?{ty}|y{ANY_P}|E(?:{exs})?|Zi?|Gi|g{ex}|{exs}|{e}(?:,{e})*[=w]b{e}|{e}u{e})"
-        header = rf"(?:(?:{exs}|{e}(?:,{e})*[=w]b?{e})?;)?(?:{exs})?"
-        stmt = rf"(?:F{header}{B_}(?:SF{header}{B_})*(?:S{B_})?|O(?:(?:{exs})?;?(?:{exs})?;?(?:{exs})?|(?:{exs})?[=w]?b{e}){B_}|M(?:{header}|(?:i w)?{e}){B_}|{B_}|{simple})".replace(" ", "")
-        case = rf"(?:C(?:{exs}|{ty}(?:,{ty})*|{simple}):|Q:|i:)"
-        field = rf"(?:i(?:,i)*{ty}s?|[*]?{names}s?|i{params}(?:{ty}|{ANY_P})?|u?{ty}(?:b{ty})*)"
-        func = rf"f{params}?i{SQ}?{params}(?:{ty}|{ANY_P})?(?:{B_})?"
-        code = rf"(?:(?:{case}*{stmt}|{case}+|{field})?(?:;|$)|{case};?)*"
-        top = rf";*Ni;+(?:I(?:[i.]?s|{ANY_P});+)*(?:(?:{func}|v{var}|v{ANY_P}|yi{SQ}?=?{ty}|y{ANY_P}|yi{ANY_P}{ty})(?:;+|$)|I(?:[i.]?s|{ANY_P});+)*"
-        flags["top"] = top
-    elif name == "rust":
-        gen = generic
-        where = r"(?:x[^;=]*?)?"
-        vis = mods
-        item = [
-            rf"{vis}f(?:i){gen}{params}(?:R{ty})?{where}(?:{B_}|;)", rf"{vis}K(?:i){gen}(?::[^;]*?)?{where}(?:{ANY_B}|{ANY_P}{where};|;)", rf"{vis}k{gen}(?:!?{ty}O)?{ty}{where}{B_}", rf"{vis}k(?:i)(?:{B_}|;)", rf"{vis}I[.]?(?:(?:i|m)[.])*(?:{ANY_B}|[*]|(?:i|m)(?:bi)?);",
-            rf"{ann}(?:m{ANY_P}?)*m(?:m)?i:{ty}(?:={ex})?;", rf"{vis}yi{gen}(?:[:=][^;]*)?;", rf"{ann}i(?:[.]i)*!i?(?:{B_}|{ANY_B}|{ANY_P};|{SQ};)", rf"{vis}s?{B_}", rf"#!{SQ}",
-        ]
-        pat = rf"(?:[^=;:]|[.])*?"
-        tail = rf"(?:{ex})"
-        stmt = [*item, rf"{ann}v{pat}(?::{ty})?(?:={ex}(?:S{B_})?)?;", rf"(?:{label}(?:F[^;]*?{B_}(?:SF[^;]*?{B_})*(?:S{B_})?|(?:W|O)[^;]*?{B_}|i?{B_}|M[^;]*?{ANY_B}))", rf"(?:E|Z)(?:l)?(?:{ex})?(?:;|$)", rf"{tail}(?:;|$)", ";"]
-        code = rf"(?:{'|'.join(stmt)})*+"
-        # match arms and struct fields
-        flags["list_extra"] = rf"(?:{ann}(?:[^;L]*?)L(?:{ex}|E(?:{ex})?|Z){',?'})*|(?:{ann}{vis}i(?::{ty})?,?)*|(?:{ann}i(?:{ANY_P}|{ANY_B})?(?:={ex})?(?:,|$))*|(?:(?:[.]?(?:i|m)(?:[.](?:i|m|[*]|{ANY_B}))*(?:bi)?|[*]),?)*"
-        flags["top"] = rf"(?:{'|'.join(item)}|;)*+"
-    elif name == "kotlin":
-        gen = generic
-        base = rf"(?:{T}:{T}{ty}(?:{args})?(?:bi)?(?:,{T}{ty}{args}?)*)?"
-        accessors = rf"(?:t?m*i{ANY_P}?(?::{ty})?(?:={ex}|{B_}))*"
-        item = [
-            rf"{mods}Ki?{gen}(?:m*i?{params})?{base}(?:x[^t]*)?(?:{T}{ANY_B})?", rf"{mods}f{gen}(?:{ty}[.])?i{gen}{params}(?:{T}:{ty})?(?:x[^t]*)?(?:{T}(?:{B_}|=(?:{ex}|X{ex})))?", rf"{mods}v{gen}(?:{ty}[.])?(?:i|{ANY_P})(?::{ty})?(?:{T}(?:=|b|i){ex})?{accessors}",
-            rf"{mods}yi{gen}={ty}", rf"{mods}iA?{params}(?::i{args})?{B_}?".replace("A?", ""), rf"{mods}i{B_}",
-        ]
-        stmt = [*item, rf"{label}(?:F{args}{T}|S{T}|O{H_}{T}|W{args}{T}|D{T}|T{T}|H{ANY_P}{T}|Y{T})+(?:{B_}|{ex}|E(?:@i)?(?:{ex})?|Z|X{ex})(?:{T}S{T}(?:F{args}{T})?(?:{B_}|{ex}|E{ex}?|Z))*(?:W{args})?", rf"M{ANY_P}?{ANY_B}", rf"E(?:@i)?(?:{ex})?", rf"X{ex}", r"Z(?:@i)?", ex, B_]
-        arm = rf"(?:(?:{exs}|!?h{e}(?:,!?h{e})*|S)R{T}(?:{ex}|X{ex}|E(?:{ex})?|Z|{B_}))"
-        enum = rf"(?:{mods}i{args}?{B_}?(?:,{T}{mods}i{args}?{B_}?)*,?{T}(?:;|$))?"
-        lam = rf"(?:(?:i|{ANY_P})(?::{ty})?(?:,(?:i|{ANY_P})(?::{ty})?)*R{T})?"
-        sep = r"(?:[;t]+|$)"
-        code = rf"t?{lam}{T}{enum}{T}(?:(?:{'|'.join(stmt)}|{arm})?{sep}|(?<={ANY_B})(?=[fvKmFOWES]))*"
-        flags["top"] = rf"t*(?:@i:[^t]*t)*(?:N{names}[;t]+)?(?:I{names}(?:[.][*])?(?:bi)?[;t]*)*(?:(?:{'|'.join(item)}){sep}|[;t])*"
-    elif name == "swift":
-        gen = generic
-        conf = rf"(?::{ty}(?:,{ty})*)?(?:x[^t{ANY_B[1:-1]}]*)?"
-        th = r"(?:m|x)*"
-        sep = r"(?:[;t]+|$)"
-        cond = rf"(?:(?:C?[^;t]*?))"
-        item = [
-            rf"{mods}K(?:{names}){gen}{conf}{ANY_B}", rf"{mods}f(?:i|b|u|[*<>]|!)+{gen}{params}{th}(?:R{ty})?(?:x[^t{ANY_B[1:-1]}]*)?(?:{B_})?", rf"{mods}(?:i[?!]?){gen}{params}{th}{B_}", rf"{mods}v(?:i|{ANY_P})(?::{ty})?(?:={ex})?(?:{B_})?(?:,(?:i)(?::{ty})?(?:={ex})?)*",
-            rf"{mods}y{'i'}{gen}(?::{ty})?(?:=?{ty})?", rf"{mods}i{B_}", rf"{mods}i{params}R{ty}{B_}", rf"(?:m)?C(?:i{ANY_P}?(?:={e})?)(?:,i{ANY_P}?(?:={e})?)*", rf"{mods}i(?:{params})",
-        ]
-        stmt = [*item, rf"{label}(?:F{cond}{B_}(?:{T}SF{cond}{B_})*(?:{T}S{B_})?|O{cond}{B_}|W{cond}{B_}|A{B_}{T}W{e}|D{B_}(?:{T}H{cond}{B_})*|J{B_}|M{cond}{ANY_B}|g{cond}S{B_})", rf"E(?:{ex})?", rf"X{ex}", r"Zi?", ex]
-        lam = rf"(?:(?:{ANY_P}|{SQ}|i(?:,i)*)+(?:x|m)*(?:R{ty})?b{T})?"
-        case = rf"(?:(?:C[^;]*?:|Q:|@iQ:){T})"
-        code = rf"t?{lam}t?(?:{case}*(?:{'|'.join(stmt)})?{sep}|{case})*"
-        flags["top"] = rf"t*(?:(?:{mods}I(?:K|f|v)?{names}|{'|'.join(stmt)})?{sep})*"
+def compiles(text: str) -> bool:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(text, "<source>", "exec", dont_inherit=True)
+    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
+        return False
+    return True
 
-    # ---- lists, arguments, parameters
-    spread = r"r?"
-    named = {"swift": rf"(?:[a-zA-Z]:{T})?", "csharp": r"(?:i:)?(?:m(?:i(?=i))?)?", "kotlin": rf"(?:i={T})?(?:[*])?"}.get(name, "")
-    item_ = rf"(?:{named}{spread}{ex})"
-    if name == "cpp" or name == "c":
-        item_ = rf"(?:{ex}|{ty}|[.]i={ex}|{SQ}={ex})"
-    if name == "go":
-        item_ = rf"(?:{ex}r?|{ty})"
-    if name == "csharp":
-        item_ = rf"(?:{item_}|m?(?:{ty})i|{ty})"
-    if name == "java":
-        item_ = rf"(?:{ex}|{ty}(?:[.]K)?)"
-    if name == "swift":
-        item_ = rf"(?:{named}(?:&)?{ex}|{named}{bin_}|C?v[^,;]*)"
-    if name == "rust":
-        item_ = rf"(?:{ex}|[^;,t]+?)"
-    comma = rf",{T}"
-    arglist = rf"(?:{item_}(?:{comma}{item_})*,?)?"
-    d = rf"(?:={T}{ex})?"
-    param = {
-        "java": rf"(?:m|@{names}{args}?)*{ty}(?:i{SQ}*|i[.]i)", "csharp": rf"(?:{SQ})*m*{ty}i{d}", "c": rf"(?:{ty}[*]*m*(?:i|{ANY_P})?(?:{SQ}|{ANY_P})*|r)", "cpp": rf"(?:{ty}(?:i|{ANY_P}{ANY_P}?)?{SQ}*{d}|r)",
-        "javascript": rf"r?(?:i|z|{ANY_B}|{SQ}){d}", "typescript": rf"(?:@{names}{args}?)*m*r?(?:i|z|{ANY_B}|{SQ})[?]?(?::{ty})?{d}", "go": rf"(?:i(?:,i)*r?{ty}|r?{ty})", "rust": rf"{ann}(?:&l?m?i|m?i|(?:[&m]|{ANY_P}|{names}{ANY_B}?|{SQ})+?:r?{ty}|{ty}|r)",
-        "kotlin": rf"{mods}(?:v)?(?:(?:i|m):{ty}{d}|i)", "swift": rf"{mods}(?:(?:[a-zA-Z])?i:{ty}r?{d}|{ty}|[a-zA-Z]:{ty}{d})",
-    }[name]
-    paramlist = rf"(?:{param}(?:{comma}{param})*,?)?"
-    if name in ("c", "cpp"):
-        paramlist = rf"(?:{paramlist}|m)"
-    if name == "go":
-        spec = rf"(?:(?:v?i(?:,i)*(?:{ty})?(?:={exs})?|[i.]?s|yi|i{SQ}?=?{ty})?(?:;|$))*"
-        paramlist = rf"(?:{paramlist}|{spec})"
-    inits = rf"(?:{decl}|{exs})?" if name in ("java", "csharp", "c", "cpp", "javascript", "typescript") else ""
-    head = {
-        "java": rf"(?:{inits};(?:{ex})?;(?:{exs})?|(?:m|@i)*{ty}i:{ex}|{decl}(?:;{decl})*;?|m*{ty}(?:b{ty})+i|{ex})", "csharp": rf"(?:{inits};(?:{ex})?;(?:{exs})?|(?:{ty}i|i{ANY_P}|{ty})m{ex}|{inits})", "c": rf"{inits};(?:{exs})?;(?:{exs})?", "cpp": rf"(?:{inits};(?:{exs})?;(?:{exs})?|(?:m)*{ty}(?:i|{SQ})?:{ex})",
-        "javascript": rf"(?:{inits};(?:{exs})?;(?:{exs})?|v?(?:i|{ANY_B}|{SQ})b{ex})", "typescript": rf"(?:{inits};(?:{exs})?;(?:{exs})?|v?(?:i|{ANY_B}|{SQ})b{ex})", "kotlin": rf"(?:i|{ANY_P})(?::{ty})?h{ex}",
-    }.get(name, r"(?!)")
-    pair = {
-        "javascript": rf"(?:(?:m|[*])*[a-zA-Z](?::{T}{ex}|={ex}|{params}{B_})?|(?:m|[*])*(?:{SQ}|s|n)(?::{T}{ex}|{params}{B_})|r{ex}|[a-z]bi)", "csharp": rf"(?:{ex}|{SQ}={ex})", "go": rf"(?:(?:{ex}:)?{ex}r?)", "c": rf"(?:[.]i=)?(?:{SQ}=)?{ex}", "cpp": rf"(?:[.]i=)?{ex}r?|i={ex}",
-        "java": ex, "rust": rf"(?:{ex}|i:{ex}|r{ex})", "kotlin": rf"{ex}", "swift": rf"{ex}",
-    }
-    pair["typescript"] = pair["javascript"].replace(rf"{params}{B_}", rf"{params}(?::{ty})?{B_}") + rf"|m*[a-zA-Z][?]?:{ty}"
-    p = rf"(?:{pair[name]})"
-    listing = rf"(?:t|;)?(?:{p}(?:(?:{comma}|(?<=;);?){T}{p})*,?(?:t|;)?)?"
-    if name == "typescript":
-        listing = rf"(?:{listing}|t?(?:(?:m*[a-zA-Z][?]?:{ty}|m*{SQ}:{ty}|[a-zA-Z][?]?{params}:{ty})[,;t]*)*)"
-    if extra := flags.get("list_extra"):
-        listing = rf"(?:{listing}|{extra})"
-    square = {
-        "go": rf"(?:(?:{ex})?:?(?:{ex})?(?::{ex})?|r|{ty}(?:,{ty})*|i(?:,i)*{ty}(?:,i(?:,i)*{ty})*)", "rust": rf"(?:{arglist}|{ty};{ex}|{ex};{ex}|{ty}|[^;]*)", "swift": rf"(?::|(?:{ex}:)?{ex}(?:{comma}(?:{ex}:)?{ex})*,?|{ty}:{ty}|{arglist})", "csharp": rf"(?:,*|{arglist}|(?:i:)?{ty}{args}?(?:,{ty}{args}?)*)",
-        "cpp": rf"(?:{arglist}|[=&,imr*]*|{SQ})", "javascript": rf",*(?:{arglist}(?:,+{arglist})*)", "typescript": rf"(?:,*(?:{arglist}(?:,+{arglist})*)|{ty}(?:,{ty})*|i(?::|b){ty})", "kotlin": arglist, "java": rf"(?:{ex})?", "c": rf"(?:m*{ex})?",
-    }[name]
-    if "top" not in flags:
-        types = code
-        if name == "java":
-            typedecl = rf"{mods}@?Ki{generic}{ANY_P}?(?:x{ty}(?:,{ty})*)*{B_}"
-            types = rf"(?:{mods}N{names};)?(?:I(?:m)?{names}(?:[.][*])?;|;)*(?:{typedecl}|;)*"
-        if name == "csharp":
-            types = rf"(?:m?I(?:m)?(?:i=)?{ty};)*(?:{SQ})*(?:N{names};(?:I(?:m)?(?:i=)?{ty};)*)?(?:N{names}{B_};?|{'|'.join(parts)})*+"
-            code = rf"(?:N{names}{B_};?|I(?:m)?(?:i=)?{ty};|{'|'.join(parts)})*+"
-        if name == "c":
-            top_parts = [rf"{decl};", *parts[-3:], ";", rf"m?s{B_}"]
-            types = rf"(?:{'|'.join(top_parts)})*+"
-        if name == "cpp":
-            top_parts = [rf"{decl};", *parts[-10:], ";"]
-            types = rf"(?:{'|'.join(x for x in top_parts if x != 'a:')})*+"
-        flags["top"] = types
-    forms = {"top": flags["top"], "code": code, "list": listing, "args": arglist, "params": paramlist, "head": head, "square": square}
-    return {k: re.compile(v) for k, v in forms.items()}
 
+def parses(text: str, language: str, foreign: bool = False) -> bool:
+    """Whether the text is valid in the language. A byte-order mark and any line ends are ignored; empty text is valid.
 
-@lru_cache(len(LANGUAGES))
-def grammar(name: str) -> Grammar:
-    return Grammar(name)
+    `foreign` says that it most likely is not: then its first statements are judged before the rest is tokenised. The
+    answer is the same.
+    """
+    return parses_normal(normal_text(text), language, foreign)
 
 
-def parses(text: str, language: str) -> bool:
-    """Whether the text is valid in the language. A byte-order mark and any line ends are ignored; empty text is valid."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    if not text.strip():
+def parses_normal(text: str, language: str, foreign: bool = False) -> bool:
+    """The same for a text that normal_text has been over."""
+    if not text or text.isspace():
         return True
     if language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                compile(text, "<source>", "exec", dont_inherit=True)
-        except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
-            return False
-        return True
-    return grammar(language).parse(text)
+        return compiles(text)
+    parser, lexer = _parser(language)
+    try:
+        texts = variants(text, language) if language in _DIRECTIVES else [text]
+    except Bad:
+        return False
+    if foreign and any(refused(parser, lexer, x) for x in texts):
+        return False
+    return all(valid(parser, lexer, x) for x in texts)

@@ -25,9 +25,9 @@ def _reading(operator):
 
 
 QUERIES = {
-    "p1_found": lambda spark, d: source_validity.invalid_files(_files(spark, d)),
-    "p1_rates": lambda spark, d: source_validity.invalid_rates(_files(spark, d)),
-    "p1_verdicts": lambda spark, d: source_validity.parse_files(_files(spark, d)),
+    "p1_found": lambda spark, d: source_validity.invalid_files(_files(spark, d), load(spark, d, "nodes")),
+    "p1_rates": lambda spark, d: source_validity.invalid_rates(_files(spark, d), load(spark, d, "nodes")),
+    "p1_verdicts": lambda spark, d: source_validity.parse_files(_files(spark, d), load(spark, d, "nodes")),
     "p2_found": lambda spark, d: unwritten_files.unwritten_files(_files(spark, d)),
     "p2_layout": lambda spark, d: unwritten_files.classified_files(_files(spark, d)),
     "p2_hand_written": lambda spark, d: unwritten_files.hand_written_files(_files(spark, d)),

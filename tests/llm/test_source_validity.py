@@ -83,3 +83,24 @@ def test_operator(spark, rows):
     assert rows(sv.invalid_files(f)) == [(2,), (3,), (7,)]
     assert rows(sv.invalid_rates(f)) == sorted([("r", "python", 4, 2, 0, 0.5), ("r", "go", 1, 1, 1, 1.0), (None, "java", 1, 0, 0, 0.0)], key=repr)
     assert sv.parse_files(f.limit(0)).count() == 0
+
+
+def test_nodes_tell_the_language_where_the_path_does_not(spark, rows):
+    t = dt.datetime(2031, 1, 1)
+    cpp, go = VALID["cpp"][0], VALID["go"][0]
+    f = spark.createDataFrame([(1, "r", "./a\\b.h", cpp, t), (2, "r", "c.h", cpp, t), (3, None, "d.txt", go, t), (4, "r", "e.java", go, t), (5, "s", "a/b.h", cpp, t)], "file_id bigint, repo_id string, rel_path string, source_text string, loaded_at timestamp")
+    n = spark.createDataFrame([("r", "a/b.h", "cpp"), ("r", "a/b.h", "cpp"), (None, "d.txt", "go"), ("r", "e.java", "go"), ("r", "c.h", None)], "repo_id string, unit string, language string")
+    assert rows(sv.invalid_files(f, n)) == [(2,), (4,), (5,)]
+    assert rows(sv.invalid_files(f)) == [(1,), (2,), (4,), (5,)]
+    found = {r.file_id: r for r in sv.parse_files(f, n).collect()}
+    assert found[3].language == "go" and found[3].verdict == "valid" and found[4].parses_in == ["go"] and found[4].parses_as == "go"
+    assert rows(sv.invalid_files(f.limit(0), n)) == [] and len(rows(sv.invalid_files(f, n.limit(0)))) == 4
+
+
+@pytest.mark.parametrize("language", LANGUAGES)
+def test_the_opening_of_a_foreign_text_tells_nothing_else(language):
+    from tests.llm.test_grammars import BROKEN, GOOD
+
+    texts = [frame[x].format(p) for x in GOOD for cases in (GOOD, BROKEN) for frame, pieces in cases[x] for p in pieces]
+    for text in texts + [v for vs in VALID.values() for v in vs]:
+        assert parses(text, language, True) == parses(text, language), text
