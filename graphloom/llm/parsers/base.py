@@ -28,6 +28,8 @@ class Parser:
     #: Kinds that cannot be assigned to.
     NO_TARGET = frozenset(["n", "s", "++", "--"])
     TERNARY = True
+    #: Angle brackets of the longest shift.
+    SHIFT = 2
 
     def __init__(self, tokens: Tokens):
         self.K, self.V, self.N = tokens.kinds, tokens.words, tokens.fresh
@@ -172,8 +174,12 @@ class Parser:
 
     def _shifts(self) -> bool:
         """The signs of a shift, read from single angle brackets; False if it assigns."""
+        n = 1
         while self.V[self.p] == ">>" and self.K[self.p] == ">":
             self.p += 1
+            n += self.K[self.p] == ">"
+        if n > self.SHIFT:
+            raise Bad
         if self.K[self.p] == ">":
             self.p += 1
             return True

@@ -15,6 +15,7 @@ _OVERLOADS = frozenset(["+", "-", "!", "~", "++", "--", "*", "/", "%", "&", "|",
 
 class CSharp(Parser):
     LANGUAGE = "csharp"
+    SHIFT = 3
     BINARY = Parser.BINARY | {"??", ".."}
     PREFIX = frozenset(["!", "~", "+", "-", "++", "--", "&", "*", "^", "..", "throw"])
     ANGLED = frozenset(["i", "prim", ",", ".", "?", "[", "(", "::", "*", "void", "in", "out"])

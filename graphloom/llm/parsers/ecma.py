@@ -17,6 +17,7 @@ class JavaScript(Parser):
     LANGUAGE = "javascript"
     TS = False
     PREFIX = frozenset(["!", "~", "+", "-", "++", "--", "typeof", "void", "delete"])
+    SHIFT = 3
     BINARY = Parser.BINARY | {"**", "===", "!==", "??", "instanceof"}
     ANGLED = frozenset(["i", "n", "s", ",", ".", "[", "(", "{", "|", "&", "=>", "typeof", "void", "this", "extends", "?", ":", "-", "in", "import", "new"])
 

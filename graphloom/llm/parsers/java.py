@@ -12,6 +12,7 @@ _CAST = frozenset(["i", "n", "s", "(", "!", "~", "this", "super", "new", "switch
 
 class Java(Parser):
     LANGUAGE = "java"
+    SHIFT = 3
     BINARY = Parser.BINARY
     ANGLED = frozenset(["i", "prim", ",", ".", "?", "&", "[", "extends", "super", "@", "("])
     NO_TARGET = Parser.NO_TARGET | {")", "this", "super", "}"}

@@ -13,7 +13,7 @@ MEMBER = {"java": "class A {{ {} }}\n", "csharp": "class A {{ {} }}\n", "javascr
 TOP = {x: "{}\n" for x in BODY} | {"go": "package p\n\n{}\n"}
 
 #: Wrong in a body of every language (statements end with the semicolon that all of them allow).
-EVERYWHERE = ["foo(a b);", "x = ;", "foo(a,, b);", "x = a + ;", "x = (a;", "x = a);", "x = a b c + ;", 'x = "abc;', "x = 12ab3;", "/* open", "x = a . ;", "x = f(1 2);", "f(;", "x = [1;", "foo(a) { b ] }", "<<<<<<< HEAD\nx = 1;", "f(a,;"]
+EVERYWHERE = ["foo(a b);", "x = ;", "foo(a,, b);", "x = a + ;", "x = (a;", "x = a);", "x = a b c + ;", 'x = "abc;', "x = 12ab3;", "/* open", "x = a . ;", "x = f(1 2);", "f(;", "x = [1;", "foo(a) { b ] }", "<<<<<<< HEAD\nx = 1;", "y = x\n>>>>>>> side/branch;", "y = x\n=======\nz;", "f(a,;"]
 CURLY = ["if (a { }", "if a) { }", "else { }", "try { }", "catch (e) { }", "while () { }", "while { }", "do { } x();", "for (a; b) { }", "for (;; { }", "switch (x) { foo(); }", "switch (x) { case : y(); }", "case 1: y();", "return return;", "x = a ? b;", "x = a ? : c;", "break 1 + 2;", "if { x(); }", "x == = y;", "3 = x;", "f() = ;", "x = new ;", "try { } finally", "{ x();"]
 BROKEN = {
     "java": [
