@@ -47,3 +47,32 @@ def test_intervals_and_ties(spark, rows):
 def test_empty(spark, rows):
     rec, runs = frames(spark, [], runs=())
     assert rows(change_events(rec, runs)) == [] and rows(change_summary(change_events(rec, runs))) == []
+
+
+def test_runs_beyond_a_chunk(spark, rows):
+    import random
+
+    rng, n = random.Random(5), 11
+    seen = {(k, o): rng.choice("abx") if rng.random() < 0.9 else None for k in range(40) for o in range(1, n + 1) if rng.random() < 0.8}
+    units = [(100 - o, "r" if k % 2 else None, f"{k:04x}" if k % 3 else f"u{k}", h) for (k, o), h in seen.items()]
+    rec, runs = frames(spark, [*units, *units[:50]], runs=[(100 - o, o) for o in range(1, n + 1)])
+    name = lambda k: ("r" if k % 2 else None, "unit", f"{k:04x}" if k % 3 else f"u{k}")
+    events, spans = [], []
+    for k in range(40):
+        for o in range(2, n + 1):
+            was, now = (k, o - 1) in seen, (k, o) in seen
+            if was != now or was and seen[k, o - 1] != seen[k, o]:
+                events.append((100 - o, *name(k), "removed" if not now else "added" if not was else "changed"))
+        o = 1
+        while o <= n:
+            if (k, o) not in seen:
+                o += 1
+                continue
+            first = o
+            while (k, o + 1) in seen and seen[k, o + 1] == seen[k, first]:
+                o += 1
+            spans.append((*name(k), seen[k, first], first, o))
+            o += 1
+    for chunk in (1, 2, 4, 16):
+        assert rows(change_events(rec, runs, chunk)) == sorted(events, key=repr)
+        assert rows(validity_intervals(rec, runs, chunk).drop("n_runs")) == sorted(spans, key=repr)
