@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(?s:.*?)(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.M)
 _HTML = re.compile(r"<!--(?s:.*?)-->|<(script|style|pre|code)\b(?s:.*?)</\1\s*>|</?[A-Za-z][^<>\n]*>")
 _IMAGE_OR_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:[^()\s]|\([^()]*\))*(?:\s+\"[^\"\n]*\")?\)")
 _REFERENCE = re.compile(r"^[ \t]*\[[^\]\n]+\]:[^\n]*$", re.M)
-_URL = re.compile(r"(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\w{2,}")
+_URL = re.compile(r"(?:https?|ftp)://\S+|\bwww\.\S+")
+_MAIL = re.compile(r"(?<!\S)\S+@\S+\.\w{2,}")
 _CODE_SPAN = re.compile(r"(`+)(?!`)[^\n]*?[^`]\1(?!`)|`[^`\n]*`")
 _HEADING = re.compile(r"^[ \t]*#{1,6}[ \t][^\n]*$|^[^\n]*\n[ \t]*(?:={3,}|-{3,})[ \t]*$", re.M)
 _TABLE = re.compile(r"^[ \t]*\|.*$|^[^\n|]*\|[^\n|]*\|[^\n]*$", re.M)
@@ -27,12 +29,20 @@ _BARE_IMPORT = re.compile(r"[ \t]*(?:import|package|using|use|include|namespace)
 _OPERATOR = re.compile(r"[-=]>|:=|[={}]|&&|\|\||\w\(")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)|[ \t](?:#|//)[ \t].*$")
 _PLAIN = re.compile(r"[\"'“‘(\[]*[^\W\d_](?:[^\W_]|['’-])*[\"'”’)\].,;:!?…]*")
-_EMPHASIS = re.compile(r"\*\*|__|~~|(?<!\w)[*_](?=\w)|(?<=\w)[*_](?!\w)")
+_EMPHASIS = re.compile(r"\*\*|__|~~|[*_](?:(?<!\w[*_])(?=\w)|(?<=\w[*_])(?!\w))")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LETTER = re.compile(r"[^\W\d_]")
+_BLANK_LINES = re.compile(r"\n[ \t]*\n")
+#: The same for texts in ASCII and lower case, for which smaller classes do.
+_ASCII_WORD, _ASCII_LETTER, _ASCII_END = re.compile(r"[a-z]+(?:['-][a-z]+)*"), re.compile(r"[a-z]"), re.compile(r"[.!?\x00](?:[.!?]*[\"')\]]*(?=[\s\x00]|$)|(?<=\x00))")
+#: A line that looks like code holds one of these signs, begins so or ends with a colon; only such lines meet _CODE_LINE.
+_HINT = re.compile(r"[;{}=&|>]")
+_HINT_FIRST = re.compile(r"[ \t]*(?:[()\[\]\"/$@*]|#include\b|(?:import|from|package|using|use|include|export|public|private|protected|static|const|let|var|def|async|class|func|fn|fun|return|pub|namespace|elif|else)\b)")
 #: Abbreviations whose full stop ends no sentence, at the end of what stands before it.
 _ABBREVIATED = re.compile(r"(?i)(?:^|[\s(\[])(?:e\.\s?g|i\.\s?e|cf|viz|etc|vs|fig|sec|def|thm|eq|no|vol|pp?|ch|approx|resp|dr|mr|mrs|ms|st|al|[a-z])$")
-_ASIDE = re.compile(r"\((?:e\.\s?g\.|i\.\s?e\.|cf\.|viz\.|see\b)[^()\n]*\)")
-_END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s|$)")
+_ASIDE = re.compile(r"\((?:e\.\s?g\.|i\.\s?e\.|cf\.|viz\.|see\b)[^()\n\x00]*\)")
+#: A sentence ends with its mark, or with its block, which a null sign closes.
+_END = re.compile(r"[.!?…\x00](?:[.!?…]*[\"'”’)\]]*(?=[\s\x00]|$)|(?<=\x00))")
 #: The commonest function words of English and of languages that are told from it.
 _ENGLISH = frozenset("the a an of and to in is it that this be are was for with on as by or not from at which its but has have will can you we they their each if so than then no when what how do does only any some such may should who while where after before all one two use these those there into over under between until unless because since although".split())
 _FOREIGN = frozenset(
@@ -53,12 +63,19 @@ def _reads(line: str) -> bool:
     return telling >= 2 or (telling == 1 or len(plain) >= 6) and not _OPERATOR.search(said)
 
 
-def code_lines(lines: list[str]) -> set[int]:
+def code_lines(lines: list[str], known: dict[str, bool] | None = None) -> set[int]:
     """Which lines are code: those with code punctuation that do not read as English, and such as lead with a mere keyword
-    beside them or in a paragraph of their own kind; never a line of a paragraph whose neighbours are prose."""
+    beside them or in a paragraph of their own kind; never a line of a paragraph whose neighbours are prose.
+
+    `known` keeps which lines look like code, for texts whose lines are judged more than once.
+    """
     code, runs = set(), []
+    known = {} if known is None else known
     for k, line in enumerate(lines):
-        if _CODE_LINE.match(line) is None:
+        looks = known.get(line)
+        if looks is None:
+            looks = known[line] = bool((_HINT.search(line) or _HINT_FIRST.match(line) or line.rstrip().endswith(":")) and _CODE_LINE.match(line))
+        if not looks:
             continue
         if _SURE_CODE.match(line):
             code.add(k)
@@ -82,61 +99,75 @@ def code_lines(lines: list[str]) -> set[int]:
     return code
 
 
-def strip_markup(text: str) -> str:
-    """The running text, one paragraph or list item a line."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    text = _FENCE.sub("\n\n", text)
-    text = _HTML.sub(" ", text)
-    text = _INDENTED.sub("\n\n", text)
+def unfenced(text: str) -> str:
+    """One kind of line ends, without fenced code."""
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    return _FENCE.sub("\n\n", text) if "```" in text or "~~~" in text else text
+
+
+def strip_markup(text: str, known: dict[str, bool] | None = None) -> str:
+    """The running text of an unfenced text, one paragraph or list item a line. Expressions run only where they can match."""
+    if "<" in text:
+        text = _HTML.sub(" ", text)
+    if "\n    " in text or "\n\t" in text or text.startswith(("    ", "\t")):
+        text = _INDENTED.sub("\n\n", text)
     text = _LOG.sub("", text)
-    text = _TABLE.sub("", text)
-    text = _HEADING.sub("\n", text)
-    text = _REFERENCE.sub("", text)
+    if "|" in text:
+        text = _TABLE.sub("", text)
+    if "#" in text or "---" in text or "===" in text:
+        text = _HEADING.sub("\n", text)
+    if "]:" in text:
+        text = _REFERENCE.sub("", text)
     if "[" in text:
         text = _IMAGE_OR_LINK.sub(r"\1", text)
-    if "://" in text or "www." in text or "@" in text:
+    if "://" in text or "www." in text:
         text = _URL.sub(" ", text)
+    if "@" in text:
+        text = _MAIL.sub(" ", text)
     if "`" in text:
         text = _CODE_SPAN.sub(" ", text)
     text = _BULLET.sub("\n\n", text)
     lines = text.split("\n")
-    if code := code_lines(lines):
+    if code := code_lines(lines, known):
         text = "\n".join("" if k in code else line for k, line in enumerate(lines))
     return _EMPHASIS.sub("", text) if "*" in text or "_" in text or "~~" in text else text
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence of running text; an unfinished list item or paragraph is a sentence too."""
-    out = []
-    for block in re.split(r"\n[ \t]*\n", strip_markup(text)):
-        block = " ".join(block.split())
-        if "(" in block:
-            block = _ASIDE.sub(" ", block)
-        start = 0
-        for m in _END.finditer(block):
-            if m[0] == "." and _ABBREVIATED.search(block, max(start, m.start() - 8), m.start()):
-                continue
-            if words := _WORD.findall(block, start, m.start()):
-                out.append(words)
-            start = m.end()
-        if words := _WORD.findall(block, start):
-            out.append(words)
-    return out
+def words_and_sentences(running: str) -> tuple[list[str], int]:
+    """The words of running text in lower case, and its number of sentences; an unfinished list item or paragraph is one too."""
+    blocks = (" ".join(block.split()) for block in _BLANK_LINES.split(running.lower()))
+    text = "\x00".join(filter(None, blocks))
+    if "(" in text:
+        text = _ASIDE.sub(" ", text)
+    word, letter, end = (_ASCII_WORD, _ASCII_LETTER, _ASCII_END) if text.isascii() else (_WORD, _LETTER, _END)
+    n = start = 0
+    for m in end.finditer(text):
+        at = m.start()
+        if m[0] == "." and text[at - 1 : at].isalpha() and _ABBREVIATED.search(text, max(start, at - 8), at):
+            continue
+        if letter.search(text, start, at):
+            n += 1
+        start = m.end()
+    if letter.search(text, start):
+        n += 1
+    return word.findall(text), n
 
 
 #: Endings by which English shows where function words are few.
 _ENDINGS = re.compile(r"(?:tion|tions|ness|ment|ments|ity|ities|ing|ous|ical|ally|able|ible|ship|ward|less|ence|ance|ency|ancy|ism|ed|ly|es|al|ic|ive|ary|ate|ates|sis|thm|thms)$")
 
 
-def is_english(words: list[str]) -> bool:
+def is_english(counts: dict[str, int]) -> bool:
     """Whether marks of English (function words, and half as much endings) are as many as in prose and outnumber foreign ones."""
-    if not words:
-        return False
+    total = sum(counts.values())
+    least = sum(map(counts.get, _ENGLISH & counts.keys()))  # function words alone decide most texts
+    if total and least >= 0.15 * total and least > 2 * sum(map(counts.get, _FOREIGN & counts.keys())) and all(map(str.isascii, counts)):
+        return True
     ours = others = letters = 0.0
-    for w in words:
+    for w, n in counts.items():
         a, b, c = _marks(w)
-        ours, others, letters = ours + a, others + b, letters + c
-    return ours >= 0.15 * len(words) and ours > 2 * others and letters <= 0.15 * len(words)
+        ours, others, letters = ours + a * n, others + b * n, letters + c * n
+    return total > 0 and ours >= 0.15 * total and ours > 2 * others and letters <= 0.15 * total
 
 
 @lru_cache(1 << 16)
@@ -147,19 +178,25 @@ def _marks(word: str) -> tuple[float, int, int]:
     return (1.0 if ours else 0.5 if not others and _ENDINGS.search(low) else 0.0), int(others), int(not low.isascii())
 
 
-def is_source(text: str) -> bool:
+def is_source(unfenced_text: str, known: dict[str, bool] | None = None) -> bool:
     """Whether a text is a source file or a log rather than a document with some: a fifth of the lines outside fences."""
-    body = _FENCE.sub("\n", text.replace("\r\n", "\n").replace("\r", "\n"))
-    lines = [x if len(x) < 2000 else "x" for x in body.split("\n")]
-    code = code_lines(lines)
-    marked = sum(k in code or _LOG.match(x) is not None for k, x in enumerate(lines))
-    return marked >= 3 and marked >= 0.2 * sum(1 for x in lines if x.strip())
+    lines = unfenced_text.split("\n")
+    code = code_lines(lines, known)
+    logs = _LOG.search(unfenced_text) is not None
+    marked = len(code) + (sum(k not in code and _LOG.match(x) is not None for k, x in enumerate(lines)) if logs else 0)
+    return marked >= 3 and marked >= 0.2 * sum(1 for x in lines if x and not x.isspace())
 
 
-def prose_words(text: str | None, least: int) -> list[list[str]] | None:
-    """The sentences of a document with at least so many words of English prose; None for any other text."""
-    if not text or is_source(text):
+def prose_counts(text: str | None, least: int) -> tuple[dict[str, int], int] | None:
+    """How often each word stands in a document with at least so many words of English prose, and its number of sentences;
+    None for any other text."""
+    if not text:
+        return None
+    body, known = unfenced(text), {}
+    if is_source(body, known):
+        return None
+    words, n = words_and_sentences(strip_markup(body, known))
+    if len(words) < least:
         return None
-    found = sentences(text)
-    words = [w for s in found for w in s]
-    return found if len(words) >= least and is_english(words) else None
+    counts = Counter(words)
+    return (counts, n) if is_english(counts) else None

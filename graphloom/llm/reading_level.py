@@ -7,6 +7,7 @@ passages whose level is known; weights and centres are fitted on those passages.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.prose import prose_words, sentences
+from graphloom.llm.prose import prose_counts as counted
+from graphloom.llm.prose import strip_markup, unfenced, words_and_sentences
 
 #: Sizes of the lists of familiar words; the greatest bounds what the driver holds of the corpus.
 LIST_SIZES = (60, 120, 180, 240, 300, 360, 420)
@@ -25,32 +27,40 @@ MAX_PASSAGES = 10_000
 RIDGE = 1e-2
 
 
-def _counts(found: list[list[str]]) -> tuple[list[str], list[int], int]:
-    c = Counter(w.lower() for s in found for w in s)
-    return list(c), list(c.values()), len(found)
-
-
 def prose_counts(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, distinct words, their counts and the number of sentences, of each document with enough English prose."""
+    """doc_id, distinct words (between blanks), their counts (32 bits each) and the number of sentences, of each document
+    with enough English prose. One text and one run of bytes a document take a fraction of what arrays of both take."""
 
-    @F.pandas_udf("words array<string>, counts array<int>, n_sentences int")
+    @F.pandas_udf("words string, counts binary, n_sentences int")
     def run(text: pd.Series) -> pd.DataFrame:
-        rows = [(*_counts(found),) if (found := prose_words(t, least)) else (None, None, 0) for t in text]
-        return pd.DataFrame(rows, columns=["words", "counts", "n_sentences"])
+        words, counts, n_sentences = [], [], []
+        for t in text:  # one document's counts at a time are held as objects
+            found = counted(t, least)
+            words.append(" ".join(found[0]) if found else None)
+            counts.append(array("I", found[0].values()).tobytes() if found else None)
+            n_sentences.append(found[1] if found else 0)
+        return pd.DataFrame({"words": words, "counts": counts, "n_sentences": n_sentences})
 
     return documents.select("doc_id", run("text").alias("p")).filter("p.n_sentences > 0").select("doc_id", "p.*")
 
 
 def familiar_words(counts: DataFrame, size: int = LIST_SIZES[-1]) -> list[str]:
     """The commonest words by document frequency, the commonest first, ties in alphabetical order: at most `size`."""
-    df = counts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    df = counts.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return [r.word for r in df.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uintc)
+
+
 def features(words, counts, n_sentences: int, rank: dict[str, int], sizes=LIST_SIZES) -> list[float]:
+    """The share of unfamiliar words for each list size, and the logarithm of the mean length of sentences."""
     n = np.asarray(counts, float)
-    r = np.array([rank.get(w, 1 << 30) for w in words])
-    return [*((n * (r >= k)).sum() / n.sum() for k in sizes), np.log(n.sum() / n_sentences)]
+    total = n.sum()
+    known = [(k, c) for k, c in zip(map(rank.get, words), n, strict=True) if k is not None]
+    within = np.bincount(np.searchsorted(sizes, [k for k, _ in known], side="right"), [c for _, c in known], len(sizes) + 1)
+    return [*(1 - np.cumsum(within)[: len(sizes)] / total), np.log(total / n_sentences)]
 
 
 class Model:
@@ -74,7 +84,8 @@ class Model:
 def fit(passages: DataFrame, rank: dict[str, int], limit: int = MAX_PASSAGES) -> Model | None:
     """The model of the passages with prose and a level; None if there are none. Of repeated passages each counts."""
     rows = passages.filter(F.col("text").isNotNull() & F.col("read_level").isNotNull()).orderBy("passage_id").limit(limit).select("text", "read_level").collect()
-    known = [(features(*_counts(found), rank), r.read_level) for r in rows if (found := sentences(r.text))]
+    counts = ((Counter(words), n, r.read_level) for r in rows for words, n in [words_and_sentences(strip_markup(unfenced(r.text)))] if n)
+    known = [(features(list(c), list(c.values()), n, rank), level) for c, n, level in counts]
     return Model(np.array([x for x, _ in known]), np.array([y for _, y in known])) if known else None
 
 
@@ -92,7 +103,7 @@ def reading_levels(documents: DataFrame, passages: DataFrame) -> DataFrame:
     def level(words: pd.Series, n: pd.Series, n_sentences: pd.Series) -> pd.Series:
         if not len(words):
             return pd.Series([], dtype="int32")
-        x = np.array([features(a, b, c, rank) for a, b, c in zip(words, n, n_sentences, strict=True)])
+        x = np.array([features(a, b, c, rank) for a, b, c in zip(words.str.split(" "), map(_numbers, n), n_sentences, strict=True)])
         return pd.Series(model.predict(x).astype("int32"))
 
     if model is None:

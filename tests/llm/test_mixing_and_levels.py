@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,22 +97,34 @@ CODE = "import os\n\ndef f(a: int) -> int:\n    # keep the order of what is read
 
 
 def words(text):
-    return [w for s in prose.sentences(text) for w in s]
+    return prose.words_and_sentences(prose.strip_markup(prose.unfenced(text)))[0]
 
 
 def test_markup_is_no_prose():
     text = "# A heading here\n\nSee [the page](http://x.y/z) and `some code` **now**.\n\n```py\ncode = 1\n```\n\n| a | b |\n|---|---|\n| c | d |\n\n- one item\n1. two items\n\n    indented code\n\n<b>bold</b> https://a.b/c\n2031-01-01T00:00:00Z INFO x=1\n"
-    assert words(text) == "See the page and now one item two items bold".split()
+    assert words(text) == "see the page and now one item two items bold".split()
 
 
 def test_sentences():
-    assert [len(s) for s in prose.sentences("We use it (e.g. here) cf. Fig. 4 of v2.1. Then stop! Is it done? yes")] == [7, 2, 3, 1]
-    assert prose.sentences("") == [] and prose.sentences("...\n\n!!!") == []
+    text = "We use it (e.g. here) cf. Fig. 4 of v2.1. Then stop! Is it done? yes"
+    assert prose.words_and_sentences(text) == ("we use it cf fig of v then stop is it done yes".split(), 4)
+    assert prose.words_and_sentences(text.replace("done", "doné")) == ("we use it cf fig of v then stop is it doné yes".split(), 4)
+    assert prose.words_and_sentences("") == ([], 0) and prose.words_and_sentences("...\n\n!!!") == ([], 0)
+    assert prose.words_and_sentences("It isn't a one-off…\n\n- and so\n\nNo.") == ("it isn't a one-off and so no".split(), 3)
 
 
 @pytest.mark.parametrize("text,ok", [(EASY * 4, True), (HARD * 3, True), (GERMAN, False), (CODE, False), ("", False), (None, False), (EASY, False), ("日本語の文章です。" * 30, False), ("Herein stratification precludes asymptotic bisimilarity. Flow-insensitive canonicalisation presupposes totality. " * 8, True), ("2031-01-01T00:00:00Z INFO phase=a unit=b\n" * 30, False), ("```\n" + CODE + "```\n\n" + EASY * 3, True), ("x" * 200_000, False), (EASY * 3000, True)])
 def test_what_has_a_level(text, ok):
-    assert (prose.prose_words(text, 40) is not None) == ok
+    assert (prose.prose_counts(text, 40) is not None) == ok
+
+
+def test_long_lines_count_as_what_they_are():
+    log = "2031-01-01T00:00:00Z INFO phase=a " + "unit of the store is read and then it is written to the file " * 60 + "n=1\n"
+    code = 'function store(a){if(a.is)return the.of(a,"in that order of the file");for(var to=0;to<a.length;to++)and(a[to]);return{not:a,it:1};}' * 40 + "\n"
+    assert len(log) > 3000 and prose.prose_counts(log * 3, 40) is None and prose.prose_counts(log, 40) is None
+    assert len(code) > 3000 and prose.prose_counts(code, 40) is None and prose.prose_counts(code * 3, 40) is None
+    prose_line = EASY * 60
+    assert len(prose_line) > 3000 and prose.prose_counts(prose_line, 40)[1] == 240
 
 
 def test_levels(spark, rows):
@@ -133,7 +146,8 @@ def test_held_out_passages_of_the_project(spark):
     d = "/root/testdata/sf0.01"
     counts = rl.prose_counts(spark.read.parquet(f"{d}/documents.parquet"))
     rank = {w: k for k, w in enumerate(rl.familiar_words(counts))}
-    known = [(rl.features(*rl._counts(f), rank), x.read_level) for x in spark.read.parquet(f"{d}/level_passages.parquet").collect() if (f := prose.sentences(x.text))]
+    counted = ((Counter(w), n, x.read_level) for x in spark.read.parquet(f"{d}/level_passages.parquet").collect() for w, n in [prose.words_and_sentences(prose.strip_markup(prose.unfenced(x.text)))])
+    known = [(rl.features(list(c), list(c.values()), n, rank), level) for c, n, level in counted if n]
     x, y = np.array([a for a, _ in known]), np.array([b for _, b in known])
     order = np.random.default_rng(0).permutation(len(y))
     right = sum((rl.Model(x[np.setdiff1d(order, fold)], y[np.setdiff1d(order, fold)]).predict(x[fold]) == y[fold]).sum() for fold in np.array_split(order, 5))
@@ -142,9 +156,9 @@ def test_held_out_passages_of_the_project(spark):
 
 def test_wrapped_prose_is_no_code():
     wrapped = "You may open it\nfrom the menu, or with a short command. Choose the\npackage that you want to change. The\nnamespace can be computed lazily, and the unit -> module map is kept;\nif the following hold:\nuse it yet. Save the\npackage.\n"
-    assert words(wrapped) == prose._WORD.findall(wrapped)
+    assert words(wrapped) == prose._WORD.findall(wrapped.lower())
     code = "package main\n\nimport os\nimport sys\nfrom a.b import c\nimport \"fmt\"\n\nreturn x\nx = a + 1\nif not done:\n    return the_value;\n"
     assert words(code) == []
-    assert words("Run it\nfrom the shell:\n$ make all\n") == "Run it from the shell".split()
+    assert words("Run it\nfrom the shell:\n$ make all\n") == "run it from the shell".split()
     assert words("- import files\n- export files\n") == "import files export files".split()
-    assert prose.prose_words(wrapped * 3, 40) is not None and prose.is_source(code * 3)
+    assert prose.prose_counts(wrapped * 3, 40) is not None and prose.is_source(code * 3)
