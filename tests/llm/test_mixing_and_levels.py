@@ -21,13 +21,32 @@ def test_permutations_are_bijections():
     assert a != b
 
 
-def test_conditional_multinomial():
+def test_draws_have_exact_totals_at_any_size():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        left = rng.integers(0, 50, 4)
-        n = int(rng.integers(0, left.sum() + 1))
-        d = mx.conditional_multinomial(rng, left, n)
-        assert d.sum() == n and (d <= left).all() and (d >= 0).all()
+    for k in range(200):
+        totals = rng.integers(0, 50 if k < 190 else 10**13, 4)
+        d = mx.dealt(rng, totals, 8)
+        assert (d.sum(0) == totals).all() and (d >= 0).all() and d.sum(1).max() - d.sum(1).min() <= 1
+    shares = np.mean([mx.dealt(rng, np.array([600, 300, 100]), 10) for _ in range(300)], 0)
+    assert np.abs(shares - [60, 30, 10]).max() < 2
+    spread = np.var([mx.dealt(rng, np.array([500, 500]), 10)[0, 0] for _ in range(2000)])
+    assert 18 < spread < 32  # a multinomial draw's, 25, and not that of rounded shares
+
+
+def test_blocks_have_one_length(spark, rows):
+    data = [(k, "a" if k % 4 else "b", 1 + k * 37 % 700) for k in range(200)]
+    pieces = mx.pack(docs(spark, data), 200, 64).collect()
+    for source in "ab":
+        size = sum(n for _, s, n in data if s == source)
+        filled = {}
+        for p in pieces:
+            if p.source == source:
+                filled[p.block] = filled.get(p.block, 0) + p.n_tokens
+        assert sorted(filled) == list(range(-(-size // 64)))
+        assert [filled[k] for k in sorted(filled)][:-1] == [64] * (len(filled) - 1) and sum(filled.values()) == size
+    for k, _, n in data:
+        own = sorted((p.first_token, p.n_tokens) for p in pieces if p.doc_id == k)
+        assert own[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(own, own[1:], strict=False)) and sum(x for _, x in own) == n
 
 
 def docs(spark, rows):
@@ -63,15 +82,18 @@ def test_mix_reaches_its_shares(spark, rows):
         if source is None:
             continue
         own = [u for u in uses if (u.mix_name, u.source) == (name, source)]
-        assert all(1 <= u.n_uses <= cap and data[u.doc_id][1] == source for u in own)
-        reached = sum(u.n_uses * size[u.doc_id] for u in own)
+        assert all(1 <= u.n_uses <= cap and data[u.doc_id][1] == source and u.used_tokens <= u.n_uses * size[u.doc_id] for u in own)
+        reached = sum(u.used_tokens for u in own)
         want = min(round(share * ratio * total), cap * have.get(source, 0))
-        assert abs(reached - want) <= max(max((n for _, s, n in data if s == source), default=0), 2 * mx.BLOCK_TOKENS), (name, source, reached, want)
+        assert abs(reached - want) <= 1.5 * mx.BLOCK_TOKENS, (name, source, reached, want)
         assert shares[name, source].reached_tokens == reached
     assert shares["m", "absent"].reached_tokens == 0 and abs(sum(x.reached_share for k, x in shares.items() if k[0] == "m") - 1) < 1e-9
-    placed = mix.shards(shards=8)
-    assert placed.count() == mix.uses.agg({"n_uses": "sum"}).first()[0]
-    assert {x.shard for x in placed.select("shard").distinct().collect()} == set(range(8))
+    placed = mix.shards().collect()
+    assert {p.shard for p in placed} == set(range(mx.SHARDS))
+    used = {}
+    for p in placed:
+        used[p.mix_name, p.doc_id] = used.get((p.mix_name, p.doc_id), 0) + p.n_tokens
+    assert used == {(u.mix_name, u.doc_id): u.used_tokens for u in uses}
     again = mx.Mix(docs(spark, data[::-1]), spark.createDataFrame(t, TARGETS))
     assert rows(again.documents()) == rows(mix.documents())
 
