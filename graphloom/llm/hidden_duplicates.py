@@ -12,8 +12,6 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +21,8 @@ from graphloom.runtime import cut
 
 #: Literals, arrows and comparison signs pass as one piece, so that their signs neither split nor nest.
 _PIECE = re.compile(r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[-=]>|[<>]=|[()\[\]{},<>]|[^()\[\]{},<>"'=-]+|.""", re.S)
+#: Buckets of a ledger, and batches that a whole table is taken for.
+BUCKETS, BATCHES = 256, 4
 _CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 _PLAIN = re.compile(r"[a-z0-9]*\Z")
 
@@ -101,11 +101,11 @@ def canonical_digest(signature: pd.Series) -> pd.Series:
     return signature.map(_digest, na_action="ignore")
 
 
-def keyed(rows: DataFrame, text: str = "signature", order: str = "load_seq", scope: tuple[str, ...] = ("repo_id", "language")) -> DataFrame:
-    """copy_key (binary) and copy_seq of each row with a text; rows without text or order have no copies."""
+def keyed(rows: DataFrame, text: str = "signature", order: str = "load_seq", scope: tuple[str, ...] = ("repo_id", "language"), more: tuple[str, ...] = ()) -> DataFrame:
+    """copy_key (binary), copy_seq and `more` columns of each row with a text; rows without text or order have no copies."""
     parts = [F.concat(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")), F.lit("\x1f")).cast("binary") for c in scope]
     whole = F.unhex(F.md5(F.concat(*parts, F.col("digest"))))
-    return rows.filter(F.col(text).isNotNull() & F.col(order).isNotNull()).select(*scope, F.col(order).alias("copy_seq"), canonical_digest(F.col(text)).alias("digest")).select(whole.alias("copy_key"), "copy_seq")
+    return rows.filter(F.col(text).isNotNull() & F.col(order).isNotNull()).select(*scope, F.col(order).alias("copy_seq"), *more, canonical_digest(F.col(text)).alias("digest")).select(whole.alias("copy_key"), "copy_seq", *more)
 
 
 def empty_ledger(spark) -> DataFrame:
@@ -117,62 +117,148 @@ def batch_counts(batch: DataFrame, buckets: int) -> DataFrame:
     return batch.groupBy("copy_key").agg(F.count("*").alias("n_copies"), F.min("copy_seq").alias("keep_seq")).select(F.pmod(F.xxhash64("copy_key"), F.lit(buckets)).cast("int").alias("bucket"), "copy_key", "n_copies", "keep_seq")
 
 
-def update_ledger(ledger: DataFrame | None, batch: DataFrame, buckets: int = 256) -> DataFrame:
-    """Add a batch of keyed rows to the ledger: counts are added, the earliest representative is kept."""
+def update_ledger(ledger: DataFrame | None, batch: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Add a batch of keyed rows to the ledger: counts are added, the earliest representative is kept.
+
+    Only the buckets that the batch names (their list has at most `buckets` entries) meet it; the others pass untouched.
+    """
     new = batch_counts(batch, buckets)
-    return new if ledger is None else _merged(ledger, new)
+    if ledger is None:
+        return new
+    new = cut(new)
+    touched = F.col("bucket").isin([r.bucket for r in new.select("bucket").distinct().collect()])
+    return ledger.filter(~touched).unionByName(_merged(ledger.filter(touched), new))
 
 
 def _merged(ledger: DataFrame, new: DataFrame) -> DataFrame:
     a, b = ledger.alias("a"), new.alias("b")
-    return a.join(b, "copy_key", "full_outer").select(
-        F.coalesce("a.bucket", "b.bucket").alias("bucket"),
+    return a.join(b, ["bucket", "copy_key"], "full_outer").select(
+        "bucket",
         "copy_key",
         (F.coalesce("a.n_copies", F.lit(0)) + F.coalesce("b.n_copies", F.lit(0))).alias("n_copies"),
         F.least("a.keep_seq", "b.keep_seq").alias("keep_seq"),
     )
 
 
-def update_stored_ledger(path: str, batch: DataFrame, buckets: int = 256) -> None:
-    """The same for a ledger kept in files by bucket: only the buckets that the batch names are read and replaced.
+# ---------------------------------------------------------------- ledgers in files
 
-    Their list has at most `buckets` entries. The merged buckets are checkpointed before they replace what was read.
-    """
-    spark = batch.sparkSession
-    new = batch_counts(batch, buckets).persist(StorageLevel.MEMORY_AND_DISK)
-    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-    try:
-        old = spark.read.schema("copy_key binary, n_copies bigint, keep_seq bigint, bucket int").parquet(path).filter(F.col("bucket").isin(touched))
-        merged = cut(_merged(old, new))
-    except AnalysisException:  # no ledger yet
-        merged = new
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    new.unpersist()
+_LEDGER = "copy_key binary, n_copies bigint, keep_seq bigint, bucket int"
 
 
-def late_split(rows: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame]:
-    """The standing load and the late one: rows stamped after the middle of the stamps' span are the new batch."""
-    lo, hi = rows.agg(F.min(stamp), F.max(stamp)).first()
-    late = F.lit(False) if lo is None else F.coalesce(F.col(stamp) > F.lit(lo + (hi - lo) / 2), F.lit(False))
-    return rows.filter(~late), rows.filter(late)
+class StoredLedger:
+    """A ledger in files. An update writes the buckets that its batch names, and no others, to a folder of its own, and
+    then a manifest, which tells of every bucket the folder that holds it, and of all batches added so far. Readers see
+    the newest whole manifest: a broken update leaves the ledger as it was, and to repeat a batch changes nothing.
+    """
+
+    def __init__(self, spark, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _files(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
+    def versions(self) -> list[int]:
+        """Versions whose manifest is whole. Errors of the file system are not taken for an empty ledger."""
+        fs, path = self._files()
+        at = path(f"{self.path}/manifest")
+        if not fs.exists(at):
+            return []
+        named = [s.getPath().getName() for s in fs.listStatus(at)]
+        return sorted(int(n.removeprefix("version=")) for n in named if n.startswith("version=") and fs.exists(path(f"{self.path}/manifest/{n}/_SUCCESS")))
+
+    def _manifest(self) -> tuple[int, dict[int, int], set[str]]:
+        known = self.versions()
+        if not known:
+            return 0, {}, set()
+        rows = self.spark.read.schema("bucket int, held_by int, batch_id string").parquet(f"{self.path}/manifest/version={known[-1]}").collect()
+        return known[-1], {r.bucket: r.held_by for r in rows if r.bucket is not None}, {r.batch_id for r in rows if r.batch_id is not None}
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """bucket, copy_key, n_copies, keep_seq of all buckets, or of those named."""
+        _, held, _ = self._manifest()
+        folders = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(held.items()) if only is None or b in only]
+        if not folders:
+            return empty_ledger(self.spark)
+        return self.spark.read.option("basePath", f"{self.path}/data").schema(_LEDGER + ", version int").parquet(*folders).select("bucket", "copy_key", "n_copies", "keep_seq")
+
+    def add(self, batch: DataFrame, batch_id: str) -> bool:
+        """Add a batch of keyed rows; False if it has been added before."""
+        version, held, done = self._manifest()
+        if batch_id in done:
+            return False
+        new = cut(batch_counts(batch, self.buckets))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        merged = _merged(self.read(touched), new) if set(touched) & held.keys() else new
+        if touched:  # one file a bucket
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version + 1}")
+        rows = [(b, v, None) for b, v in (held | dict.fromkeys(touched, version + 1)).items()] + [(None, None, x) for x in done | {batch_id}]
+        self.spark.createDataFrame(rows, "bucket int, held_by int, batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version + 1}")
+        return True
+
+    def expire(self) -> None:
+        """Remove what neither the newest manifest nor the one before it names."""
+        fs, path = self._files()
+        kept = self.versions()[-2:]
+        named = set()
+        for v in kept:
+            rows = self.spark.read.schema("bucket int, held_by int, batch_id string").parquet(f"{self.path}/manifest/version={v}").filter("bucket IS NOT NULL").collect()
+            named |= {(r.held_by, r.bucket) for r in rows}
+        for v in fs.listStatus(path(f"{self.path}/data")) if kept else []:
+            number = int(v.getPath().getName().removeprefix("version="))
+            if number <= kept[-1]:
+                for b in fs.listStatus(v.getPath()):
+                    name = b.getPath().getName()
+                    if name.startswith("bucket=") and (number, int(name.removeprefix("bucket="))) not in named:
+                        fs.delete(b.getPath(), True)
+        for v in self.versions()[:-2]:
+            fs.delete(path(f"{self.path}/manifest/version={v}"), True)
+
+
+# ---------------------------------------------------------------- whole tables
+
+
+def numbered_batches(keys: DataFrame, stamp: str, n: int = BATCHES) -> DataFrame:
+    """Rows with their batch: which of n equal spans of time they were loaded in; rows without a stamp are in the first."""
+    lo, hi = keys.agg(F.min(stamp), F.max(stamp)).first()
+    if lo is None or lo == hi:
+        return keys.withColumn("batch", F.lit(0))
+    spans = [F.lit(lo + (hi - lo) * k / n) for k in range(1, n)]
+    late = sum(((F.col(stamp) > x).cast("int") for x in spans), F.lit(0))
+    return keys.withColumn("batch", F.coalesce(late, F.lit(0)))
+
+
+def ledger_of(keys: DataFrame, n: int = BATCHES, buckets: int = BUCKETS) -> DataFrame:
+    """The ledger after all batches of keyed rows (copy_key, copy_seq, batch), one after the other."""
+    ledger = None
+    for k in range(n):
+        ledger = cut(update_ledger(ledger, keys.filter(F.col("batch") == k), buckets))
+    return ledger
+
+
+def _keys_and_ledger(rows: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame]:
+    """The kernel runs once: keys and stamps are cut, and feed the batches as well as the join with the groups."""
+    keys = cut(keyed(rows, more=(stamp,)))
+    keys = numbered_batches(keys, stamp).drop(stamp)
+    return keys, ledger_of(keys)
 
 
 def copies(keys: DataFrame, ledger: DataFrame) -> DataFrame:
     """keep_seq, copy_seq of every row that is not its group's representative (load order is unique)."""
-    groups = ledger.filter(F.col("n_copies") > 1).select("copy_key", "n_copies", "keep_seq").persist(StorageLevel.MEMORY_AND_DISK)
+    groups = ledger.filter(F.col("n_copies") > 1).select("copy_key", "n_copies", "keep_seq")
     total = groups.agg(F.sum("n_copies")).first()[0] or 0
     return join_groups(keys, groups, "copy_key", F.col("n_copies"), total).filter(F.col("copy_seq") != F.col("keep_seq")).select("keep_seq", "copy_seq")
 
 
 def hidden_duplicates(rows: DataFrame, stamp: str = "loaded_at") -> DataFrame:
-    """keep_seq, copy_seq of all rows with a signature, by a ledger of two batches."""
-    standing, late = late_split(rows, stamp)
-    ledger = update_ledger(update_ledger(None, keyed(standing)), keyed(late))
-    return copies(keyed(rows), ledger)
+    """keep_seq, copy_seq of all rows with a signature, by the bucketed ledger of their batches.
+
+    Rows without signature, or without load_seq, have no copies; a null repo_id or language equals null. Repeated rows of
+    one load_seq are copies of each other.
+    """
+    return copies(*_keys_and_ledger(rows, stamp))
 
 
 def deduplicated(rows: DataFrame, stamp: str = "loaded_at") -> DataFrame:
     """One record for each symbol, the earliest, with the number of its copies."""
-    standing, late = late_split(rows, stamp)
-    ledger = update_ledger(update_ledger(None, keyed(standing)), keyed(late))
-    return ledger.select("keep_seq", "n_copies")
+    return _keys_and_ledger(rows, stamp)[1].select("keep_seq", "n_copies")

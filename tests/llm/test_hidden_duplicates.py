@@ -75,20 +75,44 @@ def test_incremental_equals_whole(spark, rows):
     assert rows(ledger) == rows(whole) and whole.count() == 7
 
 
-def test_stored_ledger_touches_only_its_buckets(spark, rows, tmp_path):
+def test_stored_ledger(spark, rows, tmp_path):
     import os
+    import shutil
 
     data = [(k, "r", "go", f"f{k % 7}(a)", None, "x") for k in range(50)]
     path = str(tmp_path / "ledger")
-    for part in (data[30:], data[:10], data[10:30]):
-        hd.update_stored_ledger(path, hd.keyed(frame(spark, part)))
+    stored = hd.StoredLedger(spark, path)
+    assert rows(stored.read()) == [] and stored.versions() == []
+    for k, part in enumerate((data[30:], data[:10], data[10:30])):
+        assert stored.add(hd.keyed(frame(spark, part)), f"b{k}")
     whole = hd.update_ledger(None, hd.keyed(frame(spark, data)))
-    stored = spark.read.parquet(path).select("bucket", "copy_key", "n_copies", "keep_seq")
-    assert rows(stored) == rows(whole)
-    before = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("bucket=")}
-    hd.update_stored_ledger(path, hd.keyed(frame(spark, data[:1])))
-    changed = [d for d in before if sorted(os.listdir(f"{path}/{d}")) != before[d]]
-    assert len(changed) == 1
+    assert rows(stored.read()) == rows(whole)
+    # a batch told twice counts once
+    assert not stored.add(hd.keyed(frame(spark, data[10:30])), "b2") and rows(stored.read()) == rows(whole)
+    # only the buckets of a batch are written, one file each
+    assert stored.add(hd.keyed(frame(spark, data[:1])), "b3")
+    written = [d for d in os.listdir(f"{path}/data/version=4") if d.startswith("bucket=")]
+    assert len(written) == 1 and len([f for f in os.listdir(f"{path}/data/version=4/{written[0]}") if f.endswith(".parquet")]) == 1
+    # an update that broke off before its manifest was whole does not count, and can be repeated
+    shutil.copytree(f"{path}/data/version=4", f"{path}/data/version=5")
+    os.makedirs(f"{path}/manifest/version=5/_temporary")
+    after = rows(stored.read())
+    assert stored.versions() == [1, 2, 3, 4] and sum(r[2] for r in after) == 51
+    assert stored.add(hd.keyed(frame(spark, data[1:2])), "b4") and sum(r[2] for r in rows(stored.read())) == 52
+    stored.expire()
+    assert stored.versions() == [4, 5] and sum(r[2] for r in rows(stored.read())) == 52
+    assert stored.add(hd.keyed(frame(spark, data).limit(0)), "b5") and sum(r[2] for r in rows(stored.read())) == 52
+    # anything but a missing ledger is an error
+    shutil.rmtree(f"{path}/data/version=5")
+    with pytest.raises(Exception):
+        stored.read().collect()
+
+
+def test_only_named_buckets_meet_the_batch(spark, rows):
+    data = [(k, "r", "go", f"f{k}(a)", None, "x") for k in range(40)]
+    ledger = hd.update_ledger(None, hd.keyed(frame(spark, data)))
+    more = hd.update_ledger(ledger, hd.keyed(frame(spark, data[:1])))
+    assert {r.n_copies for r in more.collect()} == {1, 2} and more.count() == 40
 
 
 def test_empty(spark, rows):
