@@ -111,6 +111,29 @@ class File:
         return len(self.water)
 
 
+_GOES_ON = re.compile(r"(?:\(|,|->|:)\s*\Z")
+_CONTINUES = re.compile(r"\s*(?:\{|->|:|where\b|throws\b)")
+_SIGNATURE_MARK = re.compile(r"[(\[{};\n]")
+
+
+def _signature(f: File, start: int) -> str:
+    """The text of a definition up to its body: to the brace, semicolon or line end after its parameters, however long.
+
+    Without parameters it ends at the next brace or semicolon, blank line or comment at the latest.
+    """
+    at, closed = start, False
+    while m := _SIGNATURE_MARK.search(f.water, at):
+        at = m.end()
+        if m[0] in "([":
+            at = f.balanced(m.start())
+            closed |= m[0] == "("
+        elif m[0] in "{};":
+            return f.water[start : m.start()]
+        elif closed and not _CONTINUES.match(f.water, at) or not f.line(f.line_of(m.start()) + 1, f.water).strip():
+            return f.water[start : m.start()]
+    return f.water[start:]
+
+
 def _body_end(f: File, start: int) -> int:
     """Offset of the end of a definition in braces: its balanced body, or the end of its statement."""
     at = start
@@ -121,7 +144,7 @@ def _body_end(f: File, start: int) -> int:
             return f.balanced(m.start(), "{", "}")
         elif m[0] == ";":
             return m.end()
-        elif m[0] == "\n" and not f.water[start : m.start()].rstrip().endswith(("(", ",", "->", ":")) and not re.match(r"\s*(?:\{|->|:|where\b|throws\b)", f.water[m.end() : m.end() + 200]):
+        elif m[0] == "\n" and not _GOES_ON.search(f.water, f.starts[f.line_of(m.start())], m.start()) and not _CONTINUES.match(f.water, m.end()):
             return m.start()
         else:
             at = m.end()
@@ -226,9 +249,9 @@ def _braces(f: File) -> list[tuple[int, str, str, str]]:
         if k >= n or not f.line(k, f.water).strip():
             continue
         start = f.starts[k]
-        window = f.water[start : start + 400]
-        name = _NAME.search(_BEFORE_NAME.sub(" ", window, count=1))
-        if not _DEFINES.search(window.split("{")[0]):
+        head = _signature(f, start)
+        name = _NAME.search(_BEFORE_NAME.sub(" ", head, count=1))
+        if not _DEFINES.search(head):
             continue
         out[k + 1] = (k + 1, name[1] if name else "", raw, f.text[start : _body_end(f, start)])
     return list(out.values())
@@ -247,7 +270,7 @@ _SILENT = re.compile(
     r"(?:method|function|class|constructor)? ?(?:description|documentation|summary|comment) (?:goes )?here|no (?:description|documentation|docs?)( available| yet| provided)?|auto-?generated (?:method |constructor |function )?stub|undocumented|not documented( yet)?|document (?:this|me)|insert (?:description|documentation) here|"
     r"placeholder|stub|lorem ipsum.*|description|documentation|summary|documentation pending|write me|fill (?:me )?in|to be (?:done|documented|written))\W*$"
 )
-_ASIDE = re.compile(r"(?i)^\W*(?:copyright\b.*|licensed under\b.*|all rights reserved.*|spdx-.*|see the repository for details|#?(?:end)?region:.*|#(?:end)?region\b.*|noqa\b.*|nolint\b.*|eslint-\S+.*|prettier-\S+.*|pylint:.*|type: ignore.*|clang-format .*|go:\w+.*|\+build .*|mark: .*|pragma .*|nosec.*)$")
+_ASIDE = re.compile(r"(?i)^\W*(?:copyright\b.*|licensed under\b.*|all rights reserved.*|spdx-.*|see (?:also )?(?:the )?[\w./-]+(?: [\w./-]+){0,3} for (?:more |further )?(?:details|information)|#?(?:end)?region:.*|#(?:end)?region\b.*|noqa\b.*|nolint\b.*|eslint-\S+.*|prettier-\S+.*|pylint:.*|type: ignore.*|clang-format .*|go:\w+.*|\+build .*|mark: .*|pragma .*|nosec.*)$")
 _HEADING = re.compile(r"^\s*([-=~*#_+/]{2,}).*?\1?\s*$")
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"[A-ZÄÖÜ]+(?![a-zäöüß])|[A-ZÄÖÜ]?[a-zäöüß]+|[^\W\d_]+|\d+")
@@ -341,11 +364,14 @@ def documented_functions(files: DataFrame, symbols: DataFrame, with_code: bool =
     counts (a null loaded_at is the earliest). Files without text or of other languages give no pairs; no row repeats.
     """
     udf = _islands(with_code)
-    parsed = files.filter(F.col("file_id").isNotNull()).select("file_id", "loaded_at", udf("rel_path", "source_text").alias("found"))
-    last = files.groupBy("file_id").agg(F.max("loaded_at").alias("last_at"))
+    # of two deliveries with one stamp the one with the greater hash of path and text counts
+    version = F.struct("loaded_at", F.xxhash64("rel_path", "source_text").alias("text")).alias("version")
+    known = files.filter(F.col("file_id").isNotNull())
+    parsed = known.select("file_id", version, udf("rel_path", "source_text").alias("found"))
+    last = known.groupBy("file_id").agg(F.max(version).alias("last"))
     fields = ["start_line", "description", "code"] if with_code else ["start_line"]
-    pairs = parsed.select("file_id", "loaded_at", F.explode("found").alias("x")).select("file_id", "loaded_at", *[F.col(f"x.{c}") for c in fields])
-    kept = pairs.join(last, "file_id").filter(F.col("loaded_at").eqNullSafe(F.col("last_at"))).select("file_id", *fields).dropDuplicates(["file_id", "start_line"])
+    pairs = parsed.select("file_id", "version", F.explode("found").alias("x")).select("file_id", "version", *[F.col(f"x.{c}") for c in fields])
+    kept = pairs.join(last, "file_id").filter(F.col("version").eqNullSafe(F.col("last"))).select("file_id", *fields).dropDuplicates(["file_id", "start_line"])
     return kept.join(functions_of(symbols), ["file_id", "start_line"], "left_semi")
 
 

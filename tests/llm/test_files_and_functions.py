@@ -109,3 +109,28 @@ def test_functions_operator(spark, rows):
     pairs = df.documented_functions(files, symbols)
     assert rows(pairs.filter("file_id = 2").select("description")) == [("F reads what the store has kept.",)]
     assert df.found_functions(files.limit(0), symbols).count() == 0 and df.found_functions(files, symbols.limit(0)).count() == 0
+
+
+def test_signatures_of_any_length():
+    types = ", ".join(f"Map<String, List<Type{k}>> argument{k}" for k in range(60))
+    long_head = "<" + ", ".join(f"T{k} extends Comparable<T{k}>" for k in range(40)) + "> "
+    java = f"class A {{\n    /** Joins what the walker left open. */\n    public {long_head}Map<String, T0> resolve({types}) {{\n        return null;\n    }}\n}}\n"
+    assert len(long_head) > 800
+    assert [(line, name) for line, name, _, _ in df.documented("A.java", java)] == [(3, "resolve")]
+    receiver = "r *" + "a" * 600
+    go = f"package p\n\n// Fetch joins what the walker left open.\nfunc ({receiver}) Fetch(a int) int {{\n\treturn 1\n}}\n"
+    assert [(line, name) for line, name, _, _ in df.documented("a.go", go)] == [(4, "Fetch")]
+    swift = "/// Joins what the walker left open.\nfunc fetch(" + ",\n    ".join(f"a{k}: Int" for k in range(100)) + "\n)\n" + "\n" * 0 + "    -> Int {\n    1\n}\n"
+    found = df.documented("a.swift", swift)
+    assert [(line, name) for line, name, _, _ in found] == [(2, "fetch")] and found[0][3].rstrip().endswith("}")
+    assert df.documented("a.kt", "/** Says how many there are. */\nval x = 3\n\nfun f() { }\n") == []
+
+
+def test_deliveries_with_one_stamp(spark, rows):
+    import datetime as dt
+
+    t = dt.datetime(2031, 1, 1)
+    a, b = "def f():\n    '''Reads the open units.'''\n", "\ndef f():\n    '''Reads the closed units.'''\n"
+    files = spark.createDataFrame([(1, "a.py", a, t), (1, "a.py", b, t), (1, "a.py", b, t)], "file_id bigint, rel_path string, source_text string, loaded_at timestamp")
+    symbols = spark.createDataFrame([(1, 1, "def f():", False), (1, 2, "def f():", False)], "file_id bigint, start_line int, signature string, is_type_decl boolean")
+    assert len(rows(df.found_functions(files, symbols))) == 1
