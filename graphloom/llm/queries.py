@@ -30,6 +30,8 @@ QUERIES = {
     "p1_verdicts": lambda spark, d: source_validity.parse_files(_files(spark, d), load(spark, d, "nodes")),
     "p2_found": lambda spark, d: unwritten_files.unwritten_files(_files(spark, d)),
     "p2_layout": lambda spark, d: unwritten_files.classified_files(_files(spark, d)),
+    "p2_by_layout": lambda spark, d: unwritten_files.unwritten_files(_files(spark, d), notes=False, paths=False),
+    "p2_hand_written_nodes": lambda spark, d: unwritten_files.hand_written_nodes(_files(spark, d), load(spark, d, "nodes")).select("load_seq"),
     "p2_hand_written": lambda spark, d: unwritten_files.hand_written_files(_files(spark, d)),
     "p3_found": lambda spark, d: documented_functions.found_functions(_files(spark, d), load(spark, d, "raw_symbols")),
     "p3_pairs": lambda spark, d: documented_functions.documented_functions(_files(spark, d), load(spark, d, "raw_symbols")),

@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 from graphloom.llm.grammars import language_of
 
 #: By language: characters of a dense line, its greatest white-space share, least share of the text in such lines (encoded
-#: runs and rules of dashes are left out of all three),
-#: least share of numbers among the tokens, least number of numbers, least share of the text in encoded runs.
+#: runs and rules of dashes are left out of all three), least share of numbers among the tokens, least number of numbers,
+#: least share of the text in encoded runs. Languages of long types and names (Java, C#, Kotlin, Swift) and such whose
+#: formatters leave long lines (Go, C) need longer lines to be dense; scripts, which are squeezed most, shorter ones.
 THRESHOLDS = {
     None: (200, 0.10, 0.50, 0.80, 40, 0.40),
     "python": (200, 0.08, 0.50, 0.80, 40, 0.40),
     "javascript": (180, 0.10, 0.40, 0.80, 40, 0.40),
     "typescript": (180, 0.10, 0.40, 0.80, 40, 0.40),
+    "java": (220, 0.09, 0.50, 0.80, 40, 0.40),
+    "csharp": (220, 0.09, 0.50, 0.80, 40, 0.40),
+    "kotlin": (220, 0.09, 0.50, 0.80, 40, 0.40),
+    "swift": (220, 0.09, 0.50, 0.80, 40, 0.40),
+    "rust": (200, 0.09, 0.50, 0.80, 40, 0.40),
     "c": (240, 0.08, 0.50, 0.85, 48, 0.40),
     "cpp": (240, 0.08, 0.50, 0.85, 48, 0.40),
     "go": (240, 0.08, 0.50, 0.85, 48, 0.40),
@@ -49,19 +55,20 @@ _NUMBER = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][
 _WORD = re.compile(r"(?<!\w)[^\W\d]\w*")
 _SIGN = re.compile(r"[\W_]+")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){12,}|(?:\\u[0-9a-fA-F]{4}){8,}")
-_NUMBERED = re.compile(r"\b([^\W\d]\w*?)_?(\d+)\s*\(\s*\)")
+_NUMBERED = re.compile(r"\b([^\W\d]\w*?)_?(\d+)\s*\(\s*(?:void\s*)?\)")
 _DEFINED = re.compile(r"\b[^\W\d]\w*\s*\([^()\n]*\)[^;\n]*[{:]\s*$", re.M)
 #: Least number of numbered accessors, and their least share of all definitions.
 SERIES, SERIES_SHARE = 3, 0.8
 
 _COMMENT = re.compile(r"\s*(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|pragma)\b)|/\*|\*|--|;;|<!--)")
-_TOOL = re.compile(
-    r"(?i)\bcode generated by\b|\bauto-?\s?generated file\b|(?:^|\W)@generated\b|<auto-?generated|\bmachine[- ](?:made|generated)\b|\bgenerated from\b.*\bby\b|\bgenerated by\b|\bdo not (?:edit|modify|change)\b(?=\W*(?:by hand|$|manually|this file|directly))"
-    r"|\bautomatically generated\b|\b(?:created|written|emitted) by the \S+ (?:exporter|generator|compiler|tool)\b|\bproduced automatically\b|\bedit the template\b|\bchanges will be (?:lost|overwritten)\b|\bregenerate with\b|\bschema-checksum\b"
-)
-_ORIGIN = re.compile(
-    r"(?i)\bvendored (?:from|copy)\b|\bimported from \S+@\d|\bkeep in sync with upstream\b|\bcopied (?:verbatim )?from upstream\b|\bdo not patch here\b|\bbundled copy of\b|\(c\) the \S+ authors\b|^\W*\S+ v?\d+\.\d+\.\d+ \|"
-)
+#: What a note says, by its parts and not by its phrase: who made the file (a participle, "by" or "from", and for the
+#: weaker participles a tool), that it must not be edited (a prohibition without exception), that edits do not last.
+_MADE = re.compile(r"(?i)\b(?:(?:auto|machine)[- ]?(?:matically\s+)?)?(?:generated|made|produced)\b(?:\s+\w+){0,2}?\s+(?:by|from|with|using)\s+\S|(?:^|\W)@generated\b|<auto-?generated|\bauto-?\s?(?:matically\s+)?generated\b|\b[\w-]*(?:checksum|sha\d+|md5|digest)\s*[:=]\s*[0-9a-f]{4,}")
+_MADE_BY_TOOL = re.compile(r"(?i)\b(?:created|written|emitted|compiled|exported|built|re-?generated?)\b.{0,60}?\b(?:by|from|with|using)\b.{0,40}?(?:generator|exporter|compiler|codegen|schema|template|\btool\b|-gen\b|protoc)")
+_FORBIDDEN = re.compile(r"(?i)\b(?:do not|don't|never)\s+(?:edit|modify|change)\b(?:\s+(?:it|this|this file|by hand|manually|directly))?\s*(?:\W*$|[.;:!*-])|\b(?:edits?|changes|modifications)\b.{0,20}\bwill be (?:lost|overwritten|discarded)\b|\bedit the (?:template|schema|source) instead\b")
+#: Where a file comes from: a verb of copying with a release, or a banner of name, release and rights.
+_RELEASE = r"(?:\b[vV]?|@)\d+\.\d+(?:\.\d+)?\b"
+_ORIGIN = re.compile(rf"(?i)\b(?:vendored|imported|copied|bundled|mirrored|forked|taken)\b.{{0,40}}?\b(?:from|of)\b.{{0,80}}?{_RELEASE}|^\W*\S+ {_RELEASE} ?\|.*(?:\(c\)|©|licen[cs]e|https?:)|\bvendored (?:from|copy)\b|\bcopied (?:verbatim )?from upstream\b")
 _STUB = re.compile(r"(?i)auto-?generated method stub")
 _VENDORED_PATH = r"(?:^|/)(?:vendor|node_modules|third[_-]?party|external|Pods|deps|\.?venv|site-packages|bower_components|Godeps|Carthage)/|(?:^|/)[^/]+-\d+\.\d+(?:\.\d+)?[^/]*/"
 _GENERATED_PATH = r"(?:^|/)(?:generated|__generated__|autogen|gen)/|_pb2(?:_grpc)?\.pyi?$|(?:_grpc)?_pb\.[cm]?[jt]sx?$|\.pb\.[\w.]+$|\.generated\.\w+$|\.g\.\w+$|\.designer\.\w+$|\.tab\.[ch]\w*$|OuterClass\.java$|(?:^|/)zz_generated[^/]*$|_bindings\.rs$|\.freezed\.\w+$"
@@ -127,7 +134,7 @@ def layout(path: str | None, text: str | None) -> dict:
         "minified": dense >= dense_share * outside or packed and not blob,
         "blob": blob,
         "series": series,
-        "generated_note": any(map(_TOOL.search, notes)),
+        "generated_note": any(_MADE.search(x) or _MADE_BY_TOOL.search(x) or _FORBIDDEN.search(x) for x in notes),
         "vendored_note": any(map(_ORIGIN.search, notes)),
     }
 
@@ -143,33 +150,45 @@ def _layouts():
     return run
 
 
-def reason(path: Column, stats: str = "s") -> Column:
-    """minified, blob, vendored or generated, the first that holds; null for hand-written files."""
+def reason(path: Column, stats: str = "s", notes: bool = True, paths: bool = True) -> Column:
+    """minified, blob, vendored or generated, the first that holds; null for hand-written files.
+
+    Layout decides alone if `notes` and `paths` are off. Both are additions to it: code that a tool or another project
+    laid out like hand-written code has no layout of its own.
+    """
     p = F.regexp_replace(path, r"\\", "/")
-    at = lambda pattern: F.coalesce(p.rlike(pattern), F.lit(False))
+    at = lambda pattern: F.coalesce(p.rlike(pattern), F.lit(False)) & F.lit(paths)
+    note = lambda name: F.col(f"{stats}.{name}") & F.lit(notes)
     return (
         F.when(F.col(f"{stats}.minified") | at(_MINIFIED_PATH), "minified")
         .when(F.col(f"{stats}.blob"), "blob")
-        .when(F.col(f"{stats}.vendored_note") | at(_VENDORED_PATH), "vendored")
-        .when(F.col(f"{stats}.generated_note") | (F.col(f"{stats}.series") > 0) | at(_GENERATED_PATH), "generated")
+        .when(note("vendored_note") | at(_VENDORED_PATH), "vendored")
+        .when(note("generated_note") | (F.col(f"{stats}.series") > 0) | at(_GENERATED_PATH), "generated")
     )
 
 
-def classified_files(files: DataFrame) -> DataFrame:
-    """file_id, repo_id, reason (null: hand-written) and the layout statistics of each file.
+def classified_files(files: DataFrame, notes: bool = True, paths: bool = True) -> DataFrame:
+    """file_id, repo_id, unit, reason (null: hand-written) and the layout statistics of each file.
 
     Texts are judged where they are read and never shuffled. Of a file delivered more than once the last delivery
     counts; a null loaded_at is the earliest, ties go to the greater reason. Files with null or empty text are judged
-    by their path. Rows without file_id are left out.
+    by their path. Rows without file_id are left out. `unit` is the path as nodes.unit has it.
     """
     seen = files.filter(F.col("file_id").isNotNull()).select("file_id", "repo_id", "loaded_at", "rel_path", _layouts()("rel_path", "source_text").alias("s"))
-    judged = seen.select("file_id", F.struct("loaded_at", reason(F.col("rel_path")).alias("reason"), "repo_id", "s").alias("m"))
-    return judged.groupBy("file_id").agg(F.max("m").alias("m")).select("file_id", "m.repo_id", "m.reason", "m.s.*")
+    unit = F.regexp_replace(F.regexp_replace("rel_path", r"\\", "/"), r"^(?:\./)+", "")
+    judged = seen.select("file_id", F.struct("loaded_at", reason(unit, notes=notes, paths=paths).alias("reason"), "repo_id", unit.alias("unit"), "s").alias("m"))
+    return judged.groupBy("file_id").agg(F.max("m").alias("m")).select("file_id", "m.repo_id", "m.unit", "m.reason", "m.s.*")
 
 
-def unwritten_files(files: DataFrame) -> DataFrame:
-    return classified_files(files).filter(F.col("reason").isNotNull()).select("file_id")
+def unwritten_files(files: DataFrame, notes: bool = True, paths: bool = True) -> DataFrame:
+    return classified_files(files, notes, paths).filter(F.col("reason").isNotNull()).select("file_id")
 
 
 def hand_written_files(files: DataFrame) -> DataFrame:
     return classified_files(files).filter(F.col("reason").isNull()).select("file_id", "repo_id")
+
+
+def hand_written_nodes(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of hand-written units: those whose unit is no unwritten file of their repository."""
+    unwritten = classified_files(files).filter(F.col("reason").isNotNull()).select(F.col("repo_id").alias("r"), F.col("unit").alias("u")).distinct()
+    return nodes.join(unwritten, F.col("repo_id").eqNullSafe(F.col("r")) & (F.col("unit") == F.col("u")), "left_anti")

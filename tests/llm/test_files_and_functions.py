@@ -134,3 +134,24 @@ def test_deliveries_with_one_stamp(spark, rows):
     files = spark.createDataFrame([(1, "a.py", a, t), (1, "a.py", b, t), (1, "a.py", b, t)], "file_id bigint, rel_path string, source_text string, loaded_at timestamp")
     symbols = spark.createDataFrame([(1, 1, "def f():", False), (1, 2, "def f():", False)], "file_id bigint, start_line int, signature string, is_type_decl boolean")
     assert len(rows(df.found_functions(files, symbols))) == 1
+
+
+def test_layout_alone_and_the_nodes_of_hand_written_units(spark, rows):
+    import datetime as dt
+
+    t = dt.datetime(2031, 1, 1)
+    files = spark.createDataFrame(
+        [(1, "r", "./a.js", MIN * 3, t), (2, "r", "b\\c.py", "# This file was produced automatically from x.schema.\n" + HAND, t), (3, None, "vendor/d.py", HAND, t), (4, "r", "e.py", HAND, t), (5, "r", "f.c", "".join(f"int get_x_{k}(void) {{\n    return 0;\n}}\n" for k in range(5)), t)],
+        "file_id bigint, repo_id string, rel_path string, source_text string, loaded_at timestamp",
+    )
+    assert rows(uf.unwritten_files(files)) == [(1,), (2,), (3,), (5,)]
+    assert rows(uf.unwritten_files(files, notes=False, paths=False)) == [(1,), (5,)]
+    assert rows(uf.unwritten_files(files, paths=False)) == [(1,), (2,), (5,)]
+    nodes = spark.createDataFrame([("r", "a.js", 1), ("r", "b/c.py", 2), (None, "vendor/d.py", 3), ("r", "vendor/d.py", 4), ("r", "e.py", 5), ("r", None, 6)], "repo_id string, unit string, load_seq bigint")
+    assert rows(uf.hand_written_nodes(files, nodes).select("load_seq")) == [(4,), (5,), (6,)]
+
+
+@pytest.mark.parametrize("note,kind", [("Emitted by protoc-gen 1.2 from api.schema", "generated"), ("Do not modify.", "generated"), ("do not modify without asking", None), ("Written by the storage team", None), ("Taken from libfoo 2.1.3", "vendored"), ("Mirrored from upstream@4.12.0", "vendored"), ("taken from the store in one pass", None), ("sha256: 0f3a9b7c11", "generated")])
+def test_notes_by_their_parts(note, kind):
+    s = uf.layout("a.py", f"# {note}\n" + HAND)
+    assert ("generated" if s["generated_note"] else "vendored" if s["vendored_note"] else None) == kind
