@@ -132,7 +132,7 @@ SQL = {
     "s_get_symbol": VISIBLE + " SELECT repo_id, qualified_name, arg_max(id, load_seq) AS id FROM v GROUP BY 1, 2",
     "s_units": VISIBLE + " SELECT DISTINCT repo_id, unit FROM v",
     "s_edge_count": VISIBLE + " SELECT type, confidence, count(*) AS n_edges FROM e GROUP BY 1, 2",
-    "s_unit_facts": VISIBLE + " SELECT coalesce(n.unit, x.unit) AS unit, coalesce(n.c, 0) AS n_nodes, coalesce(x.c, 0) AS n_edges FROM (SELECT unit, count(*) c FROM v GROUP BY 1) n FULL JOIN (SELECT unit, count(*) c FROM e GROUP BY 1) x ON n.unit = x.unit",
+    "s_unit_facts": VISIBLE + " SELECT coalesce(n.repo_id, x.repo_id) AS repo_id, coalesce(n.unit, x.unit) AS unit, coalesce(n.c, 0) AS n_nodes, coalesce(x.c, 0) AS n_edges FROM (SELECT repo_id, unit, count(*) c FROM v GROUP BY 1, 2) n FULL JOIN (SELECT v.repo_id, e.unit, count(*) c FROM e JOIN v ON v.id = e.src GROUP BY 1, 2) x ON n.unit IS NOT DISTINCT FROM x.unit AND n.repo_id IS NOT DISTINCT FROM x.repo_id",
     "s_neighbors": VISIBLE + " SELECT node, direction, type, count(*) AS n_edges, count(DISTINCT other) AS n_others FROM (SELECT src AS node, 'out' AS direction, type, dst AS other FROM e UNION ALL SELECT dst, 'in', type, src FROM e) GROUP BY 1, 2, 3",
     "s_neighbors_filtered": VISIBLE + " SELECT dst AS node, 'in' AS direction, type, src AS other FROM e WHERE type IN ('calls','inherits') AND confidence IN ('INFERRED','AMBIGUOUS')",
     "s_changed_set": _CHANGED + " SELECT DISTINCT id FROM hit",

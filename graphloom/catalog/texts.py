@@ -15,7 +15,11 @@ from graphloom.sources import diffs, extract
 def _files(spark, d):
     """Each file once: deliveries repeat their text."""
     f = load(spark, d, "file_facts")
-    return f.select("file_id", "repo_id", F.col("rel_path").alias("unit"), "rel_path", "source_text").dropDuplicates(["file_id"])
+    # the last delivery counts: its stamp and hash are found first, so that texts are joined and not merged
+    version = F.struct("loaded_at", "content_hash", F.xxhash64("rel_path", "source_text").alias("text")).alias("version")
+    last = f.groupBy("file_id").agg(F.max(version).alias("version"))
+    kept = f.select("file_id", "repo_id", F.col("rel_path").alias("unit"), "rel_path", "source_text", version).join(last, ["file_id", "version"], "left_semi")
+    return kept.drop("version").dropDuplicates(["file_id"])
 
 
 def _facts(spark, d):
@@ -48,15 +52,15 @@ QUERIES = {
 SQL = {
     "x_doc_references": VISIBLE
     + r""", docs AS (SELECT doc_id, repo_id, text FROM documents WHERE text IS NOT NULL AND repo_id IS NOT NULL),
-sp AS (SELECT DISTINCT doc_id, repo_id, regexp_replace(trim(raw), '\s*\(\)$', '') AS t FROM (SELECT doc_id, repo_id, unnest(regexp_extract_all(text, '`([^`\n]+)`', 1)) AS raw FROM docs)),
+sp AS (SELECT DISTINCT doc_id, repo_id, trim(regexp_replace(trim(raw), '\(\)$', '')) AS t FROM (SELECT doc_id, repo_id, unnest(regexp_extract_all(text, '`{1,2}([^`\n]+)`{1,2}', 1)) AS raw FROM docs)),
 sy AS (SELECT * FROM v WHERE kind = 'symbol'), bq AS (SELECT repo_id, qualified_name AS t, arg_max(id, load_seq) AS id FROM sy GROUP BY 1, 2), bn AS (SELECT repo_id, name AS t, min(id) AS id FROM sy GROUP BY 1, 2 HAVING count(*) = 1),
-li AS (SELECT DISTINCT doc_id, repo_id, regexp_replace(raw, '^[./]+', '') AS t FROM (SELECT doc_id, repo_id, unnest(regexp_extract_all(text, '\]\(\s*([^)\s]+\.(?:py|tsx|ts))(?:[#?][^)\s]*)?\s*\)', 1)) AS raw FROM docs)),
+li AS (SELECT DISTINCT doc_id, repo_id, regexp_replace(p, '^[./]+', '') AS t FROM (SELECT doc_id, repo_id, regexp_replace(trim(raw), '[#?\s].*$', '') AS p FROM (SELECT doc_id, repo_id, unnest(regexp_extract_all(text, '\[[^\]\n]*\]\(([^()\n]+)\)', 1)) AS raw FROM docs)) WHERE string_split(p, '.')[-1] IN ('py', 'ts', 'tsx')),
 mo AS (SELECT repo_id, id, unit FROM v WHERE kind = 'module'),
 lx AS (SELECT li.doc_id, li.t, li.repo_id, (SELECT min(id) FROM mo WHERE mo.repo_id = li.repo_id AND mo.unit = li.t) AS ex, (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM mo WHERE mo.repo_id = li.repo_id AND ends_with(mo.unit, '/' || li.t)) AS suf FROM li)
 SELECT doc_id, coalesce(bq.id, bn.id) AS id FROM sp LEFT JOIN bq USING (repo_id, t) LEFT JOIN bn USING (repo_id, t) WHERE coalesce(bq.id, bn.id) IS NOT NULL
 UNION SELECT doc_id, coalesce(ex, suf) FROM lx WHERE coalesce(ex, suf) IS NOT NULL""",
     "w_changed_regions": r"""
-WITH f AS (SELECT DISTINCT ON (file_id) file_id, source_text FROM file_facts WHERE source_text LIKE '%@@%'),
+WITH f AS (SELECT DISTINCT ON (file_id) file_id, source_text FROM (SELECT * FROM file_facts QUALIFY loaded_at = max(loaded_at) OVER (PARTITION BY file_id)) WHERE source_text LIKE '%@@%'),
 l AS (SELECT file_id AS diff_id, unnest(string_split(replace(source_text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(source_text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS no FROM f),
 h AS (SELECT *, CASE WHEN starts_with(line, '+++ ') THEN CASE WHEN trim(line[5:]) = '/dev/null' THEN '' ELSE regexp_replace(trim(line[5:]), '^[ab]/', '') END END AS p FROM l),
 w AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY diff_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS path FROM h),

@@ -36,14 +36,20 @@ def check_duplicates(store: GraphStore, proposals: DataFrame) -> DataFrame:
     named as near but not blocked. Of several hits the one with the smallest id is reported.
     """
     asked = proposals.withColumn("norm", normalize_signature("signature", "language"))
-    hits = store.gate_symbols().select("language", F.col("norm_signature").alias("norm"), "id", "qualified_name", "unit", F.col("signature").alias("existing_signature"), F.col("body_hash").alias("hit_body"), F.coalesce("is_type_decl", F.lit(False)).alias("hit_type"), place().alias("existing_location"))
-    pairs = asked.join(hits, ["language", "norm"]).filter(F.col("exclude_unit").isNull() | (F.col("unit") != F.col("exclude_unit")))
-    body = F.coalesce((F.col("hit_body") == F.col("body_hash")), F.lit(False))
+    hit = F.struct("id", "unit", "qualified_name", place().alias("existing_location"), F.col("signature").alias("existing_signature"))
+    found = store.gate_symbols().select("language", F.col("norm_signature").alias("norm"), F.coalesce("is_type_decl", F.lit(False)).alias("hit_type"), F.col("body_hash").alias("hit_body"), "unit", hit.alias("hit"))
+    # a proposal needs the least hit outside one unit: of each signature, and of each body, the least hits of the two
+    # units that come first are enough, so no proposal meets all symbols of a common signature
+    by_signature = _two_units(found, ["language", "norm", "hit_type"])
+    by_body = _two_units(found.filter("hit_type AND hit_body IS NOT NULL"), ["language", "norm", "hit_type", "hit_body"]).withColumnRenamed("hit_body", "body_hash")
     as_callable = ~F.col("hit_type") & (F.col("is_type_decl").isNull() | ~F.col("is_type_decl"))
     as_type = F.col("hit_type") & (F.col("is_type_decl").isNull() | F.col("is_type_decl"))
-    rank = F.when(as_callable, 1).when(as_type & body, 2).when(as_type, 3)
-    hit = F.struct(rank.alias("rank"), F.col("id"), F.col("qualified_name"), F.col("existing_location"), F.col("existing_signature"))
-    best = pairs.filter(rank.isNotNull()).groupBy("key").agg(F.min(hit).alias("hit"))
+    outside = lambda: F.array_min(F.filter("hits", lambda h: F.col("exclude_unit").isNull() | (h["unit"] != F.col("exclude_unit"))))
+    ranked = (
+        asked.join(by_signature, ["language", "norm"]).select("key", F.when(as_callable, 1).when(as_type, 3).alias("rank"), outside().alias("hit"))
+        .unionByName(asked.join(by_body, ["language", "norm", "body_hash"]).select("key", F.when(as_type, 2).alias("rank"), outside().alias("hit")))
+    )
+    best = ranked.filter("rank IS NOT NULL AND hit IS NOT NULL").groupBy("key").agg(F.min(F.struct("rank", "hit.id", "hit.qualified_name", "hit.existing_location", "hit.existing_signature")).alias("hit"))
     out = asked.join(best, "key", "left")
     return out.select(
         "key",
@@ -55,6 +61,14 @@ def check_duplicates(store: GraphStore, proposals: DataFrame) -> DataFrame:
     )
 
 
+def _two_units(found: DataFrame, key: list[str]) -> DataFrame:
+    """key, hits: the least hit of each of the two units whose least hits come first."""
+    each = found.groupBy(*key, "unit").agg(F.min("hit").alias("hit"))
+    first = each.groupBy(*key).agg(F.min("hit").alias("first"))
+    w = Window.partitionBy(*key).orderBy("hit")
+    return each.withColumn("k", F.row_number().over(w)).filter("k <= 2").groupBy(*key).agg(F.collect_list("hit").alias("hits"))
+
+
 def rank_of(visibility: Column) -> Column:
     out = F.lit(None).cast("int")
     for name, rank in VISIBILITY_RANK.items():
@@ -74,6 +88,7 @@ def check_contracts(store: GraphStore, changes: DataFrame) -> DataFrame:
     return both.select("key", reason.isNotNull().alias("blocked"), reason.alias("reason"), F.when(reason.isNotNull(), F.col("existing_location")).alias("existing_location"))
 
 
+# The wording of a block.
 def verdict_text(kind: Column, name: Column, location: Column, signature: Column, reason: Column) -> Column:
     """The message of a block: what, evidence, the one next step; null for anything else."""
     sig = F.trim(F.regexp_replace(F.regexp_replace(signature, "`", "'"), r"\s+", " "))
@@ -113,6 +128,15 @@ def duplicate_signatures(nodes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- names
 
 
+def _first_names(named: DataFrame) -> DataFrame:
+    """repo_id, asked, n, id (the least), names (the first in order): a window keeps no more names than are shown."""
+    key = ["repo_id", "asked"]
+    counts = named.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    w = Window.partitionBy(*key).orderBy("qualified_name")
+    first = named.select(*key, "qualified_name").distinct().withColumn("k", F.row_number().over(w)).filter(F.col("k") <= CANDIDATES)
+    return counts.join(first.groupBy(*key).agg(F.array_sort(F.collect_list("qualified_name")).alias("names")), key)
+
+
 def resolve_names(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """asked, resolved id (or null), candidates: exact name, else the only name with that dotted suffix, else hints.
 
@@ -127,16 +151,15 @@ def resolve_names(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     suffixes = symbols.filter(n > 1).select("repo_id", "id", "qualified_name", F.explode(F.transform(F.sequence(F.lit(2), n), lambda k: F.array_join(F.slice(parts, k, n), "."))).alias("asked"))
     inner = F.when(n > 2, F.flatten(F.transform(F.sequence(F.lit(2), n - 1), lambda a: F.transform(F.sequence(a, n - 1), lambda b: F.array_join(F.slice(parts, a, b - a + 1), ".")))))
     infixes = symbols.select("repo_id", "id", "qualified_name", F.explode(F.array_distinct(inner)).alias("asked"))
-    last = symbols.select("repo_id", "id", "qualified_name", F.element_at(parts, -1).alias("last"))
+    last = symbols.select("repo_id", "id", "qualified_name", F.element_at(parts, -1).alias("asked"))
+    # each key is reduced to its count, its least id and its first names before any asked name meets it
     wanted = q.withColumn("last", F.substring_index("asked", ".", -1))
-    hits = (
-        q.join(suffixes, ["repo_id", "asked"]).select("repo_id", "asked", F.lit(1).alias("rank"), "id", "qualified_name")
-        .unionByName(wanted.join(last, ["repo_id", "last"]).select("repo_id", "asked", F.lit(2).alias("rank"), "id", "qualified_name"))
-        .unionByName(q.join(infixes, ["repo_id", "asked"]).select("repo_id", "asked", F.lit(3).alias("rank"), "id", "qualified_name"))
+    counted = (
+        q.join(_first_names(suffixes), ["repo_id", "asked"]).withColumn("rank", F.lit(1))
+        .unionByName(wanted.join(_first_names(last).withColumnRenamed("asked", "last"), ["repo_id", "last"]).drop("last").withColumn("rank", F.lit(2)))
+        .unionByName(q.join(_first_names(infixes), ["repo_id", "asked"]).withColumn("rank", F.lit(3)))
     )
     w = Window.partitionBy("repo_id", "asked")
-    # only the first names of each kind are kept: the count is what tells uniqueness
-    counted = hits.groupBy("repo_id", "asked", "rank").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.slice(F.array_sort(F.collect_set("qualified_name")), 1, CANDIDATES).alias("names"))
     best = counted.withColumn("top", F.min("rank").over(w)).filter("rank = top")
     out = q.join(exact, ["repo_id", "asked"], "left").join(best, ["repo_id", "asked"], "left")
     unique = (F.col("rank") == 1) & (F.col("n") == 1)

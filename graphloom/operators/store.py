@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +26,17 @@ def one_of(column: str, wanted: Iterable[str] | None) -> Column:
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row by `order` of each key, merged before the shuffle, whatever the number of rows of a key."""
-    packed = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("row"))
-    return packed.select("row.*")
+    """The last row by `order` of each key, whatever the number of rows of a key.
+
+    Only keys and orders are merged, by hash and before the shuffle; the rows that carry the last order are then kept, all
+    of them if a key has several (load_seq is unique).
+    """
+    named = [f"{k}_of_last" for k in key]
+    last = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(key, named, strict=True)]).agg(F.max(order).alias("last_order"))
+    same = F.lit(True)
+    for k, n in zip(key, named, strict=True):
+        same = same & rows[k].eqNullSafe(F.col(n))
+    return rows.join(last, same & (rows[order] == F.col("last_order")), "left_semi")
 
 
 def visible_nodes(nodes: DataFrame) -> DataFrame:
@@ -53,7 +65,10 @@ def repeated_ids(nodes: DataFrame) -> DataFrame:
 class GraphStore:
     """Visible nodes and edges with the lookups of the store."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, strict: bool = False):
+        """`strict` refuses nodes that several units claim, as a published graph must."""
+        if strict:
+            refuse_repeated(nodes)
         self.loads = nodes
         self.nodes = visible_nodes(nodes)
         self.edges = visible_edges(edges, self.nodes)
@@ -86,10 +101,14 @@ class GraphStore:
         return self.nodes.select("repo_id", "unit").distinct()
 
     def unit_facts(self) -> DataFrame:
-        """Numbers of nodes and edges of each unit."""
-        n = self.nodes.groupBy("unit").agg(F.count("*").alias("n_nodes"))
-        e = self.edges.groupBy("unit").agg(F.count("*").alias("n_edges"))
-        return n.join(e, "unit", "full_outer").fillna(0, ["n_nodes", "n_edges"])
+        """Numbers of nodes and edges of each unit of a repository; an edge is in the repository of its source."""
+        n = self.nodes.groupBy("repo_id", "unit").agg(F.count("*").alias("n_nodes"))
+        owned = self.edges.join(self.nodes.select(F.col("id").alias("src"), "repo_id"), "src")
+        e = owned.groupBy("repo_id", "unit").agg(F.count("*").alias("n_edges"))
+        a, b = n.alias("a"), e.alias("b")
+        same = F.col("a.repo_id").eqNullSafe(F.col("b.repo_id")) & F.col("a.unit").eqNullSafe(F.col("b.unit"))
+        both = a.join(b, same, "full_outer")
+        return both.select(F.coalesce("a.repo_id", "b.repo_id").alias("repo_id"), F.coalesce("a.unit", "b.unit").alias("unit"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
     def neighbors(self, types=None, confidences=None, direction: str = "both") -> DataFrame:
         """node, direction, type, other of every incident edge; a loop has both directions."""
@@ -130,40 +149,66 @@ def overlapping(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     return met.filter(F.col("slice") == first).drop("slice", "lo", "hi")
 
 
+def unit_key(*frames: DataFrame | None) -> list[str]:
+    """What names a unit: its repository too, where all frames tell it."""
+    return ["repo_id", "unit"] if all("repo_id" in f.columns for f in frames if f is not None) else ["unit"]
+
+
 def publish(unit_facts: DataFrame, stacked: DataFrame | None, version: int, units: DataFrame | None = None) -> DataFrame:
     """Stack a new version of whole units over the old facts; `units` names units that become empty (tombstones)."""
     new = unit_facts.withColumn("unit_version", F.lit(version)).withColumn("deleted", F.lit(False))
     if units is not None:
-        gone = units.select("unit").distinct().join(unit_facts.select("unit").distinct(), "unit", "left_anti")
+        key = unit_key(unit_facts, units)
+        gone = units.select(*key).distinct().join(unit_facts.select(*key).distinct(), key, "left_anti")
         new = new.unionByName(gone.withColumn("unit_version", F.lit(version)).withColumn("deleted", F.lit(True)), allowMissingColumns=True)
     return new if stacked is None else stacked.unionByName(new, allowMissingColumns=True)
 
 
 def current_facts(stacked: DataFrame) -> DataFrame:
     """Facts of the newest version of each unit that is not a tombstone."""
-    newest = stacked.groupBy("unit").agg(F.max("unit_version").alias("unit_version"))
-    return stacked.join(newest, ["unit", "unit_version"], "left_semi").filter(~F.col("deleted"))
+    key = unit_key(stacked)
+    newest = stacked.groupBy(*key).agg(F.max("unit_version").alias("unit_version"))
+    return stacked.join(newest, [*key, "unit_version"], "left_semi").filter(~F.col("deleted"))
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A snapshot with its versions; each save goes to its own directory, which a reader names only once it is whole."""
+    """A snapshot with its versions. Nodes and edges go to folders of their own; the row that names them is written last, so
+    a save that breaks off leaves the snapshot before it, and no reader sees parts of two."""
+    refuse_repeated(nodes)
+    spark, name = nodes.sparkSession, uuid.uuid4().hex
+    nodes.write.parquet(f"{path}/data/{name}/nodes")
+    edges.write.parquet(f"{path}/data/{name}/edges")
+    saved = spark.createDataFrame([(FORMAT_VERSION, ID_SCHEME_VERSION, name, time.time_ns())], META)
+    saved.coalesce(1).write.mode("append").parquet(f"{path}/meta")
+
+
+#: One row a save; the newest counts.
+META = "format_version int, id_scheme_version int, name string, saved_ns bigint"
+
+
+def refuse_repeated(nodes: DataFrame) -> None:
     repeated = repeated_ids(nodes).limit(1).collect()
     if repeated:
         raise ValueError(f"node {repeated[0].id} is claimed by several units")
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
-    nodes.sparkSession.createDataFrame([(FORMAT_VERSION, ID_SCHEME_VERSION)], "format_version int, id_scheme_version int").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """The snapshot, or None when it is missing, broken or of other versions."""
+    if not path_exists(spark, f"{path}/meta"):
+        return None
     try:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        if meta is None or (meta.format_version, meta.id_scheme_version) != (FORMAT_VERSION, ID_SCHEME_VERSION):
-            return None
-        return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
-    except Exception:
+        meta = spark.read.schema(META).parquet(f"{path}/meta").orderBy(F.desc("saved_ns")).first()
+    except (Py4JJavaError, PySparkException):  # no row of a snapshot can be read
+        return None
+    if meta is None or (meta.format_version, meta.id_scheme_version) != (FORMAT_VERSION, ID_SCHEME_VERSION):
         return None
+    parts = [f"{path}/data/{meta.name}/{x}" for x in ("nodes", "edges")]
+    return tuple(spark.read.parquet(x) for x in parts) if all(path_exists(spark, x + "/_SUCCESS") for x in parts) else None
 
 
 def overload_ordinals(nodes: DataFrame) -> DataFrame:

@@ -34,12 +34,15 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = Tr
     """root, node, distance (1..depth) of every node within reach of each root, roots excluded.
 
     Level by level for all roots together: the frontier meets the edges once a level and is checked against what was
-    seen; each level is checkpointed, so lineage stays short and a lost executor costs one level. Depth below 1 gives
-    no rows; the loop ends early when nothing new is found.
+    seen; each level is checkpointed, so lineage stays short and a lost executor costs one level. The edges, which every
+    level reads, are cut once beforehand, so that the store behind them is not built again. Depth below 1 gives no rows;
+    the loop ends early when nothing new is found.
     """
     a, b = ("src", "dst") if forward else ("dst", "src")
     steps = edges.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct()
     start = roots.select(F.col("id").alias("root")).distinct().withColumn("node", F.col("root")).withColumn("distance", F.lit(0))
+    if depth > 1:
+        steps, start = cut(steps), cut(start)
     seen = frontier = start
     for level in range(1, depth + 1):
         found = frontier.join(steps, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct()

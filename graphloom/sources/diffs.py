@@ -13,7 +13,7 @@ def diff_text(spark: SparkSession, repository: str, reference: str | None = None
     command = ["git", "-C", repository, "diff", "-U0", "--no-color", *([reference] if reference else ["--cached"])]
     done = subprocess.run(command, capture_output=True, check=False)
     text = done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
-    return spark.createDataFrame([(0, k, line) for k, line in enumerate(text.splitlines())], "diff_id bigint, line_no int, line string")
+    return spark.createDataFrame([(0, k, line) for k, line in enumerate(text.split("\n") if text else [])], "diff_id bigint, line_no int, line string")
 
 
 def changed_regions(lines: DataFrame) -> DataFrame:

@@ -7,15 +7,16 @@ Texts are read where they lie; only rows move. A file that does not parse gives
 from __future__ import annotations
 
 import ast
+import os
 import re
 import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import href_matches, language_of, module_qname, posix
+from graphloom.functions.paths import SUFFIXES, href_matches, language_of, module_qname, posix
 from graphloom.functions.signatures import body_digest
 
 MAX_BYTES = 2_000_000
@@ -24,11 +25,46 @@ EXCLUDED_DIRS = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv",
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, language, text of the indexable files under a directory: known suffix, not excluded, not over 2 MB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + re.escape(root.rstrip("/")) + "/", "")
-    excluded = F.exists(F.split(F.col("rel_path"), "/"), lambda s: s.isin(*EXCLUDED_DIRS))
-    return files.withColumn("rel_path", rel).filter((F.col("length") <= MAX_BYTES) & ~excluded).select("rel_path", language_of(F.col("rel_path")).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("source_text")).filter("language IS NOT NULL OR rel_path LIKE '%.md'")
+    """path, language, text of the indexable files under a directory: known suffix, not excluded, not over 2 MB.
+
+    The tree is walked first, without excluded directories and symbolic links; only the files that count are read.
+    """
+    files = read_files(spark, root)
+    return files.select("rel_path", language_of(F.col("rel_path")).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("source_text")).filter("language IS NOT NULL OR rel_path LIKE '%.md'")
+
+
+_SUFFIXES = tuple(s for suffixes in SUFFIXES.values() for s in suffixes) + (".md",)
+
+
+def walked_dirs(root: str) -> list[str]:
+    """The directories under a root that hold files to read, in order: a listing of directories, which the driver holds."""
+    out = []
+    for at, dirs, names in os.walk(root, followlinks=False):
+        dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS and not os.path.islink(os.path.join(at, d)))
+        if any(n.lower().endswith(_SUFFIXES) for n in names):
+            out.append(at)
+    return out
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, content, length of the files with a known suffix; bytes of larger files and of links are never read.
+
+    A root of another file system is listed by Spark: there excluded directories are left out after the listing.
+    """
+    if "://" in root:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        rel = F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", "")
+        excluded = F.exists(F.split(rel, "/"), lambda s: s.isin(*EXCLUDED_DIRS))
+        return found.filter(F.col("length") <= MAX_BYTES).filter(~excluded & F.lower("path").rlike("(?:" + "|".join(map(re.escape, _SUFFIXES)) + ")$")).select(rel.alias("rel_path"), "length", "content")
+    dirs = walked_dirs(root)
+    schema = "rel_path string, length bigint, content binary"
+    if not dirs:
+        return spark.createDataFrame([], schema)
+    found = spark.read.format("binaryFile").load(dirs)
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(os.path.abspath(root).rstrip("/")) + "/", "")
+    links = [os.path.relpath(os.path.join(d, n), root) for d in dirs for n in os.listdir(d) if os.path.islink(os.path.join(d, n))]
+    kept = found.filter(F.col("length") <= MAX_BYTES).filter(F.lower("path").rlike("(?:" + "|".join(map(re.escape, _SUFFIXES)) + ")$")).select(rel.alias("rel_path"), "length", "content")
+    return kept.filter(~F.col("rel_path").isin(links)) if links else kept
 
 
 def content_hashes(spark: SparkSession, root: str) -> DataFrame:
@@ -64,6 +100,7 @@ class _Python(ast.NodeVisitor):
         self.names: list[tuple] = []
         self.scope: list[tuple[str, str]] = []  # (name, kind)
         self.locals: list[set[str]] = []
+        self.type_only = False
 
     def _qname(self, name: str) -> str:
         return ".".join([self.module, *(n for n, _ in self.scope), name])
@@ -109,12 +146,23 @@ class _Python(ast.NodeVisitor):
 
     def visit_Import(self, node) -> None:
         for a in node.names:
-            self.imports.append(((a.asname or a.name.split(".")[0]), a.name if a.asname else a.name.split(".")[0], a.name, None, node.lineno, self._source()))
+            self.imports.append(((a.asname or a.name.split(".")[0]), a.name if a.asname else a.name.split(".")[0], a.name, None, node.lineno, self._source(), self.type_only))
 
     def visit_ImportFrom(self, node) -> None:
         base = ".".join(filter(None, (self._base(node.level), node.module or "")))
         for a in node.names:
-            self.imports.append((a.asname or a.name, f"{base}.{a.name}", base, a.name, node.lineno, self._source()))
+            self.imports.append((a.asname or a.name, f"{base}.{a.name}", base, a.name, node.lineno, self._source(), self.type_only))
+
+    def visit_If(self, node) -> None:
+        """What stands under TYPE_CHECKING is there for types only."""
+        self.visit(node.test)
+        known, checked = self.type_only, _dotted(node.test) or ""
+        self.type_only = known or checked.rpartition(".")[2] == "TYPE_CHECKING"
+        for child in node.body:
+            self.visit(child)
+        self.type_only = known
+        for child in node.orelse:
+            self.visit(child)
 
     def _name(self, node: ast.AST, relation: str) -> None:
         dotted = _dotted(node)
@@ -152,7 +200,7 @@ def _dotted(node: ast.AST) -> str | None:
 
 _FACTS = (
     "repo_id string, unit string, module string, fact string, error string, name string, qualified_name string, container string, signature string, start_line int, end_line int, visibility string, "
-    "is_type_decl boolean, body_hash string, is_top_level boolean, alias string, target string, target_module string, target_name string, relation string, shadowed boolean, source string, enclosing string"
+    "is_type_decl boolean, body_hash string, is_top_level boolean, type_only boolean, alias string, target string, target_module string, target_name string, relation string, shadowed boolean, source string, enclosing string"
 )
 
 
@@ -173,7 +221,7 @@ def python_facts(files: DataFrame) -> DataFrame:
         out = [base | {"fact": "module", "start_line": 1, "end_line": text.count("\n") + 1}]
         keys = ("name", "qualified_name", "container", "signature", "start_line", "end_line", "visibility", "is_type_decl", "body_hash", "is_top_level")
         out += [base | {"fact": "symbol"} | dict(zip(keys, s, strict=True)) for s in v.symbols]
-        out += [base | {"fact": "import"} | dict(zip(("alias", "target", "target_module", "target_name", "start_line", "source"), s, strict=True)) for s in v.imports]
+        out += [base | {"fact": "import"} | dict(zip(("alias", "target", "target_module", "target_name", "start_line", "source", "type_only"), s, strict=True)) for s in v.imports]
         out += [base | {"fact": "name"} | dict(zip(("relation", "name", "start_line", "shadowed", "source", "enclosing"), s, strict=True)) for s in v.names]
         return out
 
@@ -219,8 +267,22 @@ def resolve_python(facts: DataFrame) -> DataFrame:
 
 
 def import_graph(facts: DataFrame) -> DataFrame:
-    """src, dst of modules that import each other, loops left out."""
-    return resolve_python(facts).filter("type = 'imports' AND NOT external").join(facts.filter("fact = 'module'").select("repo_id", F.col("module").alias("owner")).distinct(), "repo_id").filter((F.col("dst") == F.col("owner")) | F.col("dst").startswith(F.concat("owner", F.lit(".")))).groupBy("repo_id", "src", "dst").agg(F.max_by("owner", F.length("owner")).alias("to")).filter("src != to").select("repo_id", "src", F.col("to").alias("dst")).distinct()
+    """repo_id, src, dst of Python modules by their imports: the longest known module that an import's name begins with.
+
+    Names are import names (`src/` and `__init__` dropped), imports under TYPE_CHECKING and of a module by itself do not
+    count. The names' prefixes are exploded and joined for equality, so no import meets modules that it does not name.
+    """
+    known = facts.filter("fact = 'module'").select("repo_id", import_name(F.col("module")).alias("owner")).distinct()
+    asked = facts.filter("fact = 'import' AND NOT type_only").select("repo_id", import_name(F.col("module")).alias("src"), import_name(F.col("target")).alias("dst")).distinct()
+    parts = F.split("dst", r"\.")
+    prefixes = asked.select("repo_id", "src", "dst", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("owner"))
+    best = prefixes.join(known, ["repo_id", "owner"]).groupBy("repo_id", "src", "dst").agg(F.max_by("owner", F.length("owner")).alias("to"))
+    return best.filter("src != to").select("repo_id", "src", F.col("to").alias("dst")).distinct()
+
+
+def import_name(module: Column) -> Column:
+    """A dotted module name without the source directory before it."""
+    return F.regexp_replace(module, r"^src\.(?=.)", "")
 
 
 def external_packages(edges: DataFrame) -> DataFrame:
@@ -266,6 +328,10 @@ def definitions(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- documents and routes
 
 
+#: A code span on one line, between single or double marks; the target of a link; suffixes of files that links may name.
+CODE_SPAN, LINK, LINKED = r"`{1,2}([^`\n]+)`{1,2}", r"\[[^\]\n]*\]\(([^()\n]+)\)", ("py", "ts", "tsx")
+
+
 def doc_references(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id, node id of every mention: code spans by exact name or the only bare name, links by unit or its only suffix.
 
@@ -274,13 +340,15 @@ def doc_references(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     docs = documents.filter(F.col("text").isNotNull() & F.col("repo_id").isNotNull())
     # a span that names a source file is no symbol; runs of blanks are folded by trim only, as spans are single lines
-    span = F.regexp_replace(F.trim(F.col("raw")), r"\s*\(\)$", "")
-    spans = docs.select("doc_id", "repo_id", F.explode(F.regexp_extract_all("text", F.lit(r"`([^`\n]+)`"), 1)).alias("raw")).select("doc_id", "repo_id", span.alias("text")).distinct()
+    span = F.trim(F.regexp_replace(F.trim(F.col("raw")), r"\(\)$", ""))
+    spans = docs.select("doc_id", "repo_id", F.explode(F.regexp_extract_all("text", F.lit(CODE_SPAN), 1)).alias("raw")).select("doc_id", "repo_id", span.alias("text")).distinct()
     symbols = nodes.filter("kind = 'symbol'").select("repo_id", "id", "name", "qualified_name", "load_seq")
     by_q = symbols.groupBy("repo_id", F.col("qualified_name").alias("text")).agg(F.max_by("id", "load_seq").alias("exact"))
     by_name = symbols.groupBy("repo_id", F.col("name").alias("text")).agg(F.count("*").alias("n"), F.min("id").alias("only")).filter("n = 1")
     hit = spans.join(by_q, ["repo_id", "text"], "left").join(by_name, ["repo_id", "text"], "left").select("doc_id", F.coalesce("exact", "only").alias("id")).filter("id IS NOT NULL")
-    links = docs.select("doc_id", "repo_id", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(\s*([^)\s]+\.(?:py|tsx|ts))(?:[#?][^)\s]*)?\s*\)"), 1)).alias("raw")).select("doc_id", "repo_id", F.regexp_replace("raw", r"^[./]+", "").alias("target")).distinct()
+    # the place that any link names, up to its fragment, query or title; those of source files count
+    place = F.regexp_replace(F.trim(F.col("raw")), r"[#?\s].*$", "")
+    links = docs.select("doc_id", "repo_id", F.explode(F.regexp_extract_all("text", F.lit(LINK), 1)).alias("raw")).select("doc_id", "repo_id", F.regexp_replace(place, r"^[./]+", "").alias("target"), F.substring_index(place, ".", -1).alias("suffix")).filter(F.col("suffix").isin(*LINKED)).drop("suffix").distinct()
     modules = nodes.filter("kind = 'module'").select("repo_id", "id", "unit")
     exact = modules.groupBy("repo_id", F.col("unit").alias("target")).agg(F.min("id").alias("exact"))
     parts = F.split("unit", "/")
@@ -291,13 +359,22 @@ def doc_references(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link_routes(links: DataFrame, routes: DataFrame) -> DataFrame:
     """links (link_id, href) with the first declared route (pattern, path, line) that each matches."""
-    segments = lambda c: F.size(F.split(F.rtrim(c, F.lit("/")), "/"))
+    parts = lambda c: F.split(F.rtrim(c, F.lit("/")), "/")
     first = routes.groupBy("pattern").agg(F.min(F.struct("path", "line")).alias("at"))
-    met = links.withColumn("n", segments(F.col("href"))).join(first.withColumn("n", segments(F.col("pattern"))), "n").filter(href_matches(F.col("href"), F.col("pattern")))
+    # a link meets the patterns of its length that begin, and end, with its own segment or with a parameter
+    shape = lambda p: F.when(p.startswith(":"), F.lit(":")).otherwise(p)
+    own = parts(F.col("pattern"))
+    keyed = first.withColumn("n", F.size(own)).withColumn("first", shape(F.try_element_at(own, F.lit(2)))).withColumn("last", shape(F.element_at(own, -1)))
+    asked = parts(F.col("href"))
+    either = lambda s: F.array(s, F.lit(":"))
+    spread = links.withColumn("n", F.size(asked)).withColumn("first", F.explode(either(F.try_element_at(asked, F.lit(2))))).withColumn("last", F.explode(either(F.element_at(asked, -1))))
+    same = (F.col("l.n") == F.col("r.n")) & F.col("l.first").eqNullSafe(F.col("r.first")) & (F.col("l.last") == F.col("r.last"))
+    met = spread.alias("l").join(keyed.alias("r"), same).filter(href_matches(F.col("href"), F.col("pattern")))
     return met.groupBy("link_id", "href").agg(F.min(F.struct("at", "pattern")).alias("m")).select("link_id", "href", "m.pattern")
 
 
-_ROUTER = re.compile(r"""from\s+['"](?:react-router|vue-router)""")
+_IMPORTED = re.compile(r"""\b(?:import|from|require)\b[^'"\n;]*['"]([^'"\n]+)""")
+_ROUTERS = ("react-router", "vue-router")
 _ROUTE = re.compile(r"""<Route\b[^>]*?\bpath\s*=\s*\{?\s*["']([^"'{}]*)["']|\bpath\s*:\s*["']([^"']*)["']""")
 _HREF = re.compile(r"""<(?:a|Link|NavLink|router-link)\b[^>]*?\b(?:href|to)\s*=\s*\{?\s*["'](/[^"'{}]*)["']""")
 
@@ -310,7 +387,7 @@ def declared_routes(files: DataFrame) -> DataFrame:
         out = []
         for t in text:
             rows = [{"kind": "href", "line": t.count("\n", 0, m.start()) + 1, "pattern": m[1]} for m in _HREF.finditer(t)]
-            if _ROUTER.search(t):
+            if any(m[1].startswith(_ROUTERS) for m in _IMPORTED.finditer(t)):
                 for m in _ROUTE.finditer(t):
                     path = m[1] if m[1] is not None else m[2]
                     if path and "*" not in path:
