@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that may stand before a declaration's name, by language.
-_LEADING = {
+LEADING = {
     "python": "async def class",
     "typescript": "export default declare abstract async function class interface public private protected static readonly const let var get set",
     "java": "public private protected static final abstract default synchronized native strictfp transient volatile class interface enum record",
@@ -26,10 +26,10 @@ _LEADING = {
     "kotlin": "public private protected internal open abstract final sealed data inner override suspend inline operator infix fun class object interface enum val var const companion",
     "swift": "public private fileprivate internal open final static class override convenience required lazy mutating func struct enum protocol extension let var init",
 }
-_HEAD = {k: re.compile(r"(?:(?:%s)[ ]\s*)+" % "|".join(sorted(map(re.escape, v.split()), key=len, reverse=True))) for k, v in _LEADING.items()}
+_HEAD = {k: re.compile(r"(?:(?:%s)[ ]\s*)+" % "|".join(sorted(map(re.escape, v.split()), key=len, reverse=True))) for k, v in LEADING.items()}
 _HEAD["python"] = re.compile(r"(?:(?:async def|def|class)[ ]\s*)+")
 for _k in ("typescript", "javascript"):  # `default` only follows `export`
-    _HEAD[_k] = re.compile(r"(?:(?:export default|%s)[ ]\s*)+" % "|".join(w for w in _LEADING[_k].split() if w != "default"))
+    _HEAD[_k] = re.compile(r"(?:(?:export default|%s)[ ]\s*)+" % "|".join(w for w in LEADING[_k].split() if w != "default"))
 _RECEIVERS = {"python": {"self", "cls"}, "rust": {"self"}}
 _PARTS = re.compile(r"[(\[{<]|[)\]}>]|,|[^(\[{<)\]}>,]+")
 _NAME_END = re.compile(r"[:=? \t]")
