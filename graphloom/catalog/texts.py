@@ -12,7 +12,7 @@ from graphloom.runtime import load
 from graphloom.sources import diffs, extract
 
 
-def _files(spark, d):
+def last_files(spark, d):
     """Each file once: deliveries repeat their text."""
     f = load(spark, d, "file_facts")
     # the last delivery counts: its stamp and hash are found first, so that texts are joined and not merged
@@ -23,11 +23,11 @@ def _files(spark, d):
 
 
 def _facts(spark, d):
-    return extract.python_facts(_files(spark, d))
+    return extract.python_facts(last_files(spark, d))
 
 
 def _diff_lines(spark, d):
-    f = _files(spark, d).filter("source_text LIKE '%@@%'")
+    f = last_files(spark, d).filter("source_text LIKE '%@@%'")
     return f.select(F.col("file_id").alias("diff_id"), F.posexplode(F.split("source_text", r"\r?\n")).alias("line_no", "line"))
 
 
@@ -37,17 +37,17 @@ QUERIES = {
     "x_python_edges": lambda spark, d: extract.resolve_python(_facts(spark, d)),
     "x_import_graph": lambda spark, d: extract.import_graph(_facts(spark, d)),
     "x_external_packages": lambda spark, d: extract.external_packages(extract.resolve_python(_facts(spark, d))),
-    "x_definitions": lambda spark, d: extract.definitions(_files(spark, d)),
-    "x_routes": lambda spark, d: extract.declared_routes(_files(spark, d)),
+    "x_definitions": lambda spark, d: extract.definitions(last_files(spark, d)),
+    "x_routes": lambda spark, d: extract.declared_routes(last_files(spark, d)),
     "x_doc_references": lambda spark, d: extract.doc_references(load(spark, d, "documents"), s.visible_nodes(load(spark, d, "nodes"))),
     "w_changed_regions": lambda spark, d: diffs.changed_regions(_diff_lines(spark, d)),
-    "d_control_flow": lambda spark, d: an.control_flow(_files(spark, d)),
-    "d_unreachable": lambda spark, d: an.unreachable_code(_files(spark, d)),
-    "d_post_dominators": lambda spark, d: an.post_dominance(_files(spark, d)),
-    "d_definition_uses": lambda spark, d: an.definition_uses(_files(spark, d)),
-    "d_dependences": lambda spark, d: an.dependence_edges(_files(spark, d)),
-    "d_slices": lambda spark, d: an.output_slices(_files(spark, d)),
-    "k_test_metrics": lambda spark, d: gates.test_metrics(_files(spark, d)),
+    "d_control_flow": lambda spark, d: an.control_flow(last_files(spark, d)),
+    "d_unreachable": lambda spark, d: an.unreachable_code(last_files(spark, d)),
+    "d_post_dominators": lambda spark, d: an.post_dominance(last_files(spark, d)),
+    "d_definition_uses": lambda spark, d: an.definition_uses(last_files(spark, d)),
+    "d_dependences": lambda spark, d: an.dependence_edges(last_files(spark, d)),
+    "d_slices": lambda spark, d: an.output_slices(last_files(spark, d)),
+    "k_test_metrics": lambda spark, d: gates.test_metrics(last_files(spark, d)),
 }
 SQL = {
     "x_doc_references": VISIBLE

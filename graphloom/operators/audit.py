@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -145,3 +146,75 @@ def missing_attestations(required: DataFrame, ledger: DataFrame) -> DataFrame:
     """Attestations (contract_hash, tree, name) that no ledger line gives for the same contract and tree."""
     given = ledger.filter("type = 'attestation'").select("contract_hash", "tree", "name").distinct()
     return required.join(given, ["contract_hash", "tree", "name"], "left_anti")
+
+
+# ---------------------------------------------------------------- writing ledgers, evidence of contracts
+
+
+def ledger_entry(seq: int, prev: str, kind: str, evidence: dict, actor: dict, tree: str | None = None, ts: int = 0) -> dict:
+    """One entry, linked to the one before it by `prev` and sealed by its own hash."""
+    entry = {"v": 1, "seq": seq, "ts": ts, "type": kind, "actor": actor, "tree": tree, "evidence": evidence, "decision_hash": decision_hash(kind, tree, evidence), "prev": prev}
+    return entry | {"hash": canonical_digest(entry)}
+
+
+def append_ledger(spark, path: str, decisions: list[dict]) -> int:
+    """Append decisions (type, evidence, actor, tree, ts) to a ledger of JSON lines; the number of the last entry.
+
+    A ledger has one writer. Its head (the last number and hash) is read from the newest part, whose name is its first
+    number, so an append reads one part however long the ledger is. A part that was not finished does not count.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    parts = sorted(n for n in names if n.startswith("from=") and fs.exists(fs_path(f"{path}/{n}/_SUCCESS")))
+    seq, prev = 0, ""
+    if parts:
+        last = max((json.loads(r.value) for r in spark.read.text(f"{path}/{parts[-1]}").collect()), key=lambda e: e["seq"])
+        seq, prev = last["seq"], last["hash"]
+    lines = []
+    for d in decisions:
+        seq += 1
+        e = ledger_entry(seq, prev, d["type"], d.get("evidence", {}), d.get("actor", {}), d.get("tree"), d.get("ts", 0))
+        prev = e["hash"]
+        lines.append((json.dumps(e, sort_keys=True),))
+    if lines:
+        first = seq - len(lines) + 1
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/from={first:020d}")
+    return seq
+
+
+def ledger_lines(spark, path: str) -> DataFrame:
+    """pos, line of a written ledger, in the order of its entries."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.select(F.get_json_object("line", "$.seq").cast("bigint").alias("pos"), "line")
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Append the decisions of a stream (type, evidence as JSON, at) with a running chain: one writer, batch by batch.
+
+    A batch that is repeated after a failure is told by its number, which its entries carry, and not written twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.orderBy("at").collect()  # decisions are made one by one: a batch of them is small
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            done = ledger_lines(spark, path).filter(F.get_json_object("line", "$.evidence.batch").cast("bigint") == number)
+            if not done.isEmpty():
+                return
+        append_ledger(spark, path, [{"type": r["type"], "evidence": json.loads(r["evidence"] or "{}") | {"batch": number}} for r in rows])
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def contract_evidence(lines: DataFrame) -> DataFrame:
+    """One row: contracts declared, their checks and attestations, and the checks that never failed in at least five runs."""
+    e = lines.select(F.get_json_object("line", "$.type").alias("type"), "line")
+    texts = lambda path: F.coalesce(F.from_json(F.get_json_object("line", path), "array<string>"), F.array().cast("array<string>"))
+    declared = e.filter("type = 'contract_declared'").agg(F.count("*").alias("declared"), F.coalesce(F.sum(F.size(texts("$.evidence.contract.checks"))), F.lit(0)).alias("checks"), F.coalesce(F.sum(F.size(texts("$.evidence.contract.attest"))), F.lit(0)).alias("attests"))
+    runs = e.filter(F.col("type").isin("contract_pass", "contract_fail", "sealed_pass", "sealed_fail")).select(F.explode(F.from_json(F.get_json_object("line", "$.evidence.checks"), "array<struct<run:string,exit:int>>")).alias("c"))
+    folded = runs.select(F.array_join(F.filter(F.split(F.coalesce("c.run", F.lit("")), r"\s+"), lambda x: x != ""), " ").alias("run"), (F.coalesce("c.exit", F.lit(1)) != 0).alias("failed"))
+    never = folded.groupBy("run").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("int")).alias("bad")).filter("n >= 5 AND bad = 0")
+    return declared.crossJoin(never.agg(F.array_join(F.array_sort(F.collect_list("run")), "\n").alias("unfalsified")))

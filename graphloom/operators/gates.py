@@ -13,6 +13,7 @@ from graphloom.functions.paths import is_test_path_commit
 from graphloom.functions.signatures import normalize_signature
 from graphloom.operators.store import GraphStore
 from graphloom.operators.traverse import gate_edges
+from graphloom.runtime import cut
 from graphloom.schema import REFERENCE_EDGES
 
 _KEY = ["repo_id", "qualified_name"]
@@ -124,8 +125,61 @@ def lost_ids(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def new_cycles(old: DataFrame, new: DataFrame, limit: int = 25) -> DataFrame:
-    """Cycles of the new module graph that the old one lacks."""
-    from graphloom.operators.traverse import simple_cycles
+    """Cycles of the new module graph that the old one lacks, of any length; the first `limit` in order.
 
-    key = F.array_join("cycle", ">").alias("cycle")
-    return simple_cycles(new).select(key).subtract(simple_cycles(old).select(key)).orderBy("cycle").limit(limit)
+    A cycle is new exactly if one of its edges is: only the components that a new edge touches are searched.
+    """
+    from graphloom.operators.traverse import all_cycles
+
+    e = lambda df: df.select("src", "dst").filter("src != dst").distinct()
+    fresh = cut(e(new).join(e(old), ["src", "dst"], "left_anti"))
+    cycles = all_cycles(new, None, touching=fresh)
+    after = F.transform("cycle", lambda x, i: F.struct(x.alias("src"), F.element_at("cycle", F.pmod(i + 1, F.size("cycle")).cast("int") + 1).alias("dst")))
+    steps = cycles.select("cycle", F.explode(after).alias("step")).select("cycle", "step.*")
+    hit = steps.join(fresh, ["src", "dst"], "left_semi").select("cycle").distinct()
+    return hit.orderBy("cycle").limit(limit).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+def staged_new_symbols(old: DataFrame, new: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+    """unit, language, qualified_name, signature of staged symbols that are new or whose signature changed.
+
+    old and new have unit, language, qualified_name and signature of the files before and after. A renamed file
+    (old_unit, unit) is judged with its old one as a pair, so that moving a file makes nothing new.
+    """
+    norm = normalize_signature("signature", "language").alias("was")
+    before = old.select("unit", "qualified_name", norm)
+    if renames is not None:
+        moved = before.withColumnRenamed("unit", "old_unit").join(renames.select("old_unit", "unit"), "old_unit").select("unit", "qualified_name", "was")
+        before = before.join(renames.select(F.col("old_unit").alias("unit")), "unit", "left_anti").unionByName(moved)
+    known = before.distinct().withColumnRenamed("was", "norm_signature")
+    return new.withColumn("norm_signature", normalize_signature("signature", "language")).join(known, ["unit", "qualified_name", "norm_signature"], "left_anti").drop("norm_signature")
+
+
+def commit_gate(store: GraphStore, old: DataFrame | None, new: DataFrame, touched: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+    """kind, what, detail of every finding on a commit, blocks first by kind: what a commit introduces, and advice.
+
+    old is None where the state before could not be told: then every duplicate group counts as introduced. touched are
+    the units (repo_id, unit) of the commit. Kinds: duplicate (blocks), deleted, follow_through.
+    """
+    staged = new if old is None else staged_new_symbols(old, new, renames)
+    groups = introduced_duplicates(store, staged)
+    found = groups.select(F.lit("duplicate").alias("kind"), F.concat_ws(" ", "language", "norm_signature").alias("what"), F.col("n_names").cast("string").alias("detail"), F.lit(True).alias("blocks"))
+    changed = store.nodes.join(staged.select("unit", "qualified_name").distinct(), ["unit", "qualified_name"], "left_semi").select("id")
+    follow = follow_through(store, changed, touched).select(F.lit("follow_through"), F.concat_ws("/", "repo_id", "unit"), F.col("n_changed").cast("string"), F.lit(False))
+    if old is None:
+        return found.unionByName(follow.toDF(*found.columns))
+    lost = old.select("unit", "qualified_name").distinct().join(new.select("unit", "qualified_name").distinct(), ["unit", "qualified_name"], "left_anti")
+    if renames is not None:
+        lost = lost.join(renames.select(F.col("old_unit").alias("unit")), "unit", "left_anti")
+    gone = deletion_advisory(store, store.nodes.join(lost, ["unit", "qualified_name"], "left_semi").select("id")).select(F.lit("deleted"), F.col("id"), F.col("n_references").cast("string"), F.lit(False))
+    return found.unionByName(gone.toDF(*found.columns)).unionByName(follow.toDF(*found.columns))
+
+
+def write_gate(store: GraphStore, snippets: DataFrame) -> DataFrame:
+    """A verdict for each symbol that a Python snippet (key, unit, source_text) would create; its own unit is excluded."""
+    from graphloom.operators.queries import check_duplicates
+    from graphloom.sources.extract import snippet_symbols
+
+    symbols = snippet_symbols(snippets)
+    proposals = symbols.select(F.concat_ws("#", "key", "qualified_name", "start_line").alias("key"), "signature", F.lit("python").alias("language"), F.col("unit").alias("exclude_unit"), "body_hash", "is_type_decl")
+    return check_duplicates(store, proposals)

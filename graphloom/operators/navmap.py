@@ -95,3 +95,18 @@ def read_maps(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     states = good.select("map_id", F.explode("m.states").alias("s")).select("map_id", "s.*")
     moves = good.select("map_id", F.posexplode("m.transitions").alias("seq", "t")).select("map_id", "seq", F.col("t.from").alias("src"), F.col("t.do").alias("do"), F.col("t.to").alias("dst"))
     return states, moves, bad
+
+
+def goto_plans(asked: DataFrame, transitions: DataFrame, states: DataFrame, max_hops: int = 10) -> DataFrame:
+    """map_id, start, state, how (there, path, direct, unreachable) and path of each wish to get from one state to another.
+
+    A declared path comes first. Without one, or from a state that is not known, a state is entered by its URL if that has
+    no parameters; else it cannot be reached.
+    """
+    known = states.select("map_id", F.col("id").alias("state"))
+    starts = asked.select("map_id", F.col("start").alias("state")).distinct().join(known, ["map_id", "state"], "left_semi")
+    paths = find_paths(transitions, starts, max_hops)
+    params = states.select("map_id", F.col("id").alias("state"), url_params(F.col("url")).alias("n_params"))
+    met = asked.join(paths, ["map_id", "start", "state"], "left").join(params, ["map_id", "state"], "left")
+    how = F.when(F.col("start") == F.col("state"), "there").when(F.col("path").isNotNull(), "path").when(F.col("n_params") == 0, "direct").otherwise("unreachable")
+    return met.select("map_id", "start", "state", how.alias("how"), "path")

@@ -111,23 +111,34 @@ def truncated_cycles(edges: DataFrame, max_length: int = MAX_CYCLE, limit: int =
     return found.orderBy("cycle").limit(limit).withColumn("truncated", F.lit(found.count() > limit))
 
 
-def all_cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
-    """cycle: every simple cycle up to max_length within a component.
+#: Open paths that one level of the search for cycles may hold. A dense component has exponentially many.
+MOST_PATHS = 50_000_000
+
+
+def all_cycles(edges: DataFrame, max_length: int | None = MAX_CYCLE, touching: DataFrame | None = None, most_paths: int = MOST_PATHS) -> DataFrame:
+    """cycle: every simple cycle up to max_length (None: of any length) within a component.
 
     A path starts at its smallest node and only visits greater ones, so each cycle appears once and already rotated. A
-    component with longer cycles only is reported as its sorted members.
+    component with longer cycles only is reported as its sorted members. With `touching` (src, dst) only the components
+    that hold both ends of one of its edges are searched. More open paths than most_paths are an error, not a loss.
     """
     scc = components(edges)
+    if touching is not None:
+        ends = touching.join(scc.select(F.col("node").alias("src"), "component"), "src").join(scc.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst")
+        scc = scc.join(ends.filter("component = c2").select("component").distinct(), "component", "left_semi")
     a, b = scc.select(F.col("node").alias("src"), "component"), scc.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
     inside = cut(edges.select("src", "dst").filter("src != dst").distinct().join(a, "src").join(b, "dst").filter("component = c2").select("src", "dst", "component"))
     paths = inside.filter("dst > src").select("component", F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"))
     found = None
-    for _ in range(2, max_length + 1):
+    for _ in count(2) if max_length is None else range(2, max_length + 1):
         closed = paths.join(inside.select(F.col("src").alias("last"), F.col("dst").alias("first")), ["last", "first"], "left_semi").select("component", F.col("path").alias("cycle"))
         found = closed if found is None else found.unionByName(closed)
         grown = paths.join(inside.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").filter((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
         paths = cut(grown.select("component", F.concat("path", F.array("next")).alias("path"), "first", F.col("next").alias("last")))
-        if paths.isEmpty():
+        n = paths.count()
+        if n > most_paths:
+            raise RuntimeError(f"cycles: {n} open paths in a dense component")
+        if not n:
             break
     whole = scc.join(found.select("component").distinct(), "component", "left_anti").groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("cycle"))
     return found.select("cycle").unionByName(whole.select("cycle"))

@@ -166,3 +166,75 @@ def sites_in_spans(store: GraphStore) -> DataFrame:
     sliced = spans.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lo") / LINE_SLICE), F.floor(F.col("hi") / LINE_SLICE))))
     met = sites.withColumn("slice", F.floor(F.col("line") / LINE_SLICE)).join(sliced, ["repo_id", "path", "slice"]).filter("line BETWEEN lo AND hi")
     return met.groupBy("repo_id", "path", "line").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("n"), "id")).alias("m")).select("repo_id", "path", "line", "m.id")
+
+
+# ---------------------------------------------------------------- neighbours, names and layouts of views
+
+
+def adjacency(store: GraphStore) -> DataFrame:
+    """id, other: every undirected neighbour of a node once, loops left out: the rows of its adjacency list."""
+    e = store.edges.filter("src != dst").select("src", "dst")
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct()
+
+
+def dominant_subpackages(members: DataFrame) -> DataFrame:
+    """community, dominant, n_files: the commonest directory of each community's units (community, unit), ties the smallest."""
+    each = members.select("community", "unit", subpackage(F.col("unit")).alias("sub")).distinct()
+    counts = each.groupBy("community", "sub").agg(F.count("*").alias("n"))
+    best = counts.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "sub")).alias("b"), F.sum("n").alias("n_files"))
+    return best.select("community", F.col("b.sub").alias("dominant"), "n_files")
+
+
+def community_labels(members: DataFrame) -> DataFrame:
+    """community, label: its dominant directory and size; of equal labels each gets its number, in the order of communities."""
+    d = dominant_subpackages(members)
+    base = F.concat(F.col("dominant"), F.lit(" · "), F.col("n_files").cast("string"), F.when(F.col("n_files") == 1, " file").otherwise(" files"))
+    w = Window.partitionBy("base")
+    numbered = d.withColumn("base", base).withColumn("k", F.row_number().over(w.orderBy("community"))).withColumn("n", F.count("*").over(w))
+    return numbered.select("community", F.when(F.col("n") > 1, F.concat("base", F.lit(" (#"), F.col("k").cast("string"), F.lit(")"))).otherwise(F.col("base")).alias("label"))
+
+
+def block_layout(units: DataFrame, gap: float = 1.0) -> DataFrame:
+    """Units (repo_id, unit, weight) as squares in rows of about the square root of their number, the greatest first."""
+    w = Window.partitionBy("repo_id")
+    k, n = F.row_number().over(w.orderBy(F.desc("weight"), "unit")) - 1, F.count("*").over(w)
+    placed = units.withColumn("k", k).withColumn("columns", F.ceil(F.sqrt(n)))
+    return placed.select("repo_id", "unit", (F.pmod("k", "columns") * gap).cast("double").alias("x"), (F.floor(F.col("k") / F.col("columns")) * gap).cast("double").alias("y"))
+
+
+def layer_layout(units: DataFrame, gap: float = 1.0) -> DataFrame:
+    """Units (repo_id, unit, layer) in one row a layer, centred, by name."""
+    w = Window.partitionBy("repo_id", "layer")
+    k, n = F.row_number().over(w.orderBy("unit")) - 1, F.count("*").over(w)
+    return units.select("repo_id", "unit", ((k - (n - 1) / 2) * gap).alias("x"), (F.col("layer") * gap).cast("double").alias("y"))
+
+
+def orbit_layout(units: DataFrame, gap: float = 10.0) -> DataFrame:
+    """Units (repo_id, unit, family) on one circle a family, families in the order of their names from the middle out."""
+    ring = F.dense_rank().over(Window.partitionBy("repo_id").orderBy("family"))
+    w = Window.partitionBy("repo_id", "family")
+    angle = 2 * math.pi * (F.row_number().over(w.orderBy("unit")) - 1) / F.count("*").over(w)
+    out = units.withColumn("r", ring * gap).withColumn("angle", angle)
+    return out.select("repo_id", "unit", (F.col("r") * F.cos("angle")).alias("x"), (F.col("r") * F.sin("angle")).alias("y"))
+
+
+def compute_layout(store: GraphStore) -> DataFrame:
+    """view, repo_id, unit, x, y, z of every unit in each of seven views: block, layer, orbit, galaxy, globe, family, ring."""
+    from graphloom.operators.traverse import layers
+
+    weights = unit_weight(store).filter(F.col("unit") != EXTERNALS_UNIT)
+    weights = cut(weights)
+    depth = layers(unit_edges(store), unit_nodes(store))
+    placed = weights.withColumn("node", F.concat_ws("/", "repo_id", "unit")).join(depth, "node", "left").fillna(0, ["layer"])
+    families = weights.withColumn("family", family_of(F.col("unit")))
+    middle = ring_layout(store).filter(F.col("unit") != EXTERNALS_UNIT).groupBy("repo_id", "unit").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    views = {
+        "block": block_layout(weights), "layer": layer_layout(placed), "orbit": orbit_layout(families), "galaxy": spiral_layout(weights), "globe": sphere_layout(weights),
+        "family": block_layout(families.withColumn("repo_id", F.concat_ws(":", "repo_id", "family"))).withColumn("repo_id", F.substring_index("repo_id", ":", 1)), "ring": middle,
+    }
+    out = None
+    for name, frame in views.items():
+        flat = frame if "z" in frame.columns else frame.withColumn("z", F.lit(0.0))
+        one = flat.select(F.lit(name).alias("view"), "repo_id", "unit", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z"))
+        out = one if out is None else out.unionByName(one)
+    return out

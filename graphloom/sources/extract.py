@@ -119,7 +119,7 @@ class _Python(ast.NodeVisitor):
             self.visit(d)
         if isinstance(node, ast.ClassDef):
             for b in node.bases:
-                self._name(b, "inherits")
+                self._name(b, "inherits", self._qname(node.name))
         self.scope.append((node.name, kind))
         if kind == "function":
             a = node.args
@@ -164,13 +164,13 @@ class _Python(ast.NodeVisitor):
         for child in node.orelse:
             self.visit(child)
 
-    def _name(self, node: ast.AST, relation: str) -> None:
+    def _name(self, node: ast.AST, relation: str, source: str | None = None) -> None:
         dotted = _dotted(node)
         if dotted:
             first = dotted.split(".")[0]
             shadowed = first not in ("self", "cls") and any(first in s for s in self.locals)
             enclosing = ".".join([self.module, *(n for n, _ in self.scope)])
-            self.names.append((relation, dotted, node.lineno, shadowed, self._source(), enclosing))
+            self.names.append((relation, dotted, node.lineno, shadowed, source or self._source(), enclosing))
         else:
             self.visit(node)
 
@@ -236,6 +236,15 @@ def python_facts(files: DataFrame) -> DataFrame:
     return python.select("repo_id", unit.alias("unit"), module_qname(unit, F.lit("python")).alias("module"), "source_text").mapInPandas(run, _FACTS)
 
 
+def snippet_symbols(snippets: DataFrame) -> DataFrame:
+    """key, unit, qualified_name (within the snippet), signature, start_line, body_hash, is_type_decl of each symbol that a
+    Python text (key, unit, source_text) defines; a text that does not parse defines none."""
+    keyed = snippets.select(F.concat_ws("\x1f", F.col("key").cast("string"), "unit").alias("repo_id"), F.lit("snippet.py").alias("unit"), "source_text")
+    found = python_facts(keyed).filter("fact = 'symbol'")
+    parts = F.split("repo_id", "\x1f")
+    return found.select(parts[0].alias("key"), parts[1].alias("unit"), F.regexp_replace("qualified_name", r"^snippet\.", "").alias("qualified_name"), "signature", "start_line", "body_hash", "is_type_decl")
+
+
 def resolve_python(facts: DataFrame) -> DataFrame:
     """type, src, dst (qualified names), repo_id, unit, line, external: the edges of Python facts.
 
@@ -305,10 +314,18 @@ _DEFINITION["javascript"], _DEFINITION["cpp"] = _DEFINITION["typescript"], _DEFI
 _DEFINITION = {k: re.compile(v, re.M) for k, v in _DEFINITION.items()}
 
 
+def _line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
+
+
 def definitions(files: DataFrame) -> DataFrame:
-    """repo_id, unit, language, name, start_line, is_type of the definitions in files of the ten other languages."""
+    """repo_id, unit, language, name, start_line, is_type, head of the definitions in files of the ten other languages.
+
+    head is the text from the definition's line to its body or end, in one line.
+    """
 
-    @F.pandas_udf("array<struct<name:string,start_line:int,is_type:boolean>>")
+    @F.pandas_udf("array<struct<name:string,start_line:int,is_type:boolean,head:string>>")
     def found(language: pd.Series, text: pd.Series) -> pd.Series:
         out = []
         for x, t in zip(language, text, strict=True):
@@ -317,7 +334,7 @@ def definitions(files: DataFrame) -> DataFrame:
             for m in _DEFINITION[x].finditer(t):
                 g = m.groupdict()
                 name = g.get("name") or g.get("tname") or g.get("method")
-                rows.append({"name": name, "start_line": t.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1, "is_type": g.get("tname") is not None})
+                rows.append({"name": name, "start_line": t.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1, "is_type": g.get("tname") is not None, "head": " ".join(re.split(r"[{;]", t[m.start() : _line_end(t, m.end())], maxsplit=1)[0].split())})
             out.append(rows)
         return pd.Series(out, dtype=object)
 

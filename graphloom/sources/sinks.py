@@ -53,16 +53,21 @@ def scip_documents(store: GraphStore, manager: str = "graphloom") -> DataFrame:
 
 
 def html_page(store: GraphStore, title: str = "Graph", limit: int = 1500) -> str:
-    """A page of the limit most connected nodes and the edges among them; the limit bounds what the driver holds."""
+    """A page of the limit most connected nodes and the edges among them, 20 a node at most; the limit bounds what the
+    driver holds, and the page says so where it cut edges off."""
     from graphloom.operators.views import ring_layout, top_nodes
 
     top = top_nodes(store, limit).join(ring_layout(store), "id").select("id", "qualified_name", "degree", "x", "y")
     nodes = [r.asDict() for r in top.orderBy(F.desc("degree"), "qualified_name", "id").collect()]
     ids = store.nodes.sparkSession.createDataFrame([(n["id"],) for n in nodes], "id string")
-    edges = [list(r) for r in store.subgraph(ids)[1].groupBy("src", "dst", "type").count().orderBy("src", "dst", "type").limit(20 * limit).collect()]
+    among = store.subgraph(ids)[1].groupBy("src", "dst", "type").count()
+    edges = [list(r) for r in among.orderBy("src", "dst", "type").limit(20 * limit + 1).collect()]
+    cut_off = len(edges) > 20 * limit
+    edges = edges[: 20 * limit]
     dots = "".join(f'<circle cx="{n["x"]:.1f}" cy="{n["y"]:.1f}" r="2"><title>{html.escape(n["qualified_name"] or "")}</title></circle>' for n in nodes)
-    payload = json.dumps({"nodes": nodes, "edges": edges}).replace("</", "<\\/")
-    return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><svg viewBox="-120 -120 240 240" data-name={quoteattr(title)}>{dots}</svg><script type="application/json" id="graph">{payload}</script>'
+    note = f"<p>The first {len(edges)} edges among these nodes are shown.</p>" if cut_off else ""
+    payload = json.dumps({"nodes": nodes, "edges": edges, "edges_cut_off": cut_off}).replace("</", "<\\/")
+    return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><svg viewBox="-120 -120 240 240" data-name={quoteattr(title)}>{dots}</svg>{note}<script type="application/json" id="graph">{payload}</script>'
 
 
 def append_spans(spans: DataFrame, path: str) -> None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from graphloom.operators.store import current_facts
+from graphloom.operators.store import current_facts, load_graph, unit_key
 
 
 def change_signature(state: DataFrame) -> DataFrame:
@@ -58,3 +61,75 @@ def session_windows(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user, ended by a gap without events."""
     timed = events.withWatermark("ts", "2 hours") if events.isStreaming else events
     return timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n_events")).select("user_id", F.col("w.start").alias("session_start"), "n_events")
+
+
+def invalidated(changed: DataFrame, known: DataFrame) -> DataFrame:
+    """The changed units that a graph knows."""
+    key = unit_key(changed, known)
+    return changed.select(*key).intersect(known.select(*key))
+
+
+def prime(spark: SparkSession, path: str, hashes: DataFrame, reextract: Callable[[DataFrame], tuple[DataFrame, DataFrame]], stored_hashes: DataFrame | None, most: int = 20) -> tuple[DataFrame, DataFrame, str]:
+    """nodes, edges and how they came about: snapshot, snapshot+delta or full.
+
+    hashes (repo_id, unit, content_hash) is the state of the files, stored_hashes that of the snapshot. An unchanged state
+    takes the snapshot as it is. Up to `most` changed or new units, and none deleted, are extracted again and replace their
+    facts; if ids of units that were not touched would be lost by that, or there is no snapshot, everything is extracted.
+    reextract takes the (repo_id, unit) to read, all of them for a full build.
+    """
+    key = ["repo_id", "unit"]
+    loaded = None if stored_hashes is None else load_graph(spark, path)
+    if loaded is not None:
+        a, b = stored_hashes.select(*key, F.col("content_hash").alias("was")), hashes.select(*key, F.col("content_hash").alias("now"))
+        gone = a.join(b, key, "left_anti")
+        changed = b.join(a, key, "left").filter(~F.col("was").eqNullSafe(F.col("now"))).select(*key)
+        n_changed, n_gone = changed.limit(most + 1).count(), gone.limit(1).count()
+        if not n_changed and not n_gone:
+            return *loaded, "snapshot"
+        if n_changed <= most and not n_gone:
+            merged = replace_units(loaded, changed, *reextract(changed))
+            if merged is not None:
+                return *merged, "snapshot+delta"
+    return *reextract(hashes.select(*key)), "full"
+
+
+def replace_units(graph: tuple[DataFrame, DataFrame], units: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The graph with the facts of some units (repo_id, unit) replaced; None if an edge that stays would lose its end.
+
+    An edge belongs to the unit it names, in the repository of its source.
+    """
+    old_nodes, old_edges = graph
+    key = ["repo_id", "unit"]
+    kept_nodes = old_nodes.join(units, key, "left_anti")
+    owner = old_nodes.select(F.col("id").alias("src"), "repo_id")
+    kept_edges = old_edges.join(owner, "src").join(units, key, "left_anti").drop("repo_id").select(*old_edges.columns)
+    fresh = nodes.join(kept_nodes.select("id"), "id", "left_anti")
+    all_nodes = kept_nodes.unionByName(fresh.select(*kept_nodes.columns))
+    lost = old_nodes.join(units, key, "left_semi").select("id").join(all_nodes.select("id"), "id", "left_anti")
+    if not kept_edges.join(lost.withColumnRenamed("id", "dst"), "dst", "left_semi").isEmpty():
+        return None
+    return all_nodes, kept_edges.unionByName(edges.select(*kept_edges.columns)).distinct()
+
+
+class Served:
+    """The last good graph: a refresh that fails leaves it in place and is counted."""
+
+    def __init__(self, graph: tuple[DataFrame, DataFrame], debounce: float = 0.25, clock: Callable[[], float] = time.monotonic):
+        self.graph, self.errors, self.signature = graph, 0, None
+        self.debounce, self.clock, self.checked = debounce, clock, None
+
+    def maybe_refresh(self, signature: str, build: Callable[[], tuple[DataFrame, DataFrame]]) -> bool:
+        """Build anew if the state's signature is another one and the last look is long enough ago."""
+        now = self.clock()
+        if self.checked is not None and now - self.checked < self.debounce:
+            return False
+        self.checked = now
+        if signature == self.signature:
+            return False
+        try:
+            self.graph = build()
+        except Exception:
+            self.errors += 1
+            return False
+        self.signature = signature
+        return True

@@ -47,7 +47,7 @@ def test_python_facts_and_edges(spark, rows):
     e = {(a, b.removeprefix("sample_pkg."), c.removeprefix("sample_pkg.")) for a, b, c in rows(extract.resolve_python(f).filter("type != 'defines'").select("type", "src", "dst"))}
     assert e == {
         ("calls", "auth.authenticate", "auth.validate"), ("calls", "auth.make_user", "models.User"), ("references", "auth", "models.User"), ("imports", "auth", "models.User"), ("imports", "auth", "os"),
-        ("inherits", "models", "models.Base"), ("calls", "models.Base.greet", "models.Base.name"),
+        ("inherits", "models.User", "models.Base"), ("calls", "models.Base.greet", "models.Base.name"),
     }
     assert rows(extract.external_packages(extract.resolve_python(f))) == [("r", "os")]
     assert rows(extract.import_graph(f)) == [("r", "sample_pkg.auth", "sample_pkg.models")]
