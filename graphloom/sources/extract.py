@@ -198,7 +198,7 @@ def _dotted(node: ast.AST) -> str | None:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
-_FACTS = (
+FACTS = (
     "repo_id string, unit string, module string, fact string, error string, name string, qualified_name string, container string, signature string, start_line int, end_line int, visibility string, "
     "is_type_decl boolean, body_hash string, is_top_level boolean, type_only boolean, alias string, target string, target_module string, target_name string, relation string, shadowed boolean, source string, enclosing string"
 )
@@ -206,7 +206,7 @@ _FACTS = (
 
 def python_facts(files: DataFrame) -> DataFrame:
     """One row per symbol, import, name or error of the Python files (repo_id, unit, source_text): see `fact`."""
-    columns = [c.split()[0] for c in _FACTS.split(", ")]
+    columns = [c.split()[0] for c in FACTS.split(", ")]
 
     def rows(repo: str, unit: str, module: str, text: str) -> list[dict]:
         base = {"repo_id": repo, "unit": unit, "module": module}
@@ -233,7 +233,7 @@ def python_facts(files: DataFrame) -> DataFrame:
 
     unit = posix(F.col("unit"))
     python = files.filter((language_of(F.col("unit")) == "python") & F.col("source_text").isNotNull())
-    return python.select("repo_id", unit.alias("unit"), module_qname(unit, F.lit("python")).alias("module"), "source_text").mapInPandas(run, _FACTS)
+    return python.select("repo_id", unit.alias("unit"), module_qname(unit, F.lit("python")).alias("module"), "source_text").mapInPandas(run, FACTS)
 
 
 def snippet_symbols(snippets: DataFrame) -> DataFrame:
@@ -256,6 +256,7 @@ def resolve_python(facts: DataFrame) -> DataFrame:
     modules = facts.filter("fact = 'module'").select("repo_id", F.col("module").alias("q")).distinct()
     known = symbols.select("repo_id", "q").unionByName(modules).distinct()
     imports = facts.filter("fact = 'import'").select("repo_id", "unit", "module", "alias", "target", "target_module", "start_line", "source")
+    imports = imports.filter("alias IS NOT NULL")
     names = facts.filter("fact = 'name' AND NOT shadowed").select("repo_id", "unit", "module", "relation", "name", "start_line", "source", "enclosing")
     # a dotted name under an import: its first segment is the alias
     first = F.substring_index("name", ".", 1)

@@ -13,7 +13,7 @@ from graphloom.functions.paths import language_of, module_qname, nextjs_pattern,
 from graphloom.functions.signatures import body_hash, node_id, normalize_signature
 from graphloom.runtime import cut
 from graphloom.schema import EDGES, EXTERNALS_UNIT, NODES
-from graphloom.sources import extract
+from graphloom.sources import extract, walkers
 
 NODE_COLUMNS = [f.name for f in NODES.fields]
 EDGE_COLUMNS = [f.name for f in EDGES.fields]
@@ -110,42 +110,33 @@ def _edge(df: DataFrame, kind: Column, provenance: str = "tree-sitter") -> DataF
 def index_package(files: DataFrame, documents: DataFrame | None = None, configs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of source files (repo_id, unit, source_text), documents (doc_id, repo_id, path, text) and configurations.
 
-    Python has symbols, imports, calls, references and inheritance; the other languages have their definitions. Dangling
-    edges do not arise: both ends of every edge are among the nodes. Files that do not parse give their module only.
+    Symbols, imports, calls and bases come from all eleven languages, references from Python. Names bind by joins: to
+    imports, to the own module, to the own class; an edge may be lost, none is invented. Dangling edges do not arise: both
+    ends of every edge are among the nodes. Files that do not parse give their module only.
     """
     files = files.withColumn("unit", posix(F.col("unit"))).withColumn("language", language_of(F.col("unit")))
-    facts = cut(extract.python_facts(files.select("repo_id", "unit", "source_text")))
+    read = files.select("repo_id", "unit", "source_text")
+    facts = cut(extract.python_facts(read).unionByName(walkers.code_facts(read)))
     known = files.filter("language IS NOT NULL").select("repo_id", "unit", "language", module_qname(F.col("unit"), F.col("language")).alias("module"), F.col("source_text"))
     owners = module_owners(known)
     lines = F.size(F.split(F.coalesce("source_text", F.lit("")), "\n"))
     owned = known.join(owners, ["repo_id", "language", "module", "unit"], "left_semi").filter("module != ''")
     modules = _node(owned, "module", name=F.substring_index("module", ".", -1), qualified_name=F.col("module"), language=F.col("language"), location=_span(F.col("unit"), F.lit(1), lines), visibility=F.lit("exported"), content_hash=body_hash("source_text"))
-    # symbols: of Python by its parser, of the others by their definitions
-    python = facts.filter("fact = 'symbol'").select("repo_id", "unit", "module", F.lit("python").alias("language"), "name", "qualified_name", "container", "signature", "start_line", "end_line", "visibility", "body_hash", "is_type_decl", "is_top_level")
-    found = extract.definitions(files.select("repo_id", "unit", "source_text"))
-    other = found.join(known.select("repo_id", "unit", "module"), ["repo_id", "unit"]).select(
-        "repo_id", "unit", "module", "language", "name", F.concat_ws(".", F.expr("nullif(module, '')"), "name").alias("qualified_name"), F.col("module").alias("container"), F.col("head").alias("signature"), "start_line", F.col("start_line").alias("end_line"),
-        F.lit("exported").alias("visibility"), F.lit(None).cast("string").alias("body_hash"), F.col("is_type").alias("is_type_decl"), F.lit(True).alias("is_top_level"),
-    )
-    once = cut(distinct_overloads(python.unionByName(other)))
+    found = facts.filter("fact = 'symbol'").withColumn("language", language_of(F.col("unit")))
+    once = cut(distinct_overloads(found.select("repo_id", "unit", "module", "language", "name", "qualified_name", "container", "signature", "start_line", "end_line", "visibility", "body_hash", "is_type_decl", "is_top_level")))
     symbols = _node(once, "symbol", qualified_name=F.col("qualified_name"), language=F.col("language"), location=_span(F.col("unit"), F.col("start_line"), F.col("end_line")), stmt_ordinal=F.col("ordinal"), is_top_level=F.col("is_top_level"), is_type_decl=F.col("is_type_decl"), content_hash=body_hash("signature"))
     base = cut(modules.unionByName(symbols))
     # names of edges to ids
     resolved = extract.resolve_python(facts)
-    spans = base.filter("kind IN ('symbol', 'module') AND language = 'python'").select("repo_id", "qualified_name", "id", F.col("location.start_line").alias("start_line"), F.col("location.end_line").alias("end_line"))
+    spans = base.filter("kind IN ('symbol', 'module')").select("repo_id", "qualified_name", "id", F.col("location.start_line").alias("start_line"), F.col("location.end_line").alias("end_line"))
     sourced = enclosing_overloads(resolved.withColumnRenamed("src", "qualified_name"), spans).withColumnRenamed("id", "src").drop("qualified_name")
     first = spans.groupBy("repo_id", F.col("qualified_name").alias("dst")).agg(F.min_by("id", F.struct("start_line", "id")).alias("dst_id"))
     inner = sourced.filter("NOT external").join(first, ["repo_id", "dst"]).drop("dst").withColumnRenamed("dst_id", "dst")
-    packages = sourced.filter("external").select("repo_id", F.col("dst").alias("name")).distinct()
-    externals = _node(packages, "external_package", qualified_name=F.col("name"), language=F.lit("python"), unit=F.lit(EXTERNALS_UNIT), location=_span(F.lit(EXTERNALS_UNIT), F.lit(1), F.lit(1)), visibility=F.lit("public"))
+    packages = sourced.filter("external AND dst != ''").groupBy("repo_id", F.col("dst").alias("name")).agg(F.min(language_of(F.col("unit"))).alias("language"))
+    externals = _node(packages, "external_package", qualified_name=F.col("name"), language=F.col("language"), unit=F.lit(EXTERNALS_UNIT), location=_span(F.lit(EXTERNALS_UNIT), F.lit(1), F.lit(1)), visibility=F.lit("public"))
     outer = sourced.filter("external").join(externals.select("repo_id", F.col("qualified_name").alias("dst"), F.col("id").alias("dst_id")), ["repo_id", "dst"]).drop("dst").withColumnRenamed("dst_id", "dst")
-    defined = once.filter("language != 'python'").select("repo_id", "unit", "language", "container", F.col("start_line").alias("line"), "qualified_name", "ordinal")
-    ends = base.select("repo_id", "kind", "language", "qualified_name", "stmt_ordinal", "id")
-    a = ends.filter("kind = 'module'").select("repo_id", "language", F.col("qualified_name").alias("container"), F.col("id").alias("src"))
-    b = ends.filter("kind = 'symbol'").select("repo_id", "language", "qualified_name", F.col("stmt_ordinal").alias("o"), F.col("id").alias("dst"))
-    defines = defined.join(a, ["repo_id", "language", "container"]).join(b, ["repo_id", "language", "qualified_name"]).filter(F.col("ordinal").eqNullSafe(F.col("o")))
     columns = ["type", "src", "dst", "unit", "line"]
-    edges = _edge(inner.select(*columns).unionByName(outer.select(*columns)), F.col("type")).unionByName(_edge(defines, F.lit("defines")))
+    edges = _edge(inner.select(*columns).unionByName(outer.select(*columns)), F.col("type"))
     nodes = base.unionByName(externals)
     for more_nodes, more_edges in (_documents(documents, base), _routes(files, configs, base)):
         nodes = nodes if more_nodes is None else nodes.unionByName(more_nodes)
@@ -183,8 +174,8 @@ def _routes(files: DataFrame, configs: DataFrame | None, base: DataFrame):
 
 
 def resolution_context(changed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges of changed Python files' facts against a whole graph: names of other files come from its nodes."""
-    there = nodes.filter("kind IN ('symbol', 'module') AND language = 'python'").join(changed.select("repo_id", "unit").distinct(), ["repo_id", "unit"], "left_anti")
+    """The edges of changed files' facts against a whole graph: names of other files come from its nodes."""
+    there = nodes.filter("kind IN ('symbol', 'module')").join(changed.select("repo_id", "unit").distinct(), ["repo_id", "unit"], "left_anti")
     known = there.select("repo_id", "unit", F.when(F.col("kind") == "module", F.col("qualified_name")).alias("module"), F.when(F.col("kind") == "module", "module").otherwise("symbol").alias("fact"), F.when(F.col("kind") == "symbol", F.col("qualified_name")).alias("qualified_name"))
     facts = changed.unionByName(known, allowMissingColumns=True)
     mine = changed.select("repo_id", "unit").distinct()

@@ -39,7 +39,7 @@ def test_facts_of_the_sample(sample):
     assert got["references"] == {("auth", "models.User")}
     assert got["documents"] == {("README.md", "auth.validate"), ("README.md", "models")}
     assert {r.confidence for r in edges.collect()} == {"EXTRACTED"}
-    assert {("x", "x.T"), ("x", "x.f")} <= got["defines"]
+    assert {("x", "x.T"), ("x.T", "x.T.f")} <= got["defines"]
     assert [f.name for f in nodes.schema] == [f.name for f in NODES.fields] and [f.name for f in edges.schema] == [f.name for f in EDGES.fields]
 
 
