@@ -1,6 +1,6 @@
 """Validity of source texts in eleven programming languages.
 
-Python is compiled by the interpreter itself; the other ten languages have recursive-descent parsers (see parsers/) that
+Python is compiled by the interpreter itself; the other ten languages have recursive-descent parsers (see graphloom/syntax) that
 read every token of a text: all branches of conditional compilation, and the expressions within templates,
 interpolations and markup elements too. Types and names are never looked up.
 """
@@ -10,17 +10,17 @@ from __future__ import annotations
 import warnings
 from functools import lru_cache
 
-from graphloom.llm.parsers.base import Parser, refused, valid
-from graphloom.llm.parsers.cfamily import C, Cpp
-from graphloom.llm.parsers.conditionals import variants
-from graphloom.llm.parsers.csharp import CSharp
-from graphloom.llm.parsers.ecma import JavaScript, TypeScript
-from graphloom.llm.parsers.golang import Go
-from graphloom.llm.parsers.java import Java
-from graphloom.llm.parsers.kotlin import Kotlin
-from graphloom.llm.parsers.lexing import Bad, Lexer
-from graphloom.llm.parsers.rust import Rust
-from graphloom.llm.parsers.swift import Swift
+from graphloom.syntax.base import Parser, refused, valid
+from graphloom.syntax.cfamily import C, Cpp
+from graphloom.syntax.conditionals import variants
+from graphloom.syntax.csharp import CSharp
+from graphloom.syntax.ecma import JavaScript, TypeScript
+from graphloom.syntax.golang import Go
+from graphloom.syntax.java import Java
+from graphloom.syntax.kotlin import Kotlin
+from graphloom.syntax.lexing import Bad, Lexer
+from graphloom.syntax.rust import Rust
+from graphloom.syntax.swift import Swift
 
 LANGUAGES = ("python", "typescript", "javascript", "java", "go", "rust", "csharp", "c", "cpp", "kotlin", "swift")
 #: The language of each file suffix.
