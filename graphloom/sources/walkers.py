@@ -144,7 +144,7 @@ def walk(repo: str, unit: str, language: str, module: str, text: str) -> list[di
         tokens, _ = _lexer(language).run(source)
         parser: Parser = _PARSERS[language](tokens)
         parser.parse()
-    except (Bad, RecursionError) as x:
+    except (Bad, RecursionError, IndexError) as x:
         return [base | {"fact": "error", "error": type(x).__name__}]
     V, ends, starts = tokens.words, tokens.places, [0, *(m.end() for m in re.finditer("\n", source))]
     line = lambda k: bisect_right(starts, max(0, ends[k] - 1)) if ends else 1

@@ -297,7 +297,7 @@ def refused(parser: type[Parser], lexer: Lexer, text: str) -> bool:
         p.parse()
     except Bad:
         return p is None or not whole and max(p.p, p.far) < len(p.K) - 4 - AHEAD
-    except RecursionError:
+    except (RecursionError, IndexError):
         pass
     return False
 
@@ -309,5 +309,5 @@ def valid(parser: type[Parser], lexer: Lexer, text: str) -> bool:
         for h in holes:
             parser(h).parse_hole()
         return True
-    except (Bad, RecursionError):
+    except (Bad, RecursionError, IndexError):  # a look ahead past the end finds nothing valid there
         return False

@@ -153,9 +153,9 @@ class C(Parser):
                 self.bases()
         if K[self.p] == "{":
             own = start + 1
-            while K[own] != "i" or self.CPP and K[own + 1] == "i" and self.is_macro(own):
-                own += 1
             if named:
+                while K[own] != "i" or self.CPP and K[own + 1] == "i" and self.is_macro(own):
+                    own += 1
                 self.opens(self.V[own])
             if kind == "enum":
                 self.p += 1
