@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.catalog import graph
 from graphloom.catalog.signature_sql import norm_cte
 from graphloom.catalog.sql import VISIBLE
 from graphloom.catalog.texts import last_files
-from graphloom.functions.paths import language_of, posix
-from graphloom.operators import audit, gates, tools, views
+from graphloom.functions.paths import is_test_unit, language_of, posix
+from graphloom.operators import audit, gates, tools, traverse, views
+from graphloom.operators import queries as q
 from graphloom.operators import store as s
 from graphloom.runtime import load
 from graphloom.schema import EXTERNALS_UNIT
@@ -72,6 +74,14 @@ QUERIES = {
     "x_module_owners": lambda spark, d: index.module_owners(_store(spark, d).nodes.filter("kind = 'module' AND module IS NOT NULL").select("repo_id", "language", "module", "unit")),
     "x_index_nodes": lambda spark, d: _index(spark, d)[0].groupBy("repo_id", "kind", "language").agg(F.count("*").alias("n_nodes")),
     "x_index_edges": lambda spark, d: _index(spark, d)[1].groupBy("type").agg(F.count("*").alias("n_edges")),
+    "g_edges_walked": lambda spark, d: (lambda st: traverse.edges_walked(traverse.gate_edges(st.edges), st.nodes.filter("kind = 'symbol' AND load_seq % 20 = 0").select("id"), 2, False))(_store(spark, d)),
+    "g_ranked_suspects": lambda spark, d: (lambda st, ch: q.ranked_suspects(st, st.nodes.filter(is_test_unit(F.col("unit")) & (F.col("kind") == "symbol")).select("id"), ch, 3))(*graph._changed(spark, d)),
+    "g_tests_of_names": lambda spark, d: (lambda st: q.tests_of_names(st, st.nodes.filter("kind = 'symbol' AND load_seq % 20 = 0").select("repo_id", F.col("qualified_name").alias("name")))[0])(_store(spark, d)),
+    "g_unresolved_names": lambda spark, d: (lambda st: q.tests_of_names(st, st.nodes.filter("kind = 'symbol'").select("repo_id", F.concat("name", F.lit("_of_none")).alias("name")))[1])(_store(spark, d)),
+    "a_repo_totals": lambda spark, d: q.repo_totals(_store(spark, d)),
+    "a_family_counts": lambda spark, d: views.family_counts(_store(spark, d)),
+    "a_overflow_names": lambda spark, d: views.overflow_names(_store(spark, d), 1500),
+    "j_calls_in_lines": lambda spark, d: views.calls_in_lines(_store(spark, d), load(spark, d, "edges").filter("type IN ('calls', 'references') AND confidence = 'INFERRED' AND source_location IS NOT NULL").select(F.col("source_location.path").alias("path"), F.col("source_location.line").alias("line"))),
     "k_introduced_duplicates": _introduced,
     "a_check_runs": _checks,
 }
@@ -96,6 +106,16 @@ _LANG = (
 _UNIT = "regexp_replace(replace(rel_path, chr(92), '/'), '^(?:\\./)+', '')"
 _MEMBERS = VISIBLE + f", m AS (SELECT DISTINCT repo_id || ':' || language AS community, unit, {_SUB} AS sub FROM v WHERE unit <> '<externals>'), c AS (SELECT community, sub, count(*) AS n FROM m GROUP BY ALL), dom AS (SELECT community, arg_min(sub, (-n, sub)) AS dominant, CAST(sum(n) AS BIGINT) AS n_files FROM c GROUP BY community)"
 SQL = {
+    "g_edges_walked": VISIBLE
+    + ", dg AS (SELECT dst AS node, count(DISTINCT src) AS n FROM gate GROUP BY 1), r AS (SELECT id AS root FROM v WHERE kind = 'symbol' AND load_seq % 20 = 0), vi AS (SELECT root, root AS node FROM r UNION SELECT root, src FROM r JOIN gate ON dst = root) SELECT r.root, CAST(coalesce(sum(dg.n), 0) AS BIGINT) AS n_edges FROM r JOIN vi USING (root) LEFT JOIN dg USING (node) GROUP BY 1",
+    "g_ranked_suspects": f"SELECT *, rank() OVER (PARTITION BY test ORDER BY distance, suspect) AS place FROM ({graph.SQL['g_localize']})",
+    "g_tests_of_names": VISIBLE
+    + f" SELECT test, unit, string_agg(symbol, ',' ORDER BY symbol) AS exercises FROM (SELECT DISTINCT a.qualified_name AS test, a.unit AS unit, c.qualified_name AS symbol FROM gate JOIN (SELECT w.* FROM v w JOIN (SELECT repo_id, qualified_name, max(load_seq) AS load_seq FROM v GROUP BY ALL) l USING (repo_id, qualified_name, load_seq) WHERE (repo_id, qualified_name) IN (SELECT (repo_id, qualified_name) FROM v WHERE kind = 'symbol' AND load_seq % 20 = 0 AND length(qualified_name) <= 512)) c ON c.id = gate.dst JOIN v a ON a.id = gate.src WHERE type IN ('calls','references','inherits','implements') AND src <> dst AND {graph._TEST.replace('unit,', 'a.unit,')}) GROUP BY 1, 2",
+    "g_unresolved_names": VISIBLE + " SELECT DISTINCT repo_id, name || '_of_none' AS asked, CAST(NULL AS VARCHAR) AS candidates FROM v WHERE kind = 'symbol'",
+    "a_repo_totals": VISIBLE + " SELECT repo_id, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_symbols FROM (SELECT repo_id, unit, count(*) AS n FROM v WHERE kind = 'symbol' AND unit <> '<externals>' GROUP BY 1, 2) GROUP BY ROLLUP (repo_id)",
+    "a_family_counts": VISIBLE + f" SELECT family, language, count(DISTINCT (repo_id, unit)) AS n_units, count(*) FILTER (kind = 'symbol') AS n_symbols FROM (SELECT *, {graph._FAMILY} AS family FROM v) GROUP BY 1, 2",
+    "a_overflow_names": VISIBLE + " SELECT v.id, any_value(qualified_name) AS qualified_name FROM v LEFT JOIN (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) d ON d.id = v.id GROUP BY 1 ORDER BY count(d.id) DESC, qualified_name, v.id LIMIT 5000 OFFSET 1500",
+    "j_calls_in_lines": VISIBLE + " SELECT DISTINCT src, dst, source_location.path AS path, source_location.line AS line FROM gate WHERE type = 'calls' AND source_location IS NOT NULL AND (source_location.path, source_location.line) IN (SELECT (source_location.path, source_location.line) FROM edges WHERE type IN ('calls','references') AND confidence = 'INFERRED' AND source_location IS NOT NULL)",
     "s_get_node": VISIBLE + " SELECT id, kind, qualified_name FROM v WHERE id IN (SELECT dst FROM edges)",
     "s_exists": VISIBLE
     + f", w AS (SELECT DISTINCT signature, {_LANG.format('rel_path')} AS language FROM raw_symbols WHERE signature IS NOT NULL),"

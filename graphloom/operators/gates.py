@@ -97,8 +97,14 @@ def test_metrics(files: DataFrame) -> DataFrame:
     return python.select("repo_id", "unit", count("source_text").alias("m")).select("repo_id", "unit", "m.*")
 
 
-def test_integrity(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Test files with fewer assertions or tests, or more skip marks, than before."""
+def test_integrity(old: DataFrame, new: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """Test files with fewer assertions or tests, or more skip marks, than before.
+
+    With `touched` (repo_id, unit) only tests of repositories in which the change touches other than test files count.
+    """
+    if touched is not None:
+        sources = touched.filter(~is_test_path_commit(F.col("unit"))).select("repo_id").distinct()
+        old = old.join(sources, "repo_id", "left_semi")
     n = test_metrics(new).select("repo_id", "unit", *[F.col(c).alias(f"new_{c}") for c in ("assertions", "skips", "tests")])
     return test_metrics(old).join(n, ["repo_id", "unit"]).filter("new_assertions < assertions OR new_tests < tests OR new_skips > skips")
 

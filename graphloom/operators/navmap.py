@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import fragment_pairs, state_id, url_params, url_regex
+from graphloom.functions.signatures import canonical_digest
 from graphloom.runtime import cut
 
 STATES = "map_id string, id string, url string, landmarks array<struct<role:string,name:string,checked:boolean>>, affordances array<struct<ref:string,role:string,name:string,css:string>>, fragment map<string,string>, draft boolean"
@@ -110,3 +114,40 @@ def goto_plans(asked: DataFrame, transitions: DataFrame, states: DataFrame, max_
     met = asked.join(paths, ["map_id", "start", "state"], "left").join(params, ["map_id", "state"], "left")
     how = F.when(F.col("start") == F.col("state"), "there").when(F.col("path").isNotNull(), "path").when(F.col("n_params") == 0, "direct").otherwise("unreachable")
     return met.select("map_id", "start", "state", how.alias("how"), "path")
+
+
+#: The keys of a map and its version.
+MAP_KEYS, MAP_VERSION = ("version", "hash", "states", "transitions", "flows", "draft"), 1
+
+
+def map_problems(texts: DataFrame) -> DataFrame:
+    """map_id, problem of each map text (map_id, text) that is no JSON object, of another version, has unknown keys, or whose
+    hash is not that of its content without the hash."""
+
+    @F.pandas_udf("array<string>")
+    def check(text: pd.Series) -> pd.Series:
+        out = []
+        for t in text:
+            try:
+                m = json.loads(t)
+            except (TypeError, ValueError):
+                m = None
+            if not isinstance(m, dict):
+                out.append(["no object"])
+                continue
+            found = [] if m.get("version") == MAP_VERSION else ["version"]
+            found += [f"unknown key {k}" for k in sorted(set(m) - set(MAP_KEYS))]
+            if "hash" in m and m["hash"] != canonical_digest({k: v for k, v in m.items() if k != "hash"}):
+                found.append("hash")
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return texts.select("map_id", F.explode(check("text")).alias("problem"))
+
+
+def known_transitions(transitions: DataFrame, states: DataFrame) -> DataFrame:
+    """Transitions between two known states of their map."""
+    known = states.select("map_id", F.col("id").alias("state")).distinct()
+    for end in ("src", "dst"):
+        transitions = transitions.join(known.withColumnRenamed("state", end), ["map_id", end], "left_semi")
+    return transitions

@@ -292,3 +292,37 @@ def module_graph(store: GraphStore) -> DataFrame:
 
 def edge_types(edges: DataFrame, wanted) -> DataFrame:
     return edges.filter(one_of("type", wanted))
+
+
+def tests_of_names(store: GraphStore, names: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The tests that exercise symbols asked by name (repo_id, name), and the names that resolve to none, with hints."""
+    found = resolve_names(store.nodes, names)
+    changed = found.filter("id IS NOT NULL").select("id").distinct()
+    return suggest_tests(store, changed, depth), found.filter("id IS NULL").select("repo_id", "asked", "candidates")
+
+
+def ranked_suspects(store: GraphStore, tests: DataFrame, changed: DataFrame, depth: int = 4) -> DataFrame:
+    """localize with the place of each suspect: nearest first, then by name."""
+    w = Window.partitionBy("test").orderBy("distance", "suspect")
+    return localize(store, tests, changed, depth).withColumn("place", F.rank().over(w))
+
+
+def impact_markdown(store: GraphStore, changed: DataFrame, depth: int = 1, most: int = 50) -> str:
+    """The impact of a change as Markdown: counts, and the first names of each kind; the lists say where they end."""
+    parts = [
+        ("Changed", changed.select(F.col("qualified_name").alias("x")).distinct()), ("Affected", affected_by(store, changed, depth).select(F.col("qualified_name").alias("x")).distinct()),
+        ("Tests", suggest_tests(store, changed, depth).select(F.col("test").alias("x")).distinct()), ("Documents", doc_drift(store, changed).select(F.col("doc").alias("x")).distinct()),
+    ]
+    out = ["# Impact"]
+    for title, frame in parts:
+        names = [r.x for r in frame.orderBy("x").limit(most + 1).collect()]
+        total = frame.count() if len(names) > most else len(names)
+        out += [f"## {title} ({total})", *[f"- `{n}`" for n in names[:most]], *([f"- … {total - most} more"] if total > most else [])]
+    return "\n".join(out) + "\n"
+
+
+def repo_totals(store: GraphStore) -> DataFrame:
+    """Units and symbols of each repository, and in a row without repository those of all."""
+    s = store.nodes.filter((F.col("kind") == "symbol") & (F.col("unit") != EXTERNALS_UNIT))
+    per = s.groupBy("repo_id", "unit").agg(F.count("*").alias("n"))
+    return per.rollup("repo_id").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_symbols"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.signatures import normalize_signature
+from graphloom.schema import EDGES, NODES
 
 FORMAT_VERSION = 3
 ID_SCHEME_VERSION = 2
@@ -218,3 +219,21 @@ def overload_ordinals(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("repo_id", "language", "qualified_name")
     ranked = distinct.withColumn("ordinal", F.when(F.count("*").over(w) > 1, F.row_number().over(w.orderBy("ns")) - 1))
     return symbols.select("id", "repo_id", "language", "qualified_name", "ns").join(ranked, ["repo_id", "language", "qualified_name", "ns"]).select("id", "ordinal")
+
+
+def export_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A snapshot as compressed JSON lines, for other programs; its versions stand beside it."""
+    refuse_repeated(nodes)
+    for name, frame in (("nodes", nodes), ("edges", edges)):
+        frame.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", "false").json(f"{path}/{name}")
+    nodes.sparkSession.createDataFrame([(FORMAT_VERSION, ID_SCHEME_VERSION)], "format_version int, id_scheme_version int").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """What export_json wrote, or None where it is missing or of other versions."""
+    if not path_exists(spark, f"{path}/meta/_SUCCESS"):
+        return None
+    meta = spark.read.schema("format_version int, id_scheme_version int").json(f"{path}/meta").first()
+    if meta is None or tuple(meta) != (FORMAT_VERSION, ID_SCHEME_VERSION):
+        return None
+    return spark.read.schema(NODES).json(f"{path}/nodes"), spark.read.schema(EDGES).json(f"{path}/edges")

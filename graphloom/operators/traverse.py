@@ -53,6 +53,18 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = Tr
     return seen.filter("distance > 0")
 
 
+def edges_walked(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True) -> DataFrame:
+    """root, n_edges: how many edges (parallel ones once) a search of that depth looks at: those that leave what it visits."""
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    degree = edges.select(F.col(a).alias("node"), b).distinct().groupBy("node").agg(F.count("*").alias("n"))
+    start = roots.select(F.col("id").alias("root")).distinct()
+    visited = start.withColumn("node", F.col("root"))
+    if depth > 1:
+        visited = visited.unionByName(reachable(edges, roots, depth - 1, forward).select("root", "node"))
+    met = visited.join(degree, "node").groupBy("root").agg(F.sum("n").alias("n_edges"))
+    return start.join(met, "root", "left").fillna(0, ["n_edges"]) if depth > 0 else start.withColumn("n_edges", F.lit(0).cast("bigint"))
+
+
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, component (its smallest node) of every strongly connected component with more than one node.
 

@@ -238,3 +238,22 @@ def compute_layout(store: GraphStore) -> DataFrame:
         one = flat.select(F.lit(name).alias("view"), "repo_id", "unit", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def family_counts(store: GraphStore) -> DataFrame:
+    """family, language, n_units, n_symbols: what stands where, externals too."""
+    n = store.nodes.withColumn("family", family_of(F.col("unit")))
+    return n.groupBy("family", "language").agg(F.count_distinct("repo_id", "unit").alias("n_units"), F.count(F.when(F.col("kind") == "symbol", 1)).alias("n_symbols"))
+
+
+def overflow_names(store: GraphStore, k: int, most: int = 5000) -> DataFrame:
+    """The names after the first k of top_nodes, in order; at most `most`, as a page shows no more."""
+    ranked = degrees(store).join(store.nodes.select("id", "qualified_name"), "id").orderBy(F.desc("degree"), "qualified_name", "id")
+    return ranked.offset(k).limit(most).select("id", "qualified_name")
+
+
+def calls_in_lines(store: GraphStore, lines: DataFrame) -> DataFrame:
+    """Calls whose site is one of the lines (path, line): src, dst, path, line."""
+    e = gate_edges(store.edges, ("calls",)).filter("source_location IS NOT NULL")
+    sites = e.select("src", "dst", F.col("source_location.path").alias("path"), F.col("source_location.line").alias("line")).distinct()
+    return sites.join(lines.select("path", "line").distinct(), ["path", "line"], "left_semi")

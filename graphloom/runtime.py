@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,19 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the estimate proves the side small; otherwise leave the choice to the optimizer."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def held(result: DataFrame, *frames: DataFrame) -> DataFrame:
+    """The result, which keeps frames that it reads: persisted ones are given up as soon as the result is no longer used."""
+    result._held = frames
+    for f in frames:
+        if f.is_cached:
+            weakref.finalize(result, _release, f)
+    return result
+
+
+def _release(df: DataFrame) -> None:
+    try:
+        df.unpersist(blocking=False)
+    except Exception:  # the session may have ended before
+        return

@@ -174,3 +174,44 @@ def test_goto(spark, rows):
     asked = spark.createDataFrame([("m", *x) for x in (("a", "c"), ("a", "a"), ("a", "d"), ("a", "e"), (None, "b"))], "map_id string, start string, state string")
     got = {(r.start, r.state): r.how for r in navmap.goto_plans(asked, t, s).collect()}
     assert got == {("a", "c"): "path", ("a", "a"): "there", ("a", "d"): "direct", ("a", "e"): "unreachable", (None, "b"): "direct"}
+
+
+def test_json_export(spark, tmp_path, sample, rows):
+    from graphloom.operators.store import export_json, import_json
+
+    path = str(tmp_path / "json")
+    assert import_json(spark, path) is None
+    export_json(*sample, path)
+    nodes, edges = import_json(spark, path)
+    assert rows(nodes.select("id", "qualified_name", "location.start_line")) == rows(sample[0].select("id", "qualified_name", "location.start_line")) and edges.count() == sample[1].count()
+
+
+def test_maps_as_texts(spark, rows):
+    from graphloom.functions.signatures import canonical_digest
+
+    good = {"version": 1, "states": []}
+    texts = [("a", json.dumps(good | {"hash": canonical_digest(good)})), ("b", json.dumps(good | {"hash": "x", "extra": 1})), ("c", "[1]"), ("d", json.dumps({"version": 2})), ("e", None)]
+    assert rows(navmap.map_problems(spark.createDataFrame(texts, "map_id string, text string"))) == [("b", "hash"), ("b", "unknown key extra"), ("c", "no object"), ("d", "version"), ("e", "no object")]
+    t = spark.createDataFrame([("m", 1, "a", "b"), ("m", 2, "a", "z")], "map_id string, seq int, src string, dst string")
+    assert rows(navmap.known_transitions(t, spark.createDataFrame([("m", "a"), ("m", "b")], "map_id string, id string")).select("seq")) == [(1,)]
+
+
+def test_impact_as_markdown(spark, sample):
+    from graphloom.operators import queries as q
+
+    st = GraphStore(sample[0].withColumn("load_seq", F.lit(1).cast("bigint")), sample[1])
+    text = q.impact_markdown(st, st.nodes.filter("name = 'validate'"), most=1)
+    assert "## Changed (1)" in text and "- `sample_pkg.auth.validate`" in text and "## Documents (1)" in text
+
+
+def test_held_frames_are_given_up(spark):
+    from graphloom.runtime import held
+
+    kept = spark.range(5).persist()
+    out = held(kept.filter("id > 1"), kept)
+    assert out.count() == 3 and kept.is_cached
+    del out
+    import gc
+
+    gc.collect()
+    assert not kept.is_cached or not kept.storageLevel.useMemory
