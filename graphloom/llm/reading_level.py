@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.prose import prose_counts as counted
 from graphloom.llm.prose import strip_markup, unfenced, words_and_sentences
+from graphloom.runtime import held
 
 #: Sizes of the lists of familiar words; the greatest bounds what the driver holds of the corpus.
 LIST_SIZES = (60, 120, 180, 240, 300, 360, 420)
@@ -110,10 +111,10 @@ def reading_levels(documents: DataFrame, passages: DataFrame) -> DataFrame:
 
     if model is None:
         return counts.limit(0).select("doc_id", F.lit(None).cast("int").alias("read_level"))
-    return counts.select("doc_id", level("words", "counts", "n_sentences").alias("read_level"))
+    return held(counts.select("doc_id", level("words", "counts", "n_sentences").alias("read_level")), counts)
 
 
 def level_profile(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Number of documents by source and level."""
     levels = reading_levels(documents, passages)
-    return levels.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "read_level").agg(F.count("*").alias("n_documents"))
+    return held(levels.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "read_level").agg(F.count("*").alias("n_documents")), levels)
