@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog.signature_sql import norm_cte
 from graphloom.catalog.sql import VISIBLE
+from graphloom.functions import paths as p
 from graphloom.functions.signatures import normalize_signature
+from graphloom.operators import navmap
 from graphloom.runtime import load
 
 
@@ -15,7 +17,36 @@ def _signatures(spark, d):
     return n.withColumn("norm_signature", normalize_signature("signature", "language"))
 
 
-QUERIES = {"f_signatures": _signatures}
+def _units(spark, d):
+    return load(spark, d, "file_facts").select(p.posix(F.col("rel_path")).alias("unit")).distinct()
+
+
+def _names(spark, d):
+    u = F.col("unit")
+    name = p.base_name(u)
+    return _units(spark, d).select("unit", p.module_name_for(u).alias("import_name"), p.visibility_of(name).alias("visibility"), p.is_test_path_commit(u).alias("is_commit_test"), p.is_test_path_dead_code(u).alias("is_dead_code_test"), p.subpackage(u).alias("subpackage"))
+
+
+def _urls(spark, d):
+    pattern = F.concat(F.lit("/"), F.regexp_replace("unit", "/", "/:"))
+    u = _units(spark, d).select("unit", pattern.alias("pattern"))
+    c = F.col("pattern")
+    return u.select("pattern", p.url_regex(c).alias("regex"), p.url_params(c).alias("n_params"), p.state_id(c).alias("state"), p.href_matches(F.concat(F.lit("/"), "unit", F.lit("/")), c).alias("matches"), p.hash_route(c).alias("hashed"))
+
+
+def _pages(spark, d):
+    u = _units(spark, d)
+    page = F.concat(F.lit("app/(group)/"), F.regexp_replace("unit", r"([^/]+)\.[^./]+$", "[$1]"), F.lit("/page.tsx"))
+    return u.select("unit", p.nextjs_pattern(page).alias("pattern"), p.join_route(F.lit("/root/"), F.substring_index("unit", "/", 1)).alias("joined"))
+
+
+def _draft(spark, d):
+    n = load(spark, d, "nodes").filter("kind = 'symbol'")
+    pattern = F.concat(F.lit("/"), "language", F.when(F.length("name") % 2 == 0, "/:").otherwise("/"), F.substring("name", 1, 3))
+    return navmap.draft_map(n.select(F.col("repo_id").alias("map_id"), pattern.alias("pattern")))
+
+
+QUERIES = {"f_signatures": _signatures, "f_names": _names, "f_urls": _urls, "f_pages": _pages, "w_draft_map": _draft}
 
 _NORM = VISIBLE + "," + norm_cte("SELECT signature, language FROM nodes")
 _OF = "norm.raw = {0}.signature AND norm.l = coalesce({0}.language, 'python')"
@@ -23,7 +54,19 @@ _GATE = _NORM + f", gs AS (SELECT v.*, ns FROM v JOIN norm ON {_OF.format('v')}
 _PLACE = "{0}.location.path || ':' || {0}.location.start_line"
 _RANK = "CASE {0} WHEN 'internal' THEN 0 WHEN 'exported' THEN 1 WHEN 'public' THEN 2 END"
 
+_UNITS = "u AS (SELECT DISTINCT regexp_replace(replace(rel_path, chr(92), '/'), '^(?:\\./)+', '') AS unit FROM file_facts)"
 SQL = {
+    "f_names": f"""WITH {_UNITS}, b AS (SELECT unit, regexp_extract(unit, '[^/]*$') AS n, lower(unit) AS low FROM u)
+SELECT unit, regexp_replace(replace(regexp_replace(regexp_replace(unit, '\\.py$', ''), '^src/', ''), '/', '.'), '(?:^|\\.)__init__$', '') AS import_name, CASE WHEN starts_with(n, '_') THEN 'internal' ELSE 'exported' END AS visibility,
+  NOT contains('/' || unit || '/', '/fixtures/') AND (starts_with(n, 'test_') OR ends_with(n, '_test.py') OR contains('/' || unit, '/tests/')) AS is_commit_test,
+  regexp_matches(low, '/tests?/') OR regexp_matches(regexp_extract(low, '[^/]*$'), '^test_|^conftest|_test\\.|\\.test\\.|\\.spec\\.') AS is_dead_code_test, CASE WHEN contains(unit, '/') THEN regexp_replace(unit, '/[^/]*$', '') ELSE unit END AS subpackage FROM b""",
+    "f_urls": f"""WITH {_UNITS}, p AS (SELECT unit, '/' || replace(unit, '/', '/:') AS pattern FROM u)
+SELECT pattern, '^' || regexp_replace(regexp_replace(pattern, '([.+*?^$()\\[\\]{{}}|\\\\])', '\\\\\\1', 'g'), '/:\\w+', '/[^/]+', 'g') || '$' AS regex, CAST(len(regexp_extract_all(split_part(pattern, '#', 1), '/:\\w+')) AS INTEGER) AS n_params,
+  array_to_string(list_transform(list_filter(string_split(pattern, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '^:', '')), '.') AS state, true AS matches, '/#' || pattern AS hashed FROM p""",
+    "f_pages": f"""WITH {_UNITS}
+SELECT unit, '/' || array_to_string(list_transform(string_split(unit, '/'), lambda s, i: CASE WHEN i = len(string_split(unit, '/')) THEN ':' || regexp_replace(s, '\\.[^./]+$', '') ELSE s END), '/') AS pattern, '/root/' || split_part(unit, '/', 1) AS joined FROM u""",
+    "w_draft_map": """WITH r AS (SELECT DISTINCT repo_id AS map_id, '/' || language || CASE WHEN length(name) % 2 = 0 THEN '/:' ELSE '/' END || name[1:3] AS url, language || '.' || name[1:3] AS base FROM nodes WHERE kind = 'symbol')
+SELECT map_id, CASE WHEN row_number() OVER w > 1 THEN base || '~' || row_number() OVER w ELSE base END AS id, url FROM r WINDOW w AS (PARTITION BY map_id, base ORDER BY url)""",
     "f_signatures": "WITH" + norm_cte("SELECT signature, language FROM nodes") + " SELECT raw AS signature, l AS language, ns AS norm_signature FROM norm",
     "s_find_by_signature": _GATE + f" SELECT a.signature AS asked, gs.language, gs.id FROM (SELECT DISTINCT signature, language FROM v WHERE load_seq % 20 = 0 AND signature IS NOT NULL) a JOIN norm ON {_OF.format('a')} JOIN gs ON gs.language = a.language AND gs.ns = norm.ns",
     "s_overload_ordinals": _NORM
