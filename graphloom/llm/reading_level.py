@@ -110,6 +110,7 @@ def reading_levels(documents: DataFrame, passages: DataFrame) -> DataFrame:
         return pd.Series(model.predict(x).astype("int32"))
 
     if model is None:
+        counts.unpersist()
         return counts.limit(0).select("doc_id", F.lit(None).cast("int").alias("read_level"))
     return held(counts.select("doc_id", level("words", "counts", "n_sentences").alias("read_level")), counts)
 
