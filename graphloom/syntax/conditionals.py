@@ -28,6 +28,10 @@ _STRING_OR_COMMENT = {
 }
 
 
+#: Texts without any of these have no directive. A text of C has one wherever a line begins with the sign.
+_HINT = {"csharp": re.compile(r"#[ \t]*(?:if|elif|else|endif|region|endregion|pragma|nullable|define|undef|error|warning|line|r|load)\b"), "swift": re.compile(r"#(?:if|elseif|else|endif|sourceLocation|error|warning)\b")}
+
+
 def _constant(language: str, word: str, condition: str) -> bool | None:
     """What a condition is known to be; None if that depends."""
     c = re.sub(r"/\*.*?\*/|//.*", "", condition).strip()
@@ -40,20 +44,20 @@ def _constant(language: str, word: str, condition: str) -> bool | None:
 
 def variants(text: str, language: str) -> list[str]:
     """The texts without directives; the text itself if it has none."""
-    if "#" not in text:
+    if "#" not in text or language in _HINT and not _HINT[language].search(text):
         return [text]
-    directive, covered = _DIRECTIVE[language], []
-    covered = [m.span() for m in _STRING_OR_COMMENT[language].finditer(text) if "\n" in m[0]]
+    directive = _DIRECTIVE[language]
+    covered = (m.span() for m in _STRING_OR_COMMENT[language].finditer(text) if "\n" in m[0])
+    low, high = next(covered, (len(text), len(text)))
     pieces: list = []  # texts and conditionals in order
     stack: list[tuple[list, list, list]] = []  # (outer pieces, branches, known conditions)
-    current, at, n, k = pieces, 0, len(text), 0
+    current, at, n = pieces, 0, len(text)
     while at < n:
-        while k < len(covered) and covered[k][1] <= at:
-            k += 1
+        while high <= at:  # the next literal or comment of several lines
+            low, high = next(covered, (n, n + 1))
         end = text.find("\n", at)
         end = n if end < 0 else end
-        inside = k < len(covered) and covered[k][0] < at
-        m = None if inside else directive.match(text, at)
+        m = None if low < at else directive.match(text, at)
         if m is None:
             current.append(text[at : end + 1])
             at = end + 1

@@ -129,12 +129,17 @@ class Lexer:
             re.M,
         ).match
         self.holes: list[Tokens] = []
+        self.last: tuple[str | None, tuple | None] = (None, None)
 
     def run(self, text: str) -> tuple[Tokens, list[Tokens]]:
-        """The tokens of a text and those of the expressions within its literals."""
+        """The tokens of a text and those of the expressions within its literals; those of the last text are kept, as languages
+        that share a lexer meet a text one after the other. Parsers do not change them."""
+        if self.last[0] is text:
+            return self.last[1]
         self.holes = []
         tokens, _ = self._lex(text, 0, "")
-        return tokens, self.holes
+        self.last = text, (tokens, self.holes)
+        return self.last[1]
 
     def opening(self, text: str, least: int) -> tuple[Tokens, bool]:
         """The tokens up to the first semicolon or closing brace outside all brackets that comes after `least` tokens, and
