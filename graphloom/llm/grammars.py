@@ -40,7 +40,8 @@ def language_of(path: str | None) -> str | None:
 
 @lru_cache(len(LANGUAGES))
 def _parser(name: str) -> tuple[type[Parser], Lexer]:
-    return _PARSERS[name], Lexer(name)
+    # JavaScript has the tokens of TypeScript
+    return _PARSERS[name], _parser("typescript")[1] if name == "javascript" else Lexer(name)
 
 
 _PARSERS = {x.LANGUAGE: x for x in (TypeScript, JavaScript, Java, Go, Rust, CSharp, C, Cpp, Kotlin, Swift)}
