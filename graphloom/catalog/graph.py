@@ -24,7 +24,7 @@ def _roots(store):
 def _regions(spark, d):
     e = load(spark, d, "edges")
     line = F.col("source_location.line")
-    return e.filter("type = 'inherits' AND source_location IS NOT NULL").select(F.col("source_location.path").alias("path"), line.alias("start_line"), (line + 2).alias("end_line"))
+    return e.filter("source_location IS NOT NULL").select(F.col("source_location.path").alias("path"), line.alias("start_line"), (line + 2).alias("end_line"))
 
 
 def _changed(spark, d):
@@ -40,7 +40,7 @@ _ROOTS = "SELECT id FROM v WHERE kind = 'symbol' AND load_seq % 20 = 0"
 _CHANGED = (
     VISIBLE
     + """,
-reg AS (SELECT DISTINCT source_location.path AS path, source_location.line AS a, source_location.line + 2 AS b FROM edges WHERE type = 'inherits' AND source_location IS NOT NULL),
+reg AS (SELECT DISTINCT source_location.path AS path, source_location.line AS a, source_location.line + 2 AS b FROM edges WHERE source_location IS NOT NULL),
 hit AS (SELECT DISTINCT v.* FROM v JOIN reg ON v.location.path = reg.path AND v.location.start_line <= b AND a <= greatest(v.location.start_line, coalesce(v.location.end_line, v.location.start_line))),
 changed AS (SELECT id, repo_id, qualified_name, unit FROM hit WHERE kind = 'symbol')"""
 )

@@ -433,15 +433,11 @@ class Swift(Parser):
         elif t == "i" and K[self.p + 1] in (":", ",", "=", "where", ")", "?", "in", "as"):
             self.p += 1
         else:
-            old, self.no_assign = self.no_assign, True
             self.binary_only()
-            self.no_assign = old
         self.ok("?")
         if self.ok("as"):
             self.type()
 
-    no_assign = False
-
     def binary_only(self):
         while True:
             self.unary()
