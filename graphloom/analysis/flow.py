@@ -218,6 +218,8 @@ class _Names(ast.NodeVisitor):
 
 def names(s: ast.AST) -> _Names:
     """Definitions and uses of a statement; branches and loops count with their header only."""
+    if not isinstance(s, ast.AST):  # a statement of another language brings its names
+        return s
     v = _Names()
     if isinstance(s, ast.If | ast.While):
         v.visit(s.test)
@@ -289,7 +291,9 @@ def slice_lines(flow: Flow, line: int, backward: bool = True) -> list[int]:
     lines: set[int] = set()
     for k in kept & set(flow.statements):
         a, b, s = flow.statements[k]
-        if isinstance(s, ast.If | ast.While | ast.For | ast.AsyncFor):
+        if not isinstance(s, ast.AST):
+            b = s.head_last
+        elif isinstance(s, ast.If | ast.While | ast.For | ast.AsyncFor):
             b = max(a, s.body[0].lineno - 1) if s.body[0].lineno > a else a
         lines.update(range(a, b + 1))
     return sorted(lines)
@@ -297,6 +301,8 @@ def slice_lines(flow: Flow, line: int, backward: bool = True) -> list[int]:
 
 def output_nodes(flow: Flow, function: ast.AST) -> set[int]:
     """Statements whose effect shows outside: return, raise, yield, calls, writes to what is not local."""
+    if not isinstance(function, ast.AST):
+        return {k for k, (_, _, s) in flow.statements.items() if s.shows}
     outside = {x for n in ast.walk(function) if isinstance(n, ast.Global | ast.Nonlocal) for x in n.names}
     out = set()
     for k, (_, _, s) in flow.statements.items():

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.analysis import braces
 from graphloom.analysis import flow as fl
 from graphloom.functions.paths import language_of
 
@@ -15,26 +16,35 @@ from graphloom.functions.paths import language_of
 _ROWS = 50_000
 
 
+def _flows(language: str, text: str):
+    """(name, definition, flow) of each function; one that is nested too deeply is left out."""
+    if language != "python":
+        yield from braces.flows(text, language)
+        return
+    for name, node in fl.functions(text):
+        try:
+            yield name, node, fl.build(node)
+        except RecursionError:
+            continue
+
+
 def _per_function(files: DataFrame, schema: str, rows: Callable) -> DataFrame:
-    """rows(function name, definition, flow) of every function of the Python files; broken files give none."""
+    """rows(function name, definition, flow) of every function of the files; broken files give none."""
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for batch in batches:
-            for file_id, text in zip(batch["file_id"], batch["source_text"], strict=True):
-                for name, node in fl.functions(text):
-                    try:
-                        out += [(file_id, name, node.lineno, *r) for r in rows(name, node, fl.build(node))]
-                    except RecursionError:
-                        continue
+            for file_id, language, text in zip(batch["file_id"], batch["language"], batch["source_text"], strict=True):
+                for name, node, flow in _flows(language, text):
+                    out += [(file_id, name, node.lineno, *r) for r in rows(name, node, flow)]
                 if len(out) >= _ROWS:
                     yield pd.DataFrame(out, columns=["file_id", "function", "line", *columns])
                     out = []
         yield pd.DataFrame(out, columns=["file_id", "function", "line", *columns])
 
-    python = files.filter((language_of(F.col("rel_path")) == "python") & F.col("source_text").isNotNull()).dropDuplicates(["file_id"]).select("file_id", "source_text")
-    return python.mapInPandas(run, f"file_id bigint, function string, line int, {schema}")
+    known = files.withColumn("language", language_of(F.col("rel_path"))).filter(F.col("language").isin("python", *braces.LANGUAGES) & F.col("source_text").isNotNull())
+    return known.dropDuplicates(["file_id"]).select("file_id", "language", "source_text").mapInPandas(run, f"file_id bigint, function string, line int, {schema}")
 
 
 def control_flow(files: DataFrame) -> DataFrame:

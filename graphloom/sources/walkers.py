@@ -26,7 +26,7 @@ from graphloom.syntax.ecma import JavaScript, TypeScript
 from graphloom.syntax.golang import Go
 from graphloom.syntax.java import Java
 from graphloom.syntax.kotlin import Kotlin
-from graphloom.syntax.lexing import Bad, Lexer
+from graphloom.syntax.lexing import Bad, Lexer, Tokens
 from graphloom.syntax.rust import Rust
 from graphloom.syntax.swift import Swift
 
@@ -134,18 +134,29 @@ def _module_imports(words: list[str], unit: str) -> list[tuple[str, str, str, st
     return out or [("", target, target, None)]
 
 
-def walk(repo: str, unit: str, language: str, module: str, text: str) -> list[dict]:
-    """The facts of one file: see extract.FACTS."""
-    base = {"repo_id": repo, "unit": unit, "module": module}
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+def parsed(text: str, language: str) -> tuple[Tokens, Parser, str]:
+    """Tokens, parser and normal text; a ValueError for a text that is not valid.
+
+    Of conditional compilation the first text counts: its lines are those of the file.
+    """
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     try:
-        # of conditional compilation the first text counts: its lines are those of the file
         source = variants(text, language)[0] if language in ("c", "cpp", "csharp", "swift") else text
         tokens, _ = _lexer(language).run(source)
         parser: Parser = _PARSERS[language](tokens)
         parser.parse()
     except (Bad, RecursionError, IndexError) as x:
-        return [base | {"fact": "error", "error": type(x).__name__}]
+        raise ValueError(type(x).__name__) from x
+    return tokens, parser, source
+
+
+def walk(repo: str, unit: str, language: str, module: str, text: str) -> list[dict]:
+    """The facts of one file: see extract.FACTS."""
+    base = {"repo_id": repo, "unit": unit, "module": module}
+    try:
+        tokens, parser, source = parsed(text, language)
+    except ValueError as x:
+        return [base | {"fact": "error", "error": str(x)}]
     V, ends, starts = tokens.words, tokens.places, [0, *(m.end() for m in re.finditer("\n", source))]
     line = lambda k: bisect_right(starts, max(0, ends[k] - 1)) if ends else 1
     out = [base | {"fact": "module", "start_line": 1, "end_line": source.count("\n") + 1}]
