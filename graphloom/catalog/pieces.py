@@ -130,7 +130,7 @@ SQL = {
     + f""", f AS (SELECT DISTINCT ON (file_id) repo_id, {_UNIT} AS unit, source_text FROM (SELECT * FROM file_facts QUALIFY loaded_at IS NOT DISTINCT FROM max(loaded_at) OVER (PARTITION BY file_id))),
 j AS (SELECT v.id, v.location.path AS path, greatest(1, v.location.start_line) AS lo, coalesce(v.location.end_line, v.location.start_line) AS hi, source_text, string_split(regexp_replace(source_text, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM v LEFT JOIN f ON f.repo_id IS NOT DISTINCT FROM v.repo_id AND f.unit = v.location.path WHERE v.kind = 'symbol'),
 k AS (SELECT *, greatest(0, least(len(ls), hi) - lo + 1) AS n FROM j)
-SELECT id, CASE WHEN source_text IS NOT NULL THEN array_to_string(ls[lo:(lo + least(n, 120) - 1)], chr(10)) END AS source, source_text IS NOT NULL AND n > 120 AS truncated, CASE WHEN source_text IS NULL THEN 'source file not found: ' || path END AS note FROM k""",
+SELECT id, CASE WHEN source_text IS NOT NULL THEN array_to_string(ls[lo:(lo + least(n, 120) - 1)], chr(10)) END AS source, source_text IS NOT NULL AND n > 120 AS truncated, CASE WHEN source_text IS NULL THEN 'no text of: ' || path END AS note FROM k""",
     "g_map_candidates": VISIBLE
     + """, u AS (SELECT DISTINCT unit FROM v WHERE unit IS NOT NULL), a AS (SELECT DISTINCT rel_path AS asked FROM file_facts WHERE rel_path NOT IN (SELECT unit FROM u)),
 h AS (SELECT asked, list_sort(list(unit))[:5] AS c FROM a JOIN u ON ends_with(regexp_extract(unit, '[^/]*$'), regexp_extract(asked, '[^/]*$')) GROUP BY asked)

@@ -43,7 +43,7 @@ def read_symbols(nodes: DataFrame, sources: DataFrame, most: int = MAX_SOURCE_LI
     start, end = F.greatest(F.lit(1), F.col("lo")), F.least(F.size(lines), F.col("hi"))
     count = F.greatest(F.lit(0), end - start + 1)
     inside = F.coalesce(inside_workspace(F.col("path")), F.lit(False))
-    note = F.when(~inside, F.concat(F.lit("source path outside workspace: "), F.coalesce("path", F.lit("")))).when(F.col("source_text").isNull(), F.concat(F.lit("source file not found: "), F.col("path")))
+    note = F.when(~inside, F.concat(F.lit("outside the workspace: "), F.coalesce("path", F.lit("")))).when(F.col("source_text").isNull(), F.concat(F.lit("no text of: "), F.col("path")))
     source = F.when(note.isNull(), F.array_join(F.slice(lines, start, F.least(count, F.lit(most))), "\n"))
     return met.select("id", source.alias("source"), (note.isNull() & (count > most)).alias("truncated"), note.alias("note"))
 

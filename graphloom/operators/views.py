@@ -185,6 +185,7 @@ def dominant_subpackages(members: DataFrame) -> DataFrame:
     return best.select("community", F.col("b.sub").alias("dominant"), "n_files")
 
 
+# The form of a label.
 def community_labels(members: DataFrame) -> DataFrame:
     """community, label: its dominant directory and size; of equal labels each gets its number, in the order of communities."""
     d = dominant_subpackages(members)

@@ -66,7 +66,7 @@ def test_read_symbols(spark, rows):
     got = {r.id: r for r in tools.read_symbols(nodes, spark.createDataFrame([("r", "a.py", text)], "repo_id string, unit string, source_text string")).collect()}
     assert got["a"].source == "line 2\nline 3" and not got["a"].truncated
     assert got["b"].truncated and got["b"].source.split("\n")[-1] == "line 120"
-    assert [got[k].note for k in "cdef"] == ["source path outside workspace: ../x.py", "source file not found: no.py", "source path outside workspace: /etc/x", "source path outside workspace: b/../../c"]
+    assert [got[k].note for k in "cdef"] == ["outside the workspace: ../x.py", "no text of: no.py", "outside the workspace: /etc/x", "outside the workspace: b/../../c"]
 
 
 def test_candidates_and_guards(spark, rows):
